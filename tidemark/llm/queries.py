@@ -24,12 +24,24 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
 
 
+def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.vectors import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngramjoin import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe import encode_digests
 
@@ -42,6 +54,6 @@ def op10_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op4_packing, op8_prefix_bpe, op10_mpeg_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op3_projection_passes, op4_packing, op5_ngram_join, op8_prefix_bpe, op10_mpeg_media)}
 
 ORACLE_SQL: dict[str, str] = {}
