@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import oracles
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,18 +43,35 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe import encode_digests
 
     return encode_digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.sharding import document_shards
+
+    return document_shards(table(spark, sf_dir, "documents"))
+
+
 def op10_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mpeg import media_digests
 
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op3_projection_passes, op4_packing, op5_ngram_join, op8_prefix_bpe, op10_mpeg_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op3_projection_passes, op4_packing, op5_ngram_join, op7_warc_salvage, op8_prefix_bpe, op9_extendible_shards, op10_mpeg_media)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_projection_passes": oracles.VECTORS,
+    "op5_ngram_join": oracles.NGRAM_JOIN,
+    "op7_warc_salvage": oracles.WARC,
+    "op9_extendible_shards": oracles.SHARDING,
+}
