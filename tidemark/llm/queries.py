@@ -25,6 +25,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", F.concat_ws(",", "base_labels").alias("base_labels"), F.concat_ws(",", "labels").alias("labels"), "score")
 
 
+def op2_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.pii import pii_spans
+
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.vectors import near_vectors
 
@@ -43,6 +49,13 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import score_quality, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.warc import archive_round_trip
 
@@ -67,7 +80,7 @@ def op10_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op3_projection_passes, op4_packing, op5_ngram_join, op7_warc_salvage, op8_prefix_bpe, op9_extendible_shards, op10_mpeg_media)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_bootstrapped_pii, op3_projection_passes, op4_packing, op5_ngram_join, op6_rule_ensemble, op7_warc_salvage, op8_prefix_bpe, op9_extendible_shards, op10_mpeg_media)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_projection_passes": oracles.VECTORS,
