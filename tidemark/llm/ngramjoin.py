@@ -12,8 +12,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,31 +54,54 @@ def _buckets(h: np.ndarray, bits: int) -> np.ndarray:
 def frequency_rank(docs: DataFrame, text: str, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """A byte for each counter: about sixteen times the logarithm of the documents that hold its shingles. 2 ** bits bytes, whatever the input.
 
-    Any such table gives an exact join; a truer one makes it cheaper.
+    Tasks count by themselves; their counters are added up block by block, in two steps where there are many tasks, and only the bytes
+    come to the driver. Any such table gives an exact join; a truer one makes it cheaper.
     """
+    size, block = 1 << bits, 1 << min(bits, 16)
+    source = pick(docs, text)
+    subs = -(-source.rdd.getNumPartitions() // 256)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(size, np.int32)
         held, waiting = [], 0
+
+        def add() -> None:
+            np.add(total, np.bincount(_buckets(np.concatenate(held), bits), minlength=size), out=total, casting="unsafe")
+            held.clear()
+
         for b in batches:
             for t in b.column(0):
                 s = shingles(t.as_py(), words)
                 held.append(s)
                 waiting += len(s)
-                if waiting > 2_000_000:
-                    total += np.bincount(_buckets(np.concatenate(held), bits), minlength=1 << bits)
-                    held, waiting = [], 0
+                if waiting > 1_000_000:
+                    add()
+                    waiting = 0
         if held:
-            total += np.bincount(_buckets(np.concatenate(held), bits), minlength=1 << bits)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["counts"])
-
-    def ranked(counts: np.ndarray) -> np.ndarray:
-        return np.minimum(255, 16 * np.log2(1 + counts)).astype(np.uint8)
-
-    parts = pick(docs, text).mapInArrow(count, "counts binary").rdd.map(lambda r: np.frombuffer(r[0], np.int32).astype(np.int64))
-    if parts.getNumPartitions() == 0:
-        return np.zeros(1 << bits, np.uint8)
-    return ranked(parts.treeAggregate(np.zeros(1, np.int64), lambda x, y: x + y, lambda x, y: x + y, depth=3 if parts.getNumPartitions() > 64 else 2) + np.zeros(1 << bits, np.int64))
+            add()
+        sub = TaskContext.get().partitionId() % subs
+        for i in range(0, size, block):
+            yield pa.RecordBatch.from_arrays([pa.array([i // block], pa.int32()), pa.array([sub], pa.int32()), pa.array([total[i : i + block].astype(np.int64).tobytes()], pa.binary())], names=["block", "sub", "counts"])
+
+    def add_up(pdf: pd.DataFrame) -> np.ndarray:
+        total = np.zeros(block, np.int64)
+        for c in pdf["counts"]:
+            total += np.frombuffer(c, np.int64)
+        return total
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [add_up(pdf).tobytes()]})
+
+    def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "ranks": [np.minimum(255, 16 * np.log2(1 + add_up(pdf))).astype(np.uint8).tobytes()]})
+
+    parts = source.mapInArrow(count, "block int, sub int, counts binary")
+    if subs > 1:
+        parts = parts.groupBy("block", "sub").applyInPandas(some, "block int, counts binary")
+    table = np.zeros(size, np.uint8)
+    for r in parts.groupBy("block").applyInPandas(ranked, "block int, ranks binary").collect():  # size bytes in all
+        table[r["block"] * block : (r["block"] + 1) * block] = np.frombuffer(r["ranks"], np.uint8)
+    return table
 
 
 def prefix_length(n: int, percent: int) -> int:
