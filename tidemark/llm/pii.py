@@ -103,7 +103,8 @@ def confident_patterns(docs: DataFrame, text: str, rounds: int = ROUNDS, min_see
         patterns = cut(patterns.where((F.col("known") >= min_seeds) & (F.col("confidence") >= min_confidence / 2)), "patterns")
         doubt = F.log(F.lit(1.0) - F.least("confidence", F.lit(0.99)))
         instances = edges.where("value is not null").join(patterns, ["label", "mark"]).groupBy("value").agg((F.lit(1.0) - F.exp(F.sum(doubt))).alias("belief"))
-        scored = cut(edges.join(instances, "value", "left").withColumn("score", F.greatest("seed", F.coalesce("belief", F.lit(0.0)))).drop("belief"), "scored")
+        known = edges.where("value is not null").join(instances, "value", "left").withColumn("score", F.greatest("seed", F.coalesce("belief", F.lit(0.0)))).drop("belief")
+        scored = cut(known.unionByName(edges.where("value is null").withColumn("score", F.lit(0.0))), "scored")
     return patterns.where(F.col("confidence") >= min_confidence).select("label", "mark")
 
 
