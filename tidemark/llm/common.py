@@ -37,11 +37,18 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
-    """The rows of df, written to the shared folder and read back: later steps neither recompute them nor need the executors that made them."""
-    path = fresh_path(df.sparkSession, label)
+def cut(df: DataFrame, label: str = "cut", free: bool = False) -> DataFrame:
+    """The rows of df, written to the shared folder and read back: later steps neither recompute them nor need the executors that made them.
+
+    Once the rows are written, the shuffle files behind them serve nothing. They go when the driver collects its garbage; `free` has it do
+    so at once, which large steps need.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if free:
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_texts(df: DataFrame, key: str, text: str, fields: Sequence[Field], fn: Callable[[list], Sequence[list]]) -> DataFrame:

@@ -194,29 +194,31 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Rows that share a key are one node; rows without a key link with nothing and have no component. Hashes have 64 bits, signatures 128.
     """
     rank = frequency_rank(docs, text, words)
-    base = cut(signatures(docs, rank, key, text, words, percent), "signatures")
+    base = cut(signatures(docs, rank, key, text, words, percent), "signatures", free=True)
     live = base.where("n > 0 and id is not null")
     classes = cut(live.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("g1").alias("g1"), F.first("g2").alias("g2")), "classes")
     groups = live.groupBy("g1", "g2", "n").agg(F.min("id").alias("gid"), F.count("*").alias("copies"), F.min_by("prefix", "id").alias("prefix"))
-    postings = groups.select("gid", "n", "copies", F.posexplode("prefix").alias("pos", "token"))
+    # one number holds the logarithm of the copies, the size and the place: it is half of what the widest shuffle moves
+    meta = F.expr("shiftleft(cast(log2(copies) as bigint), 56) + shiftleft(n, 28)")
+    postings = groups.withColumn("meta", meta).select("gid", "meta", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", (F.col("meta") + F.col("pos")).alias("meta"))
     common = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared = cut(postings.join(common, "token"), "postings")
+    shared = cut(postings.join(common, "token").select("token", "gid", F.expr("shiftright(meta, 56)").alias("copies"), F.expr("shiftright(meta, 28) & 268435455").alias("n"), F.expr("cast(meta & 268435455 as int)").alias("pos")), "postings", free=True)
 
     many = classes.groupBy("g1", "g2", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = cut(classes.join(many, ["g1", "g2", "n"]).select("gid", "rep"), "members")
-    sets = cut(wanted_sets(docs, shared.select(F.col("gid").alias("id")).unionAll(members.select(F.col("rep").alias("id"))).distinct(), key, text, words), "sets")
+    sets = cut(wanted_sets(docs, shared.select(F.col("gid").alias("id")).unionAll(members.select(F.col("rep").alias("id"))).distinct(), key, text, words), "sets", free=True)
 
     order = Window.partitionBy("token").orderBy(F.desc("copies"), F.xxhash64("gid"), "gid")
     top = shared.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= hubs).select("token", F.col("gid").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))
     first = shared.join(top, "token").where(f"gid <> hub and {_possible(percent)}").select(F.least("gid", "hub").alias("a"), F.greatest("gid", "hub").alias("b"))
     tied = cut(first.unionAll(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct(), "pairs")
-    links = cut(verified(tied, sets, percent), "links")
+    links = cut(verified(tied, sets, percent), "links", free=True)
     so_far = cut(components(links), "components")
 
     expanded = shared.join(members, "gid", "left").withColumn("rep", F.coalesce("rep", "gid"))
     labelled = cut(expanded.join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")), "labelled")
     apart = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rest = cut(labelled.join(apart, "token"), "rest")
+    rest = cut(labelled.join(apart, "token"), "rest", free=True)
     other = rest.select("token", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("comp").alias("hcomp"))
     open_pairs = rest.join(other, "token").where(f"comp < hcomp and {_possible(percent)}").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     more = verified(cut(open_pairs.join(tied, ["a", "b"], "left_anti"), "pairs"), sets, percent)
