@@ -57,8 +57,8 @@ def scan_sqlite(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders_view WHERE o_orderstatus = 'O' GROUP BY 1")
 
 
-_GEN = """WITH g AS (SELECT i, TIMESTAMP '2024-01-01' + INTERVAL 1 minute * i AS ts, 100 + 10 * sin(i / 180.0) + 3 * cos(i / 37.0) AS base, 100 + 10 * sin((i - 1) / 180.0) + 3 * cos((i - 1) / 37.0) AS prev FROM (SELECT unnest(range(0, {n})) AS i))
-SELECT ts, round(prev, 2) AS open, round(greatest(base, prev) + 0.5 + 0.25 * abs(sin(i / 11.0)), 2) AS high, round(least(base, prev) - 0.5 - 0.25 * abs(cos(i / 13.0)), 2) AS low, round(base, 2) AS close, round(50 + 20 * abs(sin(i / 23.0)), 3) AS volume FROM g"""
+_GEN = """WITH g AS (SELECT *, base + sin(i / 12.0) * 120 AS o, base + cos((i + 0.5) / 9.0) * 110 AS c FROM (SELECT i, TIMESTAMP '2024-01-01' + INTERVAL 1 minute * i AS ts, 26000 + sin(i / 180.0) * 900 + cos(i / 55.0) * 320 AS base FROM (SELECT unnest(range(0, {n})) AS i)))
+SELECT ts, round(o, 2) AS open, round(greatest(o, c) + abs(sin(i / 5.0)) * 60 + 25, 2) AS high, round(least(o, c) - (abs(cos(i / 7.0)) * 60 + 25), 2) AS low, round(c, 2) AS close, round(500 + abs(sin(i / 15.0)) * 220 + (i % 10) * 12, 3) AS volume FROM g"""
 query("gen_offline_candles", _GEN.format(n=50000))(lambda spark, d: offline_candles(spark, 50000))
 query("scan_offline_klines", f"SELECT * FROM ({_GEN.format(n=50000)}) WHERE ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-30' ORDER BY ts LIMIT 500")(lambda spark, d: offline_slice(offline_candles(spark, 50000), "2024-01-02", "2024-01-30", 500))
 query("sim_random_walk")(lambda spark, d: random_walk(spark, 1000, 7))

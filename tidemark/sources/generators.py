@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,17 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 START = "2024-01-01"
+#: Fixed values of the offline series: level; (height, period) of its waves and of the offsets of open, close, wicks and volume.
+LEVEL, WAVES, OPEN, CLOSE, UPPER, LOWER = 26000, ((900, 180.0), (320, 55.0)), (120, 12.0), (110, 9.0), (60, 5.0, 25), (60, 7.0, 25)
+VOLUME, VOLUME_WAVE, VOLUME_STEP = 500, (220, 15.0), 12
 
 
 def offline_candles(spark: SparkSession, n: int, start: str = START, seconds: int = 60) -> DataFrame:
-    """n bars of two overlaid waves, rounded to 2 and 3 decimals."""
+    """n bars of overlaid waves, rounded to 2 decimals, volumes to 3. The start is a parameter, so that results repeat."""
     i = F.col("id")
-    wave = lambda k: 100 + 10 * F.sin(k / 180.0) + 3 * F.cos(k / 37.0)
-    base, prev = wave(i), wave(i - 1)
+    base = LEVEL + F.sin(i / WAVES[0][1]) * WAVES[0][0] + F.cos(i / WAVES[1][1]) * WAVES[1][0]
+    o, c = base + F.sin(i / OPEN[1]) * OPEN[0], base + F.cos((i + 0.5) / CLOSE[1]) * CLOSE[0]
     ts = F.timestamp_seconds(F.unix_seconds(F.lit(start).cast("timestamp")) + i * seconds).cast("timestamp_ntz")
     return spark.range(n).select(
-        ts.alias("ts"), F.round(prev, 2).alias("open"), F.round(F.greatest(base, prev) + 0.5 + 0.25 * F.abs(F.sin(i / 11.0)), 2).alias("high"),
-        F.round(F.least(base, prev) - 0.5 - 0.25 * F.abs(F.cos(i / 13.0)), 2).alias("low"), F.round(base, 2).alias("close"), F.round(50 + 20 * F.abs(F.sin(i / 23.0)), 3).alias("volume"),
+        ts.alias("ts"), F.round(o, 2).alias("open"), F.round(F.greatest(o, c) + F.abs(F.sin(i / UPPER[1])) * UPPER[0] + UPPER[2], 2).alias("high"),
+        F.round(F.least(o, c) - (F.abs(F.cos(i / LOWER[1])) * LOWER[0] + LOWER[2]), 2).alias("low"), F.round(c, 2).alias("close"),
+        F.round(VOLUME + F.abs(F.sin(i / VOLUME_WAVE[1])) * VOLUME_WAVE[0] + (i % 10) * VOLUME_STEP, 3).alias("volume"),
     )
 
 
@@ -72,13 +77,13 @@ class _KlineReader(DataSourceReader):
         return [InputPartition((a, min(self.end, a + width))) for a in range(self.start, max(self.start + 1, self.end), width)]
 
     def _page(self, a: int, b: int) -> list[tuple]:
-        import math
-
         out = []
         for t in range(a, b, self.step):
             i = t // self.step
-            base, prev = (100 + 10 * math.sin(k / 180.0) + 3 * math.cos(k / 37.0) for k in (i, i - 1))
-            out.append((t, f"{prev:.2f}", f"{max(base, prev) + 0.5:.2f}", f"{min(base, prev) - 0.5:.2f}", f"{base:.2f}", "50", t + self.step - 1))
+            base = LEVEL + math.sin(i / WAVES[0][1]) * WAVES[0][0] + math.cos(i / WAVES[1][1]) * WAVES[1][0]
+            o, c = base + math.sin(i / OPEN[1]) * OPEN[0], base + math.cos((i + 0.5) / CLOSE[1]) * CLOSE[0]
+            high, low = max(o, c) + abs(math.sin(i / UPPER[1])) * UPPER[0] + UPPER[2], min(o, c) - abs(math.cos(i / LOWER[1])) * LOWER[0] - LOWER[2]
+            out.append((t, f"{o:.2f}", f"{high:.2f}", f"{low:.2f}", f"{c:.2f}", f"{VOLUME + abs(math.sin(i / VOLUME_WAVE[1])) * VOLUME_WAVE[0] + i % 10 * VOLUME_STEP:.3f}", t + self.step - 1))
         return out
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
