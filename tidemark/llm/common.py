@@ -25,6 +25,18 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_in{at[n]}").alias(n) for n in names])
 
 
+#: Rows of texts that go to Python at a time, in sessions that leave Spark's 10,000 as it is: long texts make such batches large.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
+def texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The key and the text, for a Python step; bounds the batches that it gets."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        conf.set(BATCH_KEY, BATCH_ROWS)
+    return pick(df, key, text).withColumn(text, F.col(text).cast("string"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where the session names none (local runs and tests)."""
     sc = spark.sparkContext
@@ -63,4 +75,4 @@ def map_texts(df: DataFrame, key: str, text: str, fields: Sequence[Field], fn: C
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, type=t) for c, t in zip(cols, types)]], names=names)
 
     schema = ", ".join([f"`{key}` {kind}", *[f"`{n}` {t}" for n, t, _ in fields]])
-    return pick(df, key, text).withColumn(text, F.col(text).cast("string")).mapInArrow(run, schema)
+    return texts(df, key, text).mapInArrow(run, schema)

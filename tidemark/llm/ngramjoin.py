@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, pick
+from tidemark.llm.common import cut, texts
 from tidemark.llm.graph import components
 
 WORDS, PERCENT, HUBS = 3, 90, 2
@@ -51,14 +51,14 @@ def _buckets(h: np.ndarray, bits: int) -> np.ndarray:
     return (mixed(h, _M2) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def frequency_rank(docs: DataFrame, text: str, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
+def frequency_rank(docs: DataFrame, key: str, text: str, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """A byte for each counter: about sixteen times the logarithm of the documents that hold its shingles. 2 ** bits bytes, whatever the input.
 
     Tasks count by themselves; their counters are added up block by block, in two steps where there are many tasks, and only the bytes
     come to the driver. Any such table gives an exact join; a truer one makes it cheaper.
     """
     size, block = 1 << bits, 1 << min(bits, 16)
-    source = pick(docs, text)
+    source = texts(docs, key, text).select(text)
     subs = -(-source.rdd.getNumPartitions() // 256)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +142,7 @@ def signatures(docs: DataFrame, rank: np.ndarray, key: str, text: str, words: in
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in out[:5]], pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int64()))], names=["id", "n", "s1", "s2", "g1", "g2", "prefix"])
 
     kind = dict(docs.dtypes)[key]
-    return pick(docs, key, text).mapInArrow(run, f"id {kind}, n bigint, s1 bigint, s2 bigint, g1 bigint, g2 bigint, prefix array<bigint>")
+    return texts(docs, key, text).mapInArrow(run, f"id {kind}, n bigint, s1 bigint, s2 bigint, g1 bigint, g2 bigint, prefix array<bigint>")
 
 
 def wanted_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -170,7 +170,7 @@ def wanted_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat, pa.int64()))], names=["id", "set"])
 
     kind = dict(docs.dtypes)[key]
-    source = pick(docs, key, text).select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null").withColumn("p", place)
+    source = texts(docs, key, text).select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null").withColumn("p", place)
     return source.mapInArrow(run, f"id {kind}, set array<bigint>")
 
 
@@ -193,7 +193,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Two rows link when 100 * |A & B| >= percent * |A | B| of their shingle sets. Null and empty texts have size 0 and link with nothing.
     Rows that share a key are one node; rows without a key link with nothing and have no component. Hashes have 64 bits, signatures 128.
     """
-    rank = frequency_rank(docs, text, words)
+    rank = frequency_rank(docs, key, text, words)
     base = cut(signatures(docs, rank, key, text, words, percent), "signatures", free=True)
     live = base.where("n > 0 and id is not null")
     classes = cut(live.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("g1").alias("g1"), F.first("g2").alias("g2")), "classes")

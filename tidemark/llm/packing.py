@@ -9,6 +9,7 @@ A sequence's number is made of its partition's number and a count, so that no ta
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -17,19 +18,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.bpe import ASCII_WORDS, CACHE_BYTES, LATIN, LATIN_WORDS
-from tidemark.llm.common import pick
+
+from tidemark.llm.common import texts
 
 WINDOW, END_ID, MAX_OPEN = 4096, 2, 512
-CACHE_PIECES = 700_000
+CACHE_PIECES = 900_000
 SEQUENCE_BITS = 36
 
 
+_ASCII_WORDS = re.compile(ASCII_WORDS.pattern.encode())
+
+
+def _words(piece: bytes) -> list[bytes] | None:
+    """The pre-tokens of a piece of ASCII or Latin letters, each the piece of itself; None for any other piece."""
+    if piece.isascii():
+        low = piece.lower()
+        return [low] if low.isalpha() else None if b"<|" in piece else _ASCII_WORDS.findall(low)
+    text = piece.decode()
+    if max(text) >= LATIN or "<|" in text:
+        return None
+    low = text.lower()
+    return [low.encode()] if low.isalpha() else [w.encode() for w in LATIN_WORDS.findall(low)]
+
+
 class LibraryIds:
-    """ids by the tokenizers library as little-endian unsigned 32-bit bytes. Pieces between ASCII white space are encoded once and kept."""
+    """ids by the tokenizers library as little-endian unsigned 32-bit bytes. Pieces between ASCII white space, and their pre-tokens, are encoded once and kept."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
@@ -40,34 +56,34 @@ class LibraryIds:
         for t, i in vocab.items():
             self.ends[i] = t.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def fill(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """Encodes pieces: those of plain Latin letters word by word in one call, all others one by one."""
-        plain, other, fresh = {}, [], {}
+        """Encodes pieces: the pre-tokens of plain ones all in one call, other pieces one by one."""
+        known, split, other, missing, fresh = self.known, {}, [], set(), {}
         for p in pieces:
-            t = p.decode()
-            if "<|" in t or not t.isascii() and max(t) >= LATIN:
+            ws = _words(p)
+            if ws is None:
                 other.append(p)
             else:
-                plain[p] = ASCII_WORDS.findall(t.lower()) if t.isascii() else LATIN_WORDS.findall(t.lower())
-        for p, e in zip(other, self.library.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)):
-            fresh[p] = np.asarray(e.ids, "<u4").tobytes()
-        missing = list({w for ws in plain.values() for w in ws if w not in self.words})
-        new: dict[str, bytes] = {}
+                split[p] = ws
+                missing.update([w for w in ws if w not in known])
+        if other:
+            for p, e in zip(other, self.library.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)):
+                fresh[p] = np.asarray(e.ids, "<u4").tobytes()
         if missing:
-            ids = np.asarray(self.library.encode_batch_fast([" ".join(missing)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            assert len(stops) == len(missing)
+            order = list(missing)
+            ids = np.asarray(self.library.encode_batch_fast([b" ".join(order).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            assert len(stops) == len(order)
             data, a = ids.tobytes(), 0
-            for w, b in zip(missing, stops.tolist()):
-                new[w] = data[4 * a : 4 * b]
+            for w, b in zip(order, stops):
+                fresh[w] = data[4 * a : 4 * b]
                 a = b
-        for p, ws in plain.items():
-            fresh[p] = b"".join([self.words.get(w) or new[w] for w in ws])
-        if len(self.words) + len(new) > CACHE_PIECES:
-            self.words.clear()
-        self.words.update((w, x) for w, x in new.items() if len(w) <= CACHE_BYTES)
+        for p, ws in split.items():
+            if len(ws) == 1:
+                fresh[p] = known.get(ws[0]) or fresh[ws[0]]
+            else:
+                fresh[p] = b"".join([known.get(w) or fresh[w] for w in ws])
         return fresh
 
     def __call__(self, text: str | None) -> bytes:
@@ -78,7 +94,7 @@ class LibraryIds:
             got = [fresh[p] if x is None else x for p, x in zip(pieces, got)]
             if len(self.known) + len(fresh) > CACHE_PIECES:
                 self.known.clear()
-            self.known.update((p, x) for p, x in fresh.items() if len(p) <= CACHE_BYTES)
+            self.known.update([(p, x) for p, x in fresh.items() if len(p) <= CACHE_BYTES])
         return b"".join(got)
 
 
@@ -205,4 +221,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
         if rows:
             yield flush()
 
-    return pick(docs, key, text).withColumn(text, F.col(text).cast("string")).mapInArrow(run, schema)
+    return texts(docs, key, text).mapInArrow(run, schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, pick
+from tidemark.llm.common import map_texts, pick, texts
 
 #: The most labelled rows that a fit takes, by the order of a hash of their ids; they are the only rows that come to the driver.
 MAX_TRAIN = 20_000
@@ -199,6 +199,7 @@ def score_quality(docs: DataFrame, model: RuleModel, key: str = "doc_id", text:
 
 def keep_good(docs: DataFrame, model: RuleModel, columns: Sequence[str], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with these columns, that the model accepts; a row is judged where it is read, so nothing is joined."""
+    texts(docs, key, text)  # bounds the batches
     rows = pick(docs, *columns)
     kinds = dict(rows.dtypes)
     at = list(columns).index(text)
