@@ -100,8 +100,8 @@ def _frame(data: bytes, at: int) -> tuple[int, int, int] | None:
 def decode(data: bytes) -> dict:
     """What a stream holds: payload, frames, byte offsets of the frames, duration in samples, failed checks, skipped bytes.
 
-    A header counts where a whole frame follows that ends at another header, at a tag or at the end. Anything else is skipped byte by
-    byte up to the next sync word. A frame whose CRC fails is counted and left out of the payload.
+    A header counts where a whole frame follows whose CRC holds, or that ends at another header, at a tag or at the end. Anything else is
+    skipped up to the next sync word. A frame whose CRC fails is counted and left out of the payload.
     """
     out = {"tags": {}, "vbr": None, "offsets": [], "samples": 0, "bad_crc": 0, "skipped": 0, "rate": None, "bits": 0}
     at, parts = 0, []
@@ -117,13 +117,14 @@ def decode(data: bytes) -> dict:
     end = len(data) - 128 if len(data) - at >= 128 and data[-128:-125] == b"TAG" else len(data)
     while at < end:
         f = _frame(data, at)
-        if f is None or at + f[0] > end or at + f[0] < end and _frame(data, at + f[0]) is None:
+        stop = at + f[0] if f else 0
+        protected = not data[at + 1] & 1 if f else False
+        ok = bool(f) and stop <= end and (not protected or crc16(data[at + 2 : at + 4] + data[at + 6 : at + HEAD]) == int.from_bytes(data[at + 4 : at + 6], "big"))
+        if not f or stop > end or not (protected and ok or stop == end or _frame(data, stop)):
             nxt = data.find(b"\xff", at + 1, end)
             out["skipped"] += (nxt if nxt >= 0 else end) - at
             at = nxt if nxt >= 0 else end
             continue
-        protected = not data[at + 1] & 1
-        ok = not protected or crc16(data[at + 2 : at + 4] + data[at + 6 : at + HEAD]) == int.from_bytes(data[at + 4 : at + 6], "big")
         main = at + 4 + 2 * protected + SIDE
         if data[main : main + 4] in (b"Xing", b"Info") and out["vbr"] is None and not out["offsets"]:
             out["vbr"] = {"frames": int.from_bytes(data[main + 8 : main + 12], "big"), "bytes": int.from_bytes(data[main + 12 : main + 16], "big"), "toc": data[main + 16 : main + 116]}

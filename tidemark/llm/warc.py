@@ -27,6 +27,7 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 GZIP = b"\x1f\x8b\x08"
+REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
 def digest(payload: bytes) -> str:
@@ -78,6 +79,8 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
         if not sep:
             raise Damaged("header")
         fields[k.decode("latin-1").lower()] = v.strip().decode("utf-8", "replace")
+    if not all(f in fields for f in REQUIRED):
+        raise Damaged("header")
     n = fields.get("content-length", "")
     if not n.isdigit():
         raise Damaged("length")
