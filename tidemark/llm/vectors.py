@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, pick
 from tidemark.llm.graph import components
 
-COSINE, PASSES, WINDOW, BITS, BLOCK, SEED = 0.95, 16, 32, 48, 1024, 20240501
+COSINE, PASSES, WINDOW, BITS, BLOCK, SEED = 0.95, 16, 32, 48, 256, 20240501
 
 
 def planes(dim: int, passes: int, bits: int, seed: int) -> np.ndarray:
@@ -69,7 +69,24 @@ def _links(groups: np.ndarray, ids: np.ndarray, units: list[bytes], window: int,
             a.append(ids[lo + s + i[ok]])
             b.append(ids[lo + s + j[ok]])
         lo = hi
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
+    return _forest(np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As many of the pairs as tie the same rows together: links are counted later, so that here only components matter."""
+    up: dict[int, int] = {}
+    keep = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while (p := up.get(x, x)) != x:
+            up[x] = up.get(p, p)
+            x = p
+        while (p := up.get(y, y)) != y:
+            up[y] = up.get(p, p)
+            y = p
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep.append(k)
+    return a[keep], b[keep]
 
 
 def windowed(sorted_rows: DataFrame, window: int, cosine: float) -> DataFrame:
