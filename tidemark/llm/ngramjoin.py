@@ -147,9 +147,11 @@ def signatures(docs: DataFrame, rank: np.ndarray, key: str, text: str, words: in
 
 def wanted_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """(id, shingles) of at least the documents whose id is in ids: a bit filter of fixed size picks them while the table streams by."""
-    bits = FILTER_BITS
+    bits, kind = FILTER_BITS, dict(docs.dtypes)[key]
     place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     rows = ids.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map")).collect()  # 2 ** bits bits at most
+    if not rows:
+        return docs.sparkSession.createDataFrame([], f"id {kind}, set array<bigint>")
     table = np.zeros(1 << bits >> 3, np.uint8)
     per = 4096
     for r in rows:
@@ -169,11 +171,15 @@ def wanted_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int
                 flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat, pa.int64()))], names=["id", "set"])
 
-    kind = dict(docs.dtypes)[key]
     source = texts(docs, key, text).select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null").withColumn("p", place)
     return source.mapInArrow(run, f"id {kind}, set array<bigint>")
 
 
+def sets_of(docs: DataFrame, pairs: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """Shingle sets of the documents that stand in a pair."""
+    return wanted_sets(docs, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")), key, text, words)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the similarity."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
@@ -206,13 +212,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     many = classes.groupBy("g1", "g2", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = cut(classes.join(many, ["g1", "g2", "n"]).select("gid", "rep"), "members")
-    sets = cut(wanted_sets(docs, shared.select(F.col("gid").alias("id")).unionAll(members.select(F.col("rep").alias("id"))).distinct(), key, text, words), "sets", free=True)
-
     order = Window.partitionBy("token").orderBy(F.desc("copies"), F.xxhash64("gid"), "gid")
     top = shared.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= hubs).select("token", F.col("gid").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))
     first = shared.join(top, "token").where(f"gid <> hub and {_possible(percent)}").select(F.least("gid", "hub").alias("a"), F.greatest("gid", "hub").alias("b"))
     tied = cut(first.unionAll(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct(), "pairs")
-    links = cut(verified(tied, sets, percent), "links", free=True)
+    links = cut(verified(tied, cut(sets_of(docs, tied, key, text, words), "sets", free=True), percent), "links", free=True)
     so_far = cut(components(links), "components")
 
     expanded = shared.join(members, "gid", "left").withColumn("rep", F.coalesce("rep", "gid"))
@@ -221,7 +225,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rest = cut(labelled.join(apart, "token"), "rest", free=True)
     other = rest.select("token", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("comp").alias("hcomp"))
     open_pairs = rest.join(other, "token").where(f"comp < hcomp and {_possible(percent)}").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    more = verified(cut(open_pairs.join(tied, ["a", "b"], "left_anti"), "pairs"), sets, percent)
+    left = cut(open_pairs.join(tied, ["a", "b"], "left_anti"), "pairs")
+    more = cut(verified(left, cut(sets_of(docs, left, key, text, words), "sets"), percent), "links", free=True)
     final = components(links.unionAll(more))
 
     named = cut(classes.join(final.withColumnRenamed("node", "rep"), "rep").select("s1", "s2", "n", "component").unionAll(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left_anti").select("s1", "s2", "n", F.col("rep").alias("component"))), "named")
