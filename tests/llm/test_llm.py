@@ -200,6 +200,38 @@ def test_jaccard_join(spark, corpus):
     assert ngramjoin.jaccard_components(docs(spark, [])).count() == 0
 
 
+def revisions(rng, tag):
+    """A, B and C of one size and one prefix by hash: B is too far from A, and C close to B."""
+    words = [f"{tag}{i}x{rng.randrange(10**6)}" for i in range(300)]
+    first = ngramjoin.prefix_length(298, 90)
+    prefix = np.sort(ngramjoin.shingles(" ".join(words)))[:first]
+
+    def edited(words, places):
+        words = list(words)
+        for _ in range(places):
+            while True:
+                other = list(words)
+                other[rng.randrange(3, 297)] = f"{tag}y{rng.randrange(10**9)}"
+                if np.array_equal(np.sort(ngramjoin.shingles(" ".join(other)))[:first], prefix) and sum(a != b for a, b in zip(words, other)):
+                    break
+            words = other
+        return words
+
+    b = edited(words, 8)
+    return [" ".join(words), " ".join(b), " ".join(edited(b, 2))]
+
+
+def test_jaccard_links_inside_a_group(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [t for k in range(6) for t in revisions(rng, f"t{k}_")]
+    n, comp = brute_jaccard(texts)
+    assert comp == [x for k in range(0, 18, 3) for x in (k, k + 1, k + 1)]
+    monkeypatch.setattr(ngramjoin, "frequency_rank", lambda *a: np.zeros(2, np.uint8))  # one counter's worth of order: by hash alone
+    got = {r.doc_id: r for r in ngramjoin.jaccard_components(docs(spark, texts)).collect()}
+    assert [got[i].n_shingles for i in range(18)] == n
+    assert [got[i].component_id for i in range(18)] == comp
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

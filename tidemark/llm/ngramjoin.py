@@ -2,9 +2,10 @@
 
 A set that shares 90 % with another shares at least one of its first tenth of shingles, in any order common to all documents. Shingles are
 ordered by a sketch of how many documents hold them, rare ones first. Documents of equal sets are one class; classes of equal prefix and
-size are one group, and only groups are compared. The groups of a shingle are first tied to its HUBS groups with most copies; pairs of
-groups that these verified links have not brought together are then expanded and verified one and all, so no link between two
-components is missed, while a group of many near copies never yields all its pairs.
+size are one group, and only groups are compared. The groups of a shingle are first tied to its HUBS groups with most copies, and the
+classes of a group to its smallest; pairs of classes, of two groups or of one, that these verified links have not brought together are
+then expanded and verified one and all, so no link between two components is missed, while a group of many near copies never yields all
+its pairs.
 """
 
 from __future__ import annotations
@@ -224,7 +225,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     apart = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     rest = cut(labelled.join(apart, "token"), "rest", free=True)
     other = rest.select("token", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("comp").alias("hcomp"))
-    open_pairs = rest.join(other, "token").where(f"comp < hcomp and {_possible(percent)}").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    open_pairs = rest.join(other, "token").where(f"comp < hcomp and {_possible(percent)}").select("rep", "hub")
+    # classes of one group have all their prefix in common: they meet by their group, also where no other group holds any of its shingles
+    inside = cut(members.join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("comp")), "inside")
+    split = inside.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
+    divided = cut(inside.join(split, "gid"), "divided")
+    within = divided.join(divided.select("gid", F.col("rep").alias("hub"), F.col("comp").alias("hcomp")), "gid").where("comp < hcomp").select("rep", "hub")
+    open_pairs = open_pairs.unionAll(within).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     left = cut(open_pairs.join(tied, ["a", "b"], "left_anti"), "pairs")
     more = cut(verified(left, cut(sets_of(docs, left, key, text, words), "sets"), percent), "links", free=True)
     final = components(links.unionAll(more))
