@@ -141,6 +141,25 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_in_a_dense_part(spark):
+    rng = np.random.default_rng(6)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    x = unit(np.sqrt(0.9) * unit(rng.standard_normal(64)) + np.sqrt(0.1) * unit(rng.standard_normal((1200, 64))))
+    x[600:] = unit(0.957 * x[:600] + np.sqrt(1 - 0.957**2) * unit(rng.standard_normal((600, 64))))
+    x = np.concatenate([x, unit(rng.standard_normal((800, 64)))])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    comp = np.arange(len(x))
+    for _ in range(20):
+        comp = np.array([min(comp[i], *comp[near[i]]) if near[i].any() else comp[i] for i in range(len(x))])
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")).collect()}
+    wrong = [i for i in range(len(x)) if (got[i].n_links, got[i].component_id, got[i].kept) != (near[i].sum(), comp[i], comp[i] == i)]
+    assert near.sum() >= 400 and not wrong, (near.sum(), len(wrong))
+
+
 # 4
 def test_packing_is_exact(spark, corpus):
     tok = Tokenizer.from_file(VOCAB)

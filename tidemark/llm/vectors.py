@@ -2,8 +2,9 @@
 
 In each pass the vectors are sorted by a concatenation of random hashes (signs of random projections), and each is compared with the WINDOW
 next ones; pairs that reach the cosine are links, and the links of all passes are united. Tasks hold contiguous ranges of the order; the
-ends of neighbouring ranges are compared in a second, small step. Equal vectors are one class from the start. A vector's number of links is
-then counted exactly within its component, block against block, so that a window's bound loses none of them.
+ends of neighbouring ranges are compared in a second, small step. Equal vectors are one class from the start. What windows tie together is
+a start: all vectors are then compared, block against block, for links between components that are still apart, so that no pair is missed.
+A vector's number of links is counted exactly within its component in the same manner.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tidemark.llm.common import cut, pick
 from tidemark.llm.graph import components
 
 COSINE, PASSES, WINDOW, BITS, BLOCK, SEED = 0.95, 16, 32, 48, 256, 20240501
+#: The comparison of all rows with all: blocks at least, and rows of a block at most (about, for they are dealt by hash).
+SIDES, ROWS = 12, 32768
 
 
 def planes(dim: int, passes: int, bits: int, seed: int) -> np.ndarray:
@@ -137,6 +140,35 @@ def across(ends: DataFrame, window: int, cosine: float) -> DataFrame:
     return ends.where("kind > 0").groupBy("edge").applyInPandas(run, "a bigint, b bigint")
 
 
+def missed(rows: DataFrame, cosine: float, sides: int) -> DataFrame:
+    """Pairs of components (a, b) that a link ties and that are still apart; rows: id, component, dim, unit, dealt to `sides` blocks.
+
+    Every two blocks meet once, whatever the rows' places in the passes. This takes time with the square of the rows: it is the price of
+    certainty, for a cosine in many dimensions has no exact index.
+    """
+    dealt = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(sides))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(sides - 1).cast("bigint"))))
+    dealt = dealt.select(F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"), "i", "component", "dim", "unit")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
+        for _, part in pdf.groupby("dim", sort=False):
+            x = np.frombuffer(b"".join(part["unit"]), np.float64).reshape(len(part), -1)
+            i, comp = part["i"].to_numpy(), part["component"].to_numpy()
+            x, cx, y, cy = x[i == bi], comp[i == bi], x[i == bj].T, comp[i == bj]
+            for s in range(0, len(x), 256):
+                near = x[s : s + 256] @ y >= cosine
+                hit = np.flatnonzero(near.any(axis=1))
+                u, v = np.nonzero(near[hit] & (cx[s + hit, None] != cy[None, :]))
+                ends = np.unique(np.stack([cx[s + hit[u]], cy[v]]), axis=1)
+                a.append(ends.min(axis=0))
+                b.append(ends.max(axis=0))
+        x, y = _forest(np.concatenate(a), np.concatenate(b))
+        return pd.DataFrame({"a": x, "b": y})
+
+    return dealt.groupBy("bi", "bj").applyInPandas(run, "a bigint, b bigint").distinct()
+
+
 def link_counts(members: DataFrame, cosine: float, block: int, partitions: int) -> DataFrame:
     """(id, links): copies of all other classes of the component that reach the cosine; members: id, component, copies, dim, unit.
 
@@ -170,8 +202,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
 
     Vectors that are null, empty or zero, or hold a null or non-finite component, link with nothing, and so do vectors of other
     dimensions. Equal vectors link with each other. Rows that share a key are one node; a row without a key has no component and isn't
-    kept. Pairs below the cosine (in double precision) are never linked; a pair that no pass brings into a window may be missed unless
-    others tie its two vectors together.
+    kept. Exactly the pairs that reach the cosine (in double precision) are linked; passes, window and bits only decide how many of them
+    are known before all rows are compared.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
@@ -186,7 +218,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     found = cut(windowed(ordered, window, cosine), "windows")
     seam = across(found, window, cosine)
     links = cut(found.where("kind = 0").select("a", "b").unionAll(seam).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    comps = cut(components(links), "components")
+    tied = cut(components(links), "tied")
+    placed = units.select("id", "dim", "unit").join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    more = cut(missed(placed, cosine, max(SIDES, -(-units.count() // ROWS))), "missed")
+    comps = cut(components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
 
     members = comps.withColumnRenamed("node", "id").join(reps.select("id", "copies"), "id").join(units.select("id", "dim", "unit"), "id")
     counts = link_counts(members, cosine, block, parts)
