@@ -361,6 +361,20 @@ def test_media_resynchronises():
     assert mpeg.decode(bytes(flipped))["bad_crc"] == 1
 
 
+def test_media_that_looks_like_a_tag():
+    for n in (200, 300, 1000, 5000):
+        for at in range(n - 128, n - 2):
+            payload = b"x" * at + b"TAG" + b"y" * (n - at - 3)
+            d = mpeg.decode(mpeg.encode(payload))
+            assert d["payload"] == payload and not d["skipped"] and not d["bad_crc"]
+    data = mpeg.encode(b"abc" * 500)
+    d = mpeg.decode(data)
+    tag = b"TAG\xff" + bytes(124)
+    for junk in (b"", b"\xffjunk"):
+        tagged = mpeg.decode(data + junk + tag)
+        assert tagged["payload"] == d["payload"] and tagged["offsets"] == d["offsets"] and tagged["skipped"] == len(junk)
+
+
 def test_nothing_but_named_columns(spark):
     d = docs(spark, ["a"])
     assert pick(d, "text").columns == ["text"] and pick(d, "text").first()[0] == "a"

@@ -114,16 +114,18 @@ def decode(data: bytes) -> dict:
             if data[p : p + 4] == b"TXXX":
                 out["tags"][name.decode(errors="replace")] = value.decode(errors="replace")
             p += 10 + n
-    end = len(data) - 128 if len(data) - at >= 128 and data[-128:-125] == b"TAG" else len(data)
-    while at < end:
+    end = len(data)
+    tag = end - 128 if end - at >= 128 and data[-128:-125] == b"TAG" else end  # a tag if no frame covers its place
+    while at < end and at != tag:
         f = _frame(data, at)
         stop = at + f[0] if f else 0
         protected = not data[at + 1] & 1 if f else False
         ok = bool(f) and stop <= end and (not protected or crc16(data[at + 2 : at + 4] + data[at + 6 : at + HEAD]) == int.from_bytes(data[at + 4 : at + 6], "big"))
-        if not f or stop > end or not (protected and ok or stop == end or _frame(data, stop)):
-            nxt = data.find(b"\xff", at + 1, end)
-            out["skipped"] += (nxt if nxt >= 0 else end) - at
-            at = nxt if nxt >= 0 else end
+        if not f or stop > end or not (protected and ok or stop in (tag, end) or _frame(data, stop)):
+            limit = tag if at < tag else end
+            nxt = data.find(b"\xff", at + 1, limit)
+            out["skipped"] += (nxt if nxt >= 0 else limit) - at
+            at = nxt if nxt >= 0 else limit
             continue
         main = at + 4 + 2 * protected + SIDE
         if data[main : main + 4] in (b"Xing", b"Info") and out["vbr"] is None and not out["offsets"]:
