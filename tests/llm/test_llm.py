@@ -112,6 +112,19 @@ def test_pii_discovers_by_context(spark):
     assert got[20] == "id:7:19" and got[21] == "" and got[22] == ""
 
 
+def test_pii_values_run_to_the_end_of_their_token(spark):
+    seeds = [f"call account: +1 555 123 {1000 + i} now" for i in range(40)]
+    long = "7" * 6 + "ab12" * 31
+    values = ["4821963ABX77", long, "48219-63/AB", "4821 9631 2234 9912 3344 5566 7788 9900 11", "4111111111111111ABX77", "48219631 " * 5 + "4111111111111111", "48219631 " * 5 + "4111111111111111ABX77", "555-123-9876"]
+    texts = seeds + [f"my account: {v} please" for v in values]
+    got = {r.doc_id: r.spans for r in pii.pii_spans(docs(spark, texts)).collect()}
+    for i, v in enumerate(values):
+        assert f"id:12:{12 + len(v)}" in got[40 + i].split(","), v
+    clean = {r.doc_id: r.text for r in pii.redact(docs(spark, texts), ["doc_id", "text", "n_chars"]).collect()}
+    assert all(re.fullmatch(r"my account: (\[ID\]|\[CARD\]) please", clean[40 + i]) for i in range(len(values)))
+    assert pii.pii_spans(docs(spark, ["account: " + "1a" * 20000, "account: " + "1 " * 20000, "account: 1" + "." * 40000, "a1: 1" * 9000])).count() == 4
+
+
 def test_redaction(spark):
     got = {r.doc_id: r for r in pii.redact(docs(spark, ["to a.b@c.de é 1.2.3.4!", None, "plain"]), ["doc_id", "text", "lang", "source", "n_chars"]).collect()}
     assert got[0].text == "to [EMAIL] é [IP]!" and got[0].n_chars == len(got[0].text)

@@ -24,8 +24,10 @@ IP = r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])(?:\.|$)){4}$"
-#: A label, its mark, and a value that has digits or an at sign.
-LABELLED = r"(?<![\p{L}_])[\p{L}_]{2,24}+ ?[:=#] ?(?:[+(]?[0-9][0-9() .-]{3,30}[0-9]|[A-Za-z0-9][A-Za-z0-9._%+@/-]{3,80}[A-Za-z0-9]|\S)"
+#: The rest of a token: up to the last letter or digit of a run of its characters.
+REST = r"(?:[._%+@/-]*+[A-Za-z0-9]++)*+"
+#: A label, its mark, and a value that has digits or an at sign; the value ends where its (last) token ends.
+LABELLED = r"(?<![\p{L}_])[\p{L}_]{2,24}+ ?[:=#] ?(?:[+(]?[0-9][0-9() .-]{3,}[0-9]" + REST + r"|[A-Za-z0-9](?=[A-Za-z0-9._%+@/-]{3,}[A-Za-z0-9])" + REST + r"|\S)"
 PARTS = r"^([\p{L}_]+) ?([:=#]) ?(.*)$"
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 5, 0.8
 
@@ -109,7 +111,7 @@ def confident_patterns(docs: DataFrame, text: str, rounds: int = ROUNDS, min_see
 
 
 def find_spans(docs: DataFrame, text: str) -> DataFrame:
-    """docs with `_base` and `_all`: base spans, and with them those that confident patterns discover. The text must not be null."""
+    """docs with `_base` and `_all`: base spans, and with them those that confident patterns discover and no base span covers whole. The text must not be null."""
     patterns = cut(confident_patterns(docs, text), "confident")
     base = base_spans(docs, text).withColumn("_t", F.xxhash64(text)).withColumn("_n", F.length(text))
     texts = docs.select(text).where(F.rlike(text, F.lit(r"[\p{L}_] ?[:=#]")))
@@ -117,7 +119,7 @@ def find_spans(docs: DataFrame, text: str) -> DataFrame:
     new = new.select(F.xxhash64(text).alias("_t"), F.length(text).alias("_n"), F.struct("s", F.lit(len(KINDS) - 1).alias("r"), "e", F.col("value").alias("v")).alias("x"))
     more = cut(new.distinct().groupBy("_t", "_n").agg(F.collect_set("x").alias("_more")), "discovered")
     joined = base.join(more, ["_t", "_n"], "left")
-    fresh = F.filter(F.coalesce("_more", F.expr("cast(array() as array<struct<s:int,r:int,e:int,v:string>>)")), lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"])))
+    fresh = F.filter(F.coalesce("_more", F.expr("cast(array() as array<struct<s:int,r:int,e:int,v:string>>)")), lambda x: ~F.exists("_base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
     return joined.withColumn("_all", F.array_sort(F.concat("_base", fresh))).drop("_more", "_t", "_n")
 
 
