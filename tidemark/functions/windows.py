@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.schema import SESSIONS, VOL_BUCKETS
 
-BY_TIME = Window.partitionBy("symbol").orderBy("ts")
-SO_FAR = BY_TIME.rowsBetween(Window.unboundedPreceding, 0)
-TO_COME = BY_TIME.rowsBetween(0, Window.unboundedFollowing)
 #: A deviation below this counts as none.
 TINY = 1e-9
 
 
-def last_rows(n: int):
-    return BY_TIME.rowsBetween(1 - n, 0)
+def by_time() -> WindowSpec:
+    """Made when asked for: a spec needs a session, and this module is imported without one."""
+    return Window.partitionBy("symbol").orderBy("ts")
+
+
+def so_far() -> WindowSpec:
+    return by_time().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def to_come() -> WindowSpec:
+    return by_time().rowsBetween(0, Window.unboundedFollowing)
+
+
+def last_rows(n: int) -> WindowSpec:
+    return by_time().rowsBetween(1 - n, 0)
 
 
 def lag(x: str | Column, n: int = 1) -> Column:
-    return F.lag(x, n).over(BY_TIME)
+    return F.lag(x, n).over(by_time())
 
 
 def _zero(x: Column) -> Column:
@@ -73,7 +83,7 @@ def zscore(x: str, n: int, least: int = 2) -> Column:
 
 
 def break_of_structure(n: int) -> dict[str, Column]:
-    w = BY_TIME.rowsBetween(-n, -1)
+    w = by_time().rowsBetween(-n, -1)
     return {f"bos_up_{n}": F.coalesce((F.col("high") > F.max("high").over(w)).cast("double"), F.lit(0.0)), f"bos_down_{n}": F.coalesce((F.col("low") < F.min("low").over(w)).cast("double"), F.lit(0.0))}
 
 
@@ -109,7 +119,7 @@ def with_range_acceleration(df: DataFrame) -> DataFrame:
 
 
 def liquidity_proxy(df: DataFrame) -> DataFrame:
-    return df.withColumn("_v", sma("volume", 30, 5)).withColumn("liquidity_proxy", _zero(F.last("_v", ignorenulls=True).over(SO_FAR))).drop("_v")
+    return df.withColumn("_v", sma("volume", 30, 5)).withColumn("liquidity_proxy", _zero(F.last("_v", ignorenulls=True).over(so_far()))).drop("_v")
 
 
 def rolling_median(x: Column, n: int) -> Column:
@@ -122,19 +132,19 @@ def fee_buffer(fee_bp: float = 2.0, n: int = 50, median: bool = True) -> Column:
 
 
 def drawdown(x: str) -> Column:
-    top = F.max(x).over(SO_FAR)
+    top = F.max(x).over(so_far())
     return (F.col(x) - top) / F.nullif(top, F.lit(0.0))
 
 
 def cvd() -> Column:
-    return F.sum(F.when(F.col("is_buyer_maker"), -F.col("quantity")).otherwise(F.col("quantity"))).over(SO_FAR)
+    return F.sum(F.when(F.col("is_buyer_maker"), -F.col("quantity")).otherwise(F.col("quantity"))).over(so_far())
 
 
 def with_ofi(df: DataFrame) -> DataFrame:
     """Order-flow imbalance: changes of size on the side whose price holds or improves, summed up."""
     d = lambda c: _zero(F.col(c) - lag(c))
     step = F.when(d("bid_price") >= 0, d("bid_size")).otherwise(0.0) - F.when(d("ask_price") <= 0, d("ask_size")).otherwise(0.0)
-    return df.withColumn("_s", step).withColumn("ofi", F.sum("_s").over(SO_FAR)).drop("_s")
+    return df.withColumn("_s", step).withColumn("ofi", F.sum("_s").over(so_far())).drop("_s")
 
 
 def imbalance(level: int) -> Column:
@@ -144,8 +154,8 @@ def imbalance(level: int) -> Column:
 
 def with_microprice(df: DataFrame) -> DataFrame:
     raw = (F.col("bid_price") * F.col("ask_size") + F.col("ask_price") * F.col("bid_size")) / F.nullif(F.col("bid_size") + F.col("ask_size"), F.lit(0.0))
-    df = df.withColumn("_m", raw).withColumn("_m", F.last("_m", ignorenulls=True).over(SO_FAR))
-    return df.withColumn("microprice", F.coalesce("_m", F.first("_m", ignorenulls=True).over(TO_COME))).drop("_m")
+    df = df.withColumn("_m", raw).withColumn("_m", F.last("_m", ignorenulls=True).over(so_far()))
+    return df.withColumn("microprice", F.coalesce("_m", F.first("_m", ignorenulls=True).over(to_come()))).drop("_m")
 
 
 def with_roll_impact(df: DataFrame, n: int = 50) -> DataFrame:
@@ -161,18 +171,18 @@ def vpin(n: int = 50) -> Column:
 
 def target(h: int, buffer: Column | str = "fee_buffer") -> Column:
     """1, 0 or -1 as the log return over the next h rows leaves the cost buffer; 0 where there are no h rows."""
-    ahead = ln(F.lead("close", h).over(BY_TIME)) - ln(F.col("close"))
+    ahead = ln(F.lead("close", h).over(by_time())) - ln(F.col("close"))
     b = F.col(buffer) if isinstance(buffer, str) else buffer
     return F.when(ahead > b, 1).when(ahead < -b, -1).otherwise(0)
 
 
 def target_binary() -> Column:
-    return F.coalesce((F.lead("close", 1).over(BY_TIME) > F.col("close")).cast("int"), F.lit(0))
+    return F.coalesce((F.lead("close", 1).over(by_time()) > F.col("close")).cast("int"), F.lit(0))
 
 
 def fill_limited(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
     """Nulls become the last value of up to n rows before, else the first of up to n rows after."""
-    back, ahead = BY_TIME.rowsBetween(-n, 0), BY_TIME.rowsBetween(0, n)
+    back, ahead = by_time().rowsBetween(-n, 0), by_time().rowsBetween(0, n)
     df = df.withColumns({c: F.last(c, ignorenulls=True).over(back) for c in columns})
     return df.withColumns({c: F.coalesce(c, F.first(c, ignorenulls=True).over(ahead)) for c in columns})
 

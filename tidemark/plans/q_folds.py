@@ -66,7 +66,7 @@ query("fold_sequences", with_candles("SELECT symbol, ts, round(list_sum(seq), 6)
 
 def sequences(df: DataFrame, n: int, x: str = "close") -> DataFrame:
     """The n values before each row, where there are that many."""
-    return df.withColumn("sequence", F.collect_list(x).over(X.BY_TIME.rowsBetween(-n, -1))).where(F.size("sequence") == n)
+    return df.withColumn("sequence", F.collect_list(x).over(X.by_time().rowsBetween(-n, -1))).where(F.size("sequence") == n)
 
 
 def fixed(spark: SparkSession, d: str) -> DataFrame:
