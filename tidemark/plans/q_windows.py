@@ -72,15 +72,15 @@ bars("win_spread_median20", lambda: {"spread": X.rolling_median(F.col("high") -
 bars("win_sma_range14", lambda: {"sma": X.sma(F.col("high") - F.col("low"), 14)}, {"sma": f"avg(high - low) {rows(14)}"})
 bars("win_avg_volume50", lambda: {"avg_volume": X.sma("volume", 50)}, {"avg_volume": f"avg(volume) {rows(50)}"})
 steps("win_rolling_volatility", lambda df: df.withColumn("_r", X.pct_change()).withColumn("vol", F.coalesce(X.deviation("_r", 20), F.lit(0.0))), "vol", "coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0)", f"coalesce(stddev_samp(y) {rows(20)}, 0)", 8)
-bars("win_cummax", lambda: {"top": F.max("close").over(X.SO_FAR)}, {"top": "max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"})
+bars("win_cummax", lambda: {"top": F.max("close").over(X.so_far())}, {"top": "max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"})
 bars("win_drawdown", lambda: {"dd": X.drawdown("close")}, {"dd": "(close - max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) / nullif(max(close) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0)"})
 bars("win_target_binary", lambda: {"target": X.target_binary()}, {"target": "coalesce(CAST(lead(close) OVER w > close AS INTEGER), 0)"})
 steps("win_target", lambda df: df.withColumn("fee_buffer", X.fee_buffer()).withColumn("target", X.target(5)), "target", f"0.0002 + quantile_cont(abs(high - low), 0.5) {rows(50)} / nullif(close, 0) / 2", "CASE WHEN ln(lead(close, 5) OVER w) - ln(close) > y THEN 1 WHEN ln(lead(close, 5) OVER w) - ln(close) < -y THEN -1 ELSE 0 END")
 bars("win_stream_features", lambda: {"ret": X.pct_change(), "momentum": F.coalesce(F.col("close") - X.lag("close"), F.lit(0.0)), "hl_range": F.col("high") - F.col("low")}, {"ret": "coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0)", "momentum": "coalesce(close - lag(close) OVER w, 0)", "hl_range": "high - low"})
 
 _SPARSE = "CASE WHEN trades > 1 THEN close END"
-steps("win_ffill", lambda df: df.withColumn("y", F.expr(_SPARSE)).withColumn("filled", F.last("y", ignorenulls=True).over(X.SO_FAR)), "filled", _SPARSE, "last_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)")
-steps("win_bfill", lambda df: df.withColumn("y", F.expr(_SPARSE)).withColumn("filled", F.first("y", ignorenulls=True).over(X.TO_COME)), "filled", _SPARSE, "first_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
+steps("win_ffill", lambda df: df.withColumn("y", F.expr(_SPARSE)).withColumn("filled", F.last("y", ignorenulls=True).over(X.so_far())), "filled", _SPARSE, "last_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)")
+steps("win_bfill", lambda df: df.withColumn("y", F.expr(_SPARSE)).withColumn("filled", F.first("y", ignorenulls=True).over(X.to_come())), "filled", _SPARSE, "first_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
 _FILL5 = "last_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
 query("win_fill_limit", with_candles("SELECT symbol, ts, round(coalesce(z, first_value(z IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)), 6) + 0.0 AS filled FROM z", more=f"y AS (SELECT *, {_SPARSE} AS y FROM c), z AS (SELECT *, {_FILL5} AS z FROM y)"))(
     lambda spark, d: rounded(X.fill_limited(candles(spark, d).withColumn("filled", F.expr(_SPARSE)), ["filled"]).select("symbol", "ts", "filled"))
