@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -25,23 +26,36 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*[F.col(f"_in{at[n]}").alias(n) for n in names])
 
 
-#: Rows of texts that go to Python at a time, in sessions that leave Spark's 10,000 as it is: long texts make such batches large.
-BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+#: Rows of an Arrow batch that goes to Python, at most. Spark bounds such batches by rows alone, so few rows keep long texts in bounds.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 128
 
 
-def texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """The key and the text, for a Python step; bounds the batches that it gets."""
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have BATCH_ROWS rows at most, or fewer if the session has it so.
+
+    Spark reads the setting when a plan runs, so it stays. It is a bound of memory alone: results do not depend on it.
+    """
     conf = df.sparkSession.conf
-    if conf.get(BATCH_KEY) == BATCH_DEFAULT:
-        conf.set(BATCH_KEY, BATCH_ROWS)
-    return pick(df, key, text).withColumn(text, F.col(text).cast("string"))
+    if not 0 < int(conf.get(BATCH_KEY)) <= BATCH_ROWS:
+        conf.set(BATCH_KEY, str(BATCH_ROWS))
+    return df
+
+
+def texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The key and the text, for a Python step, in bounded batches."""
+    return bounded(pick(df, key, text).withColumn(text, F.col(text).cast("string")))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (local runs and tests)."""
+    """The folder that driver and executors share. A local session that names none gets a temporary one; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(folder)
     return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -53,14 +67,36 @@ def cut(df: DataFrame, label: str = "cut", free: bool = False) -> DataFrame:
     """The rows of df, written to the shared folder and read back: later steps neither recompute them nor need the executors that made them.
 
     Once the rows are written, the shuffle files behind them serve nothing. They go when the driver collects its garbage; `free` has it do
-    so at once, which large steps need.
+    so at once, which large steps need. `discard` deletes the table when its successor is written.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
     if free:
         spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote and no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def with_texts(df: DataFrame, text: str, fields: Sequence[Field], fn: Callable[[list], Sequence[list]]) -> DataFrame:
+    """df with the columns that fn makes of a batch of texts (None: null). Only the texts go to Python, and only fn's columns come back."""
+    types, names = [f[2] for f in fields], [f[0] for f in fields]
+
+    @F.arrow_udf(", ".join(f"`{n}` {t}" for n, t, _ in fields))
+    def run(batch: pa.Array) -> pa.Array:
+        cols = fn(batch.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=names)
+
+    return bounded(df).withColumn("_made", run(F.col(text).cast("string"))).select(*df.columns, *[F.col("_made")[n].alias(n) for n in names])
 
 
 def map_texts(df: DataFrame, key: str, text: str, fields: Sequence[Field], fn: Callable[[list], Sequence[list]]) -> DataFrame:

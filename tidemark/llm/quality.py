@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_texts, pick, texts
+from tidemark.llm.common import map_texts, pick, with_texts
 
 #: The most labelled rows that a fit takes, by the order of a hash of their ids; they are the only rows that come to the driver.
 MAX_TRAIN = 20_000
@@ -197,17 +197,14 @@ def score_quality(docs: DataFrame, model: RuleModel, key: str = "doc_id", text:
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, model: RuleModel, columns: Sequence[str], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with these columns, that the model accepts; a row is judged where it is read, so nothing is joined."""
-    texts(docs, key, text)  # bounds the batches
+def keep_good(docs: DataFrame, model: RuleModel, columns: Sequence[str], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with these columns, that the model accepts. A row is judged where it is read: only its text goes to Python, only
+    statistics come back, and nothing is joined. Rows with null texts are judged like empty ones and stay null; repeated rows are judged
+    alike. A model that was fitted without two classes of labels can't reject anything: every row stays.
+    """
     rows = pick(docs, *columns)
-    kinds = dict(rows.dtypes)
-    at = list(columns).index(text)
-
-    def run(batches):
-        for b in batches:
-            cols = _columns(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(c, type=pa.float64()) for c in cols]], names=[*columns, *STATISTICS])
-
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], *[f"{s} double" for s in STATISTICS]])
-    return rows.mapInArrow(run, schema).where(model.column() >= threshold).select(*columns)
+    if not model.rules:
+        return rows
+    inner = rows.toDF(*[f"_c{i}" for i in range(len(columns))])
+    judged = with_texts(inner, f"_c{list(columns).index(text)}", FIELDS, _columns).where(model.column() >= threshold)
+    return judged.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
