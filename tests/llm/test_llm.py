@@ -350,6 +350,25 @@ def test_shards_fit(spark, corpus):
     assert sharding.document_shards(docs(spark, [])).count() == 0
 
 
+def test_shards_at_many_depths(spark):
+    d = docs(spark, ["x" * 10] * 400 + ["y" * 300] * 30, [*range(400), *[7] * 30])
+    rows = sharding.document_shards(d, limit=40).collect()
+    assert len(rows) == 430
+    size = {}
+    for r in rows:
+        size[r.shard] = size.get(r.shard, 0) + r.n_bytes
+        assert f"{int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16):060b}".startswith(r.shard)
+    assert all(r.shard_bytes == size[r.shard] and r.oversize == (r.shard_bytes > 40) == (r.doc_id == 7) for r in rows)
+
+
+def test_written_shards_keep_every_row(spark, tmp_path):
+    d = pick(docs(spark, ["x" * 3000, "y" * 3000, None, "z"], [None, 1, None, 1]), "doc_id", "text", "lang")
+    sharding.write_shards(d, str(tmp_path / "out"), "doc_id", F.octet_length("text"), limit=4000)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r.doc_id or -1, len(r.text or "")) for r in back.collect()) == [(-1, 0), (-1, 3000), (1, 1), (1, 3000)]
+    assert set(d.columns) < set(back.columns)
+
+
 # 10
 def test_media_round_trip(spark, corpus):
     got = {r.doc_id: r for r in mpeg.media_columns(docs(spark, corpus)).collect()}
