@@ -318,6 +318,34 @@ def test_salvage(zipped):
         at += x["length"]
 
 
+def test_damaged_files_are_quarantined(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 40) for i in range(30)], "page_id bigint, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    manifest = warc.cut(warc.write_archives(warc.with_revisits(pages.coalesce(1)), folder), "manifest")
+    assert warc.reconciled(manifest, warc.read_archives(manifest, folder)).count() == 0
+    path = manifest.first().path
+    data = bytearray(open(path, "rb").read())
+    hit = warc.read_archives(manifest, folder).where("page_id = 15").first()
+    data[hit.offset + hit.length // 2] ^= 0xFF
+    open(path, "wb").write(bytes(data))
+    found = warc.read_archives(manifest, folder, keep_payload=True)
+    assert found.where("gap is null and payload is not null").count() == 29
+    assert [(r.records, r.read, r.gaps) for r in warc.reconciled(manifest, found).collect()] == [(30, 29, 1)]
+    gap = warc.quarantine(found).collect()
+    assert len(gap) == 1 and gap[0].path == path and gap[0].length > 0 and gap[0].reason
+    real = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a: real(*a).where("page_id <> 3"))
+    with pytest.raises(RuntimeError, match="manifest"):
+        warc.archive_round_trip(pages)
+
+
+def test_members_are_bounded(monkeypatch):
+    monkeypatch.setattr(warc, "MAX_MEMBER", 1000)
+    data = warc.member(warc.record(1, "u", b"x" * 100, None)) + warc.member(warc.record(2, "u", b"x" * 2000, None)) + warc.member(warc.record(3, "u", b"", None))
+    out = list(warc.salvage(data))
+    assert [x.get("page_id", x.get("gap")) for x in out] == [1, "member size", 3]
+
+
 # 8
 def test_bpe_equals_the_library(spark, corpus):
     tok = Tokenizer.from_file(VOCAB)
@@ -407,6 +435,83 @@ def test_media_that_looks_like_a_tag():
         assert tagged["payload"] == d["payload"] and tagged["offsets"] == d["offsets"] and tagged["skipped"] == len(junk)
 
 
+def hand_made(version, layer, mono, index, fs, protected, rng):
+    """A frame by the standard's formulas, put together bit by bit; Layers I and II have a random allocation."""
+    b1 = 0xE0 | {1: 3, 2: 2, 2.5: 0}[version] << 3 | (4 - layer) << 1 | (not protected)
+    head = bytes([0xFF, b1, index << 4 | fs << 2, 0xC0 if mono else 0x00])
+    rate = [44100, 48000, 32000][fs] // {1: 1, 2: 2, 2.5: 4}[version]
+    kbps = {(1, 1): 32 * index, (1, 2): [32, 48, 56, 64, 80, 96, 112, 128][index - 1], (1, 3): [32, 40, 48, 56, 64, 80, 96, 112][index - 1], (2, 1): [32, 48, 56, 64, 80, 96, 112, 128][index - 1]}.get((int(version), layer), 8 * index)
+    samples = {1: 384, 2: 1152, 3: 1152 if version == 1 else 576}[layer]
+    size = 4 * (12 * kbps * 1000 // rate) if layer == 1 else samples // 8 * kbps * 1000 // rate
+    body = bytearray(rng.randrange(254) for _ in range(size - 4 - 2 * protected))
+    if protected:
+        side = {(1, False): 32, (1, True): 17, (2, False): 17, (2, True): 9}[min(int(version), 2), mono]
+        if layer == 3:
+            covered = "".join(f"{x:08b}" for x in body[:side])
+        elif layer == 1:
+            covered = "".join(f"{x:08b}" for x in body)[: 128 if mono else 256]
+        else:
+            bits, at, used = "".join(f"{x:08b}" for x in body), 0, 0
+            per = kbps // (1 if mono else 2)
+            widths = [4] * 4 + [3] * 7 + [2] * 19 if version > 1 else [4] * 2 + [3] * (10 if rate == 32000 else 6) if per < 56 else [4] * 11 + [3] * 12 + [2] * (7 if per > 80 and rate != 48000 else 4)
+            for w in widths:
+                for _ in range(1 if mono else 2):
+                    used += int(bits[at : at + w], 2) > 0
+                    at += w
+            covered = bits[: at + 2 * used]
+        crc = 0xFFFF
+        for bit in "".join(f"{x:08b}" for x in head[2:]) + covered:
+            top = crc >> 15
+            crc = crc << 1 & 0xFFFF
+            if top != int(bit):
+                crc ^= 0x8005
+        body = crc.to_bytes(2, "big") + body
+    return head + bytes(body), samples, rate
+
+
+@pytest.mark.parametrize("version", [1, 2, 2.5])
+@pytest.mark.parametrize("layer", [1, 2, 3])
+@pytest.mark.parametrize("mono", [False, True])
+def test_frames_that_the_writer_does_not_make(version, layer, mono):
+    rng = random.Random(f"{version}{layer}{mono}")
+    for protected, index, fs in itertools.product((True, False), (4, 8), (0, 1, 2)):
+        frames = [hand_made(version, layer, mono, index, fs, protected, rng) for _ in range(5)]
+        data = b"".join(f[0] for f in frames)
+        d = mpeg.decode(data)
+        assert d["offsets"] == [i * len(frames[0][0]) for i in range(5)] and not d["bad_crc"] and not d["skipped"]
+        assert mpeg.duration_us(d) == 5 * frames[0][1] * 1_000_000 // frames[0][2]
+        if protected:
+            bad = bytearray(data)
+            bad[2 * len(frames[0][0]) + 7] ^= 0x80
+            assert mpeg.decode(bytes(bad))["bad_crc"] == 1
+        noisy = mpeg.decode(b"junk" + data[: 2 * len(frames[0][0])] + b"\x00" * 9 + data[2 * len(frames[0][0]) :])
+        assert noisy["skipped"] >= 13 and len(noisy["offsets"]) >= 3 + protected
+
+
+def test_tags_and_tables_that_the_writer_does_not_make():
+    rng = random.Random(8)
+    frame = hand_made(1, 3, False, 8, 0, False, rng)[0]
+    text = lambda enc, s: bytes([enc]) + s.encode(["latin-1", "utf-16", "utf-16-be", "utf-8"][enc])
+    synchsafe = lambda n: bytes(n >> s & 127 for s in (21, 14, 7, 0))
+    title = text(1, "Übung " * 40)
+    v23 = b"TIT2" + len(title).to_bytes(4, "big") + b"\0\0" + title
+    tag = b"ID3\x03\0\0" + synchsafe(len(v23) + 20) + v23 + bytes(20)
+    v22 = b"TXX" + (8).to_bytes(3, "big") + b"\x00ab\x00cde\x00"[:8]
+    old = b"ID3\x02\0\0" + synchsafe(len(v22)) + v22
+    wide = (b"TPE1" + (4).to_bytes(4, "big") + b"\0\0" + b"\x00a\xffb").replace(b"\xff", b"\xff\x00")
+    unsync = b"ID3\x03\0\x80" + synchsafe(len(wide)) + wide
+    xing = bytearray(frame)
+    xing[36:48] = b"Info" + (2).to_bytes(4, "big") + (77).to_bytes(4, "big")
+    d = mpeg.decode(tag + old + unsync + bytes(xing) + frame * 3)
+    assert d["tags"] == {"TIT2": "Übung " * 40, "ab": "cde", "TPE1": "aÿb"} and len(d["offsets"]) == 3
+    assert (d["vbr"]["kind"], d["vbr"]["frames"], d["vbr"]["bytes"], d["vbr"]["toc"]) == ("Info", None, 77, None)
+    vbri = bytearray(frame)
+    vbri[36:66] = b"VBRI" + bytes(6) + (5000).to_bytes(4, "big") + (9).to_bytes(4, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + (4).to_bytes(2, "big") + b"\x01\x02\x03\x04"
+    got = mpeg.decode(bytes(vbri) + frame * 3)["vbr"]
+    assert (got["kind"], got["frames"], got["bytes"], got["toc"]) == ("VBRI", 9, 5000, b"\x01\x02\x03\x04")
+    assert mpeg.decode(b"")["offsets"] == [] and mpeg.duration_us(mpeg.decode(b"")) == 0
+
+
 def test_nothing_but_named_columns(spark):
     d = docs(spark, ["a"])
     assert pick(d, "text").columns == ["text"] and pick(d, "text").first()[0] == "a"

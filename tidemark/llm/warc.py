@@ -19,9 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fresh_path, pick
+from tidemark.llm.common import bounded, cut, discard, fresh_path, pick
 
-ROLL_BYTES, LEVEL = 32 << 20, 1
+#: Bytes at which a file is closed, level of compression, and the most bytes that a gzip member may hold.
+ROLL_BYTES, LEVEL, MAX_MEMBER = 32 << 20, 1, 1 << 30
 #: The format's lines.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -102,14 +103,16 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
 
 def _inflated(data: memoryview, at: int) -> tuple[bytes, int]:
     """The gzip member that starts there, and where it ends."""
-    d, out, pos = zlib.decompressobj(31), [], at
+    d, out, pos, size = zlib.decompressobj(31), [], at, 0
     try:
         while not d.eof:
             piece = data[pos : pos + 65536]
             if not len(piece):
                 raise Damaged("gzip end")
             out.append(d.decompress(piece))
-            pos += len(piece)
+            pos, size = pos + len(piece), size + len(out[-1])
+            if size > MAX_MEMBER:
+                raise Damaged("member size")
     except zlib.error:
         raise Damaged("gzip") from None
     return b"".join(out), pos - len(d.unused_data)
@@ -186,7 +189,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
-    return pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records bigint, bytes bigint")
+    return bounded(pages.select("page_id", "url", "html", "refers_to")).mapInArrow(run, "path string, records bigint, bytes bigint")
 
 
 OUT = [("path", "string", pa.string()), ("gap", "string", pa.string()), ("offset", "bigint", pa.int64()), ("length", "bigint", pa.int64()), ("page_id", "bigint", pa.int64()), ("payload_bytes", "bigint", pa.int64()), ("payload_digest", "string", pa.string()), ("record_type", "string", pa.string()), ("refers_to", "bigint", pa.int64())]
@@ -204,8 +207,9 @@ def read_archives(paths: DataFrame, folder: str, keep_payload: bool = False) ->
                     data = f.read()
                 rows, held = [], 0
                 for x in salvage(data):
-                    rows.append(x | {"path": path})
-                    held += x.get("payload_bytes") or 0
+                    payload = x.pop("payload", None)
+                    rows.append(x | {"path": path} | ({"payload": payload} if keep_payload else {}))
+                    held += len(payload or b"")
                     if len(rows) >= 5000 or keep_payload and held > 16 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], k) for n, _, k in fields], names=[f[0] for f in fields])
                         rows, held = [], 0
@@ -226,14 +230,33 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
     return rows.withColumn("sha", sha).join(again, "sha", "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("top"), F.col("top")).alias("refers_to"))
 
 
+def quarantine(found: DataFrame) -> DataFrame:
+    """(path, offset, length, reason) of the byte gaps that the reader passed over."""
+    return found.where("gap is not null").select("path", "offset", "length", F.col("gap").alias("reason"))
+
+
+def reconciled(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, records, read, gaps) of the files that gave other records than were written, or had gaps."""
+    got = found.groupBy("path").agg(F.count_if(F.col("gap").isNull()).alias("read"), F.count("gap").alias("gaps"))
+    both = manifest.select("path", "records").join(got, "path", "left").select("path", "records", F.coalesce("read", F.lit(0)).alias("read"), F.coalesce("gaps", F.lit(0)).alias("gaps"))
+    return both.where("records <> read or gaps > 0")
+
+
 def archive_round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives it was written to.
 
     Null and empty html are empty payloads. Of equal payloads the row with the largest page_id is the response, all rows with that id
-    where it repeats; a row without page_id is a response. An empty table gives no rows.
+    where it repeats; a row without page_id is a response. An empty table gives no rows. What was read is held against the manifest: a
+    gap or a missing record is an error here, where no byte may be lost, and the error names the table of quarantined gaps.
     """
     spark = pages.sparkSession
     folder = fresh_path(spark, "warc")
     manifest = cut(write_archives(with_revisits(pages, key, url, html), folder), "manifest")
     spread = manifest.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path")
-    return read_archives(spread, folder).where("gap is null").select(F.col("page_id").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = cut(read_archives(spread, folder), "records")
+    wrong = reconciled(manifest, found).limit(5).collect()
+    if wrong:
+        log = cut(quarantine(found), "quarantine")
+        raise RuntimeError(f"{len(wrong)} files or more differ from their manifest, such as {wrong[0].path}; gaps are listed in {log._written}")
+    discard(manifest)
+    return found.where("gap is null").select(F.col("page_id").alias(key), "payload_bytes", "payload_digest", "record_type", "refers_to")
