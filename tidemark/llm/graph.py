@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, discard
 
 MAX_ROUNDS = 60
 
@@ -37,7 +37,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        now = cut(_small(_large(now)), "edges")
+        now, last = cut(_small(_large(now)), "edges"), now
+        discard(last)
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -2,14 +2,15 @@
 
 A set that shares 90 % with another shares at least one of its first tenth of shingles, in any order common to all documents. Shingles are
 ordered by a sketch of how many documents hold them, rare ones first. Documents of equal sets are one class; classes of equal prefix and
-size are one group, and only groups are compared. The groups of a shingle are first tied to its HUBS groups with most copies, and the
-classes of a group to its smallest; pairs of classes, of two groups or of one, that these verified links have not brought together are
-then expanded and verified one and all, so no link between two components is missed, while a group of many near copies never yields all
-its pairs.
+size are one group, and only groups are compared. The groups of a shingle are first tied to its hubs (the groups with most copies of HUBS
+parts, dealt by hash), and the classes of a group to its smallest; pairs of classes, of two groups or of one, that these verified links
+have not brought together are then expanded, among sizes that can be similar, and verified one and all, so no link between two components
+is missed, while a group of many near copies never yields all its pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,15 +18,17 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, texts
+from tidemark.llm.common import cut, discard, texts
 from tidemark.llm.graph import components
 
 WORDS, PERCENT, HUBS = 3, 90, 2
-#: log2 of the counters of the document-frequency sketch, and of the bits of the filter of wanted ids
-SKETCH_BITS, FILTER_BITS = 22, 23
+#: log2 of the counters of the document-frequency sketch, and of the most bits of the filter of wanted ids (it has 16 for each of them)
+SKETCH_BITS, FILTER_BITS = 22, 28
+#: Bits of a posting's place and of its size: a text of 2 GB, the longest that Spark holds, has fewer than 2 ** 30 words.
+POS_BITS, SIZE_BITS = 27, 30
 
 _M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -53,7 +56,8 @@ def _buckets(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def frequency_rank(docs: DataFrame, key: str, text: str, words: int, bits: int = SKETCH_BITS) -> np.ndarray:
-    """A byte for each counter: about sixteen times the logarithm of the documents that hold its shingles. 2 ** bits bytes, whatever the input.
+    """A byte for each counter: about four times the logarithm of the documents that hold its shingles. 2 ** bits bytes, whatever the input;
+    a byte tells counts up to 2 ** 63 apart, so very common shingles stay last in the order of a corpus of any size.
 
     Tasks count by themselves; their counters are added up block by block, in two steps where there are many tasks, and only the bytes
     come to the driver. Any such table gives an exact join; a truer one makes it cheaper.
@@ -94,7 +98,7 @@ def frequency_rank(docs: DataFrame, key: str, text: str, words: int, bits: int =
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "counts": [add_up(pdf).tobytes()]})
 
     def ranked(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": pdf["block"].iloc[:1], "ranks": [np.minimum(255, 16 * np.log2(1 + add_up(pdf))).astype(np.uint8).tobytes()]})
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "ranks": [np.minimum(255, 4 * np.log2(1 + add_up(pdf))).astype(np.uint8).tobytes()]})
 
     parts = source.mapInArrow(count, "block int, sub int, counts binary")
     if subs > 1:
@@ -147,8 +151,8 @@ def signatures(docs: DataFrame, rank: np.ndarray, key: str, text: str, words: in
 
 
 def wanted_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(id, shingles) of at least the documents whose id is in ids: a bit filter of fixed size picks them while the table streams by."""
-    bits, kind = FILTER_BITS, dict(docs.dtypes)[key]
+    """(id, shingles) of at least the documents whose id is in ids: a bit filter of at most 2 ** FILTER_BITS bits picks them while the table streams by."""
+    bits, kind = min(FILTER_BITS, max(16, (16 * ids.count()).bit_length())), dict(docs.dtypes)[key]
     place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
     rows = ids.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map")).collect()  # 2 ** bits bits at most
     if not rows:
@@ -206,37 +210,54 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     classes = cut(live.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.first("g1").alias("g1"), F.first("g2").alias("g2")), "classes")
     groups = live.groupBy("g1", "g2", "n").agg(F.min("id").alias("gid"), F.count("*").alias("copies"), F.min_by("prefix", "id").alias("prefix"))
     # one number holds the logarithm of the copies, the size and the place: it is half of what the widest shuffle moves
-    meta = F.expr("shiftleft(cast(log2(copies) as bigint), 56) + shiftleft(n, 28)")
+    meta = F.expr(f"shiftleft(cast(log2(copies) as bigint), {POS_BITS + SIZE_BITS}) + shiftleft(n, {POS_BITS})")
     postings = groups.withColumn("meta", meta).select("gid", "meta", F.posexplode("prefix").alias("pos", "token")).select("token", "gid", (F.col("meta") + F.col("pos")).alias("meta"))
     common = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared = cut(postings.join(common, "token").select("token", "gid", F.expr("shiftright(meta, 56)").alias("copies"), F.expr("shiftright(meta, 28) & 268435455").alias("n"), F.expr("cast(meta & 268435455 as int)").alias("pos")), "postings", free=True)
+    parts = [F.expr(x) for x in (f"shiftright(meta, {POS_BITS + SIZE_BITS}) as copies", f"shiftright(meta, {POS_BITS}) & {(1 << SIZE_BITS) - 1} as n", f"cast(meta & {(1 << POS_BITS) - 1} as int) as pos")]
+    shared = cut(postings.join(common, "token").select("token", "gid", *parts), "postings", free=True)
+    ids = cut(base.select("id", "n", "s1", "s2"), "ids", free=True)
+    discard(base)
 
     many = classes.groupBy("g1", "g2", "n").agg(F.min("rep").alias("gid"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = cut(classes.join(many, ["g1", "g2", "n"]).select("gid", "rep"), "members")
-    order = Window.partitionBy("token").orderBy(F.desc("copies"), F.xxhash64("gid"), "gid")
-    top = shared.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= hubs).select("token", F.col("gid").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))
+    # a hub for each part: maxima are taken before the shuffle, however many groups a shingle has
+    hub = F.struct("copies", F.xxhash64("gid").alias("h"), F.col("gid").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))
+    hubs_of = F.array(*[F.max(F.when(F.pmod(F.xxhash64("gid", F.lit(1)), F.lit(hubs)) == i, hub)) for i in range(hubs)])
+    top = shared.groupBy("token").agg(hubs_of.alias("x")).withColumn("x", F.explode("x")).where("x is not null").select("token", "x.hub", "x.hn", "x.hpos")
     first = shared.join(top, "token").where(f"gid <> hub and {_possible(percent)}").select(F.least("gid", "hub").alias("a"), F.greatest("gid", "hub").alias("b"))
     tied = cut(first.unionAll(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct(), "pairs")
-    links = cut(verified(tied, cut(sets_of(docs, tied, key, text, words), "sets", free=True), percent), "links", free=True)
+    sets = cut(sets_of(docs, tied, key, text, words), "sets", free=True)
+    links = cut(verified(tied, sets, percent), "links", free=True)
+    discard(sets)
     so_far = cut(components(links), "components")
 
     expanded = shared.join(members, "gid", "left").withColumn("rep", F.coalesce("rep", "gid"))
     labelled = cut(expanded.join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")), "labelled")
+    discard(shared)
     apart = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    rest = cut(labelled.join(apart, "token"), "rest", free=True)
-    other = rest.select("token", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("comp").alias("hcomp"))
-    open_pairs = rest.join(other, "token").where(f"comp < hcomp and {_possible(percent)}").select("rep", "hub")
+    # sizes that can be similar lie in the same band or in the next: a common shingle's groups meet only there
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
+    rest = cut(labelled.join(apart, "token").withColumn("band", band), "rest", free=True)
+    discard(labelled)
+    larger = rest.select("token", "band", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("comp").alias("hcomp"))
+    smaller = rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    open_pairs = smaller.join(larger, ["token", "band"]).where(f"comp <> hcomp and n <= hn and {_possible(percent)}").select("rep", "hub")
     # classes of one group have all their prefix in common: they meet by their group, also where no other group holds any of its shingles
     inside = cut(members.join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select("gid", "rep", F.coalesce("component", "rep").alias("comp")), "inside")
     split = inside.groupBy("gid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gid")
     divided = cut(inside.join(split, "gid"), "divided")
     within = divided.join(divided.select("gid", F.col("rep").alias("hub"), F.col("comp").alias("hcomp")), "gid").where("comp < hcomp").select("rep", "hub")
     open_pairs = open_pairs.unionAll(within).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    left = cut(open_pairs.join(tied, ["a", "b"], "left_anti"), "pairs")
-    more = cut(verified(left, cut(sets_of(docs, left, key, text, words), "sets"), percent), "links", free=True)
-    final = components(links.unionAll(more))
-
-    named = cut(classes.join(final.withColumnRenamed("node", "rep"), "rep").select("s1", "s2", "n", "component").unionAll(classes.join(final.withColumnRenamed("node", "rep"), "rep", "left_anti").select("s1", "s2", "n", F.col("rep").alias("component"))), "named")
-    ids = base.select("id", "n", "s1", "s2")
+    left = cut(open_pairs.join(tied, ["a", "b"], "left_anti"), "pairs", free=True)
+    discard(rest, tied, inside, divided, members, so_far)
+    sets = cut(sets_of(docs, left, key, text, words), "sets")
+    more = cut(verified(left, sets, percent), "links", free=True)
+    discard(sets, left)
+    final = cut(components(links.unionAll(more)), "components")
+    discard(links, more)
+
+    node = final.withColumnRenamed("node", "rep")
+    named = cut(classes.join(node, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component")), "named")
+    discard(classes, final)
     out = ids.join(named, ["s1", "s2", "n"], "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id")).alias("component_id"))

@@ -1,14 +1,17 @@
 """Near-duplicate vectors by sorted projection passes.
 
 In each pass the vectors are sorted by a concatenation of random hashes (signs of random projections), and each is compared with the WINDOW
-next ones; pairs that reach the cosine are links, and the links of all passes are united. Tasks hold contiguous ranges of the order; the
-ends of neighbouring ranges are compared in a second, small step. Equal vectors are one class from the start. What windows tie together is
-a start: all vectors are then compared, block against block, for links between components that are still apart, so that no pair is missed.
-A vector's number of links is counted exactly within its component in the same manner.
+next ones; pairs that reach the cosine are links, and the links of all passes are united. The number of passes follows the number of
+vectors, so that a pair at the threshold is met with probability RECALL or more, at any size, where vectors lie evenly. Tasks hold
+contiguous ranges of the order; the ends of neighbouring ranges are compared in a second, small step. Equal vectors are one class from the
+start. Then, unless told not to, all vectors are compared, block against block, for links between components that are still apart: dense
+parts, whose windows fill with neighbours that are not close enough, have no such guarantee. A vector's number of links is counted exactly
+within its component in the same manner.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +21,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, pick
+from tidemark.llm.common import cut, discard, pick
 from tidemark.llm.graph import components
 
-COSINE, PASSES, WINDOW, BITS, BLOCK, SEED = 0.95, 16, 32, 48, 256, 20240501
+COSINE, RECALL, WINDOW, BITS, BLOCK, SEED = 0.95, 0.999, 32, 48, 256, 20240501
 #: The comparison of all rows with all: blocks at least, and rows of a block at most (about, for they are dealt by hash).
 SIDES, ROWS = 12, 32768
 
 
+def passes_for(rows: int, window: int = WINDOW, cosine: float = COSINE, recall: float = RECALL) -> int:
+    """How many passes meet a pair at this cosine with this probability, among so many vectors that lie evenly.
+
+    Vectors that share their first log2(rows / window) hash bits lie in a window; a bit is shared with probability 1 - angle / pi. The
+    number grows with about the seventh root of the rows: 14 for 10 thousand, 31 for a million, 97 for a billion.
+    """
+    bits = max(0.0, math.log2(max(rows, 1) / window))
+    met = (1 - math.acos(min(1.0, cosine)) / math.pi) ** bits
+    return 1 if met >= recall else math.ceil(math.log(1 - recall) / math.log(1 - met))
+
+
 def planes(dim: int, passes: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, passes * bits))
 
@@ -36,7 +50,7 @@ def keyed(reps: DataFrame, passes: int, bits: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[int, np.ndarray] = {}
         weights = (1 << np.arange(bits - 1, -1, -1)).astype(np.int64)
-        for b in batches:
+        for b in gathered(batches):
             col = b.column(1)
             dims = np.asarray(col.value_lengths())
             start = np.asarray(col.offsets)
@@ -92,6 +106,19 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Small batches joined to such of about so many rows, for steps that pay for each batch."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def windowed(sorted_rows: DataFrame, window: int, cosine: float) -> DataFrame:
     """Links within each task's range, and its first and last rows: kind 0 has (a, b), kind 1 a last row, kind 2 a first row."""
 
@@ -108,7 +135,7 @@ def windowed(sorted_rows: DataFrame, window: int, cosine: float) -> DataFrame:
 
         kept_g, kept_i, kept_u = np.empty(0, np.int64), np.empty(0, np.int64), []
         head = 0
-        for b in batches:
+        for b in gathered(batches):
             g = np.concatenate([kept_g, np.asarray(b.column(0))])
             ids = np.concatenate([kept_i, np.asarray(b.column(1))])
             units = kept_u + b.column(2).to_pylist()
@@ -172,10 +199,12 @@ def missed(rows: DataFrame, cosine: float, sides: int) -> DataFrame:
 def link_counts(members: DataFrame, cosine: float, block: int, partitions: int) -> DataFrame:
     """(id, links): copies of all other classes of the component that reach the cosine; members: id, component, copies, dim, unit.
 
-    A component's vectors are dealt to blocks of about `block`; every two blocks meet once. Small components share a task's groups.
+    A component's vectors are dealt to blocks of about `block`, or eight times the root of its size where that is more; every two blocks
+    meet once. Small components share a task's groups.
     """
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    rows = members.join(sizes, "component").withColumn("nb", F.ceil(F.col("size") / block)).withColumn("i", F.pmod(F.xxhash64("id"), F.col("nb")))
+    most = F.least(F.greatest(F.lit(float(block)), 8 * F.sqrt("size")), F.lit(float(ROWS)))  # a vector is copied for each block, so large components get larger ones
+    rows = members.join(sizes, "component").withColumn("nb", F.ceil(F.col("size") / most)).withColumn("i", F.pmod(F.xxhash64("id"), F.col("nb")))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)))
     bucket = F.when(F.col("nb") == 1, F.pmod(F.xxhash64("component"), F.lit(partitions * 8))).otherwise(F.xxhash64("component"))
     rows = rows.select(bucket.alias("g"), F.least("i", "j").alias("bi"), F.greatest("i", "j").alias("bj"), "i", "component", "id", "copies", "dim", "unit")
@@ -197,13 +226,14 @@ def link_counts(members: DataFrame, cosine: float, block: int, partitions: int)
     return rows.groupBy("g", "bi", "bj").applyInPandas(run, "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, passes: int = PASSES, window: int = WINDOW, bits: int = BITS, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, recall: float = RECALL, window: int = WINDOW, bits: int = BITS, block: int = BLOCK, seed: int = SEED, exhaustive: bool = True) -> DataFrame:
     """key, n_links, component_id and kept for every row.
 
     Vectors that are null, empty or zero, or hold a null or non-finite component, link with nothing, and so do vectors of other
     dimensions. Equal vectors link with each other. Rows that share a key are one node; a row without a key has no component and isn't
-    kept. Exactly the pairs that reach the cosine (in double precision) are linked; passes, window and bits only decide how many of them
-    are known before all rows are compared.
+    kept. Exactly the pairs that reach the cosine (in double precision) are linked; recall, window and bits only decide how many of them
+    are known before all rows are compared. That last step takes time with the square of the rows; without it (`exhaustive=False`) no
+    pair below the cosine is linked either, and of the pairs that reach it about `recall` are, fewer in dense parts.
     """
     spark = vectors.sparkSession
     e = F.col("embedding")
@@ -212,20 +242,26 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     reps = cut(rows.where(good).groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
 
-    units = cut(keyed(reps, passes, bits, seed), "units")
+    count = reps.count()
+    units = cut(keyed(reps, passes_for(count, window, cosine, recall), bits, seed), "units")
     placed = units.select("id", "unit", F.posexplode("keys").alias("pass", "key"), (F.col("dim") * 4096).alias("d")).select((F.col("d") + F.col("pass")).alias("group"), "key", "id", "unit")
     ordered = placed.repartitionByRange(parts, "group", "key", "id").sortWithinPartitions("group", "key", "id")
     found = cut(windowed(ordered, window, cosine), "windows")
     seam = across(found, window, cosine)
     links = cut(found.where("kind = 0").select("a", "b").unionAll(seam).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    tied = cut(components(links), "tied")
-    placed = units.select("id", "dim", "unit").join(tied.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    more = cut(missed(placed, cosine, max(SIDES, -(-units.count() // ROWS))), "missed")
-    comps = cut(components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
+    discard(found)
+    comps = cut(components(links), "tied")
+    discard(links)
+    if exhaustive:
+        placed = units.select("id", "dim", "unit").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = cut(missed(placed, cosine, max(SIDES, -(-count // ROWS))), "missed")
+        tied, comps = comps, cut(components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
+        discard(tied, more)
 
     members = comps.withColumnRenamed("node", "id").join(reps.select("id", "copies"), "id").join(units.select("id", "dim", "unit"), "id")
     counts = link_counts(members, cosine, block, parts)
     classes = cut(reps.join(comps.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left").select("embedding", "id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("c"), "copies"), "named")
+    discard(units, reps, comps)
     single = rows.where(good).select("id", "embedding")
     named = single.join(classes.drop("id", "copies"), "embedding").select(F.col("id").alias(key), F.col("n").alias("n_links"), F.col("c").alias("component_id"))
     alone = rows.where(~good).select(F.col("id").alias(key), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
