@@ -65,7 +65,7 @@ def brute_phrases(text):
 def test_license_phrases_and_spans(spark, corpus):
     rng = random.Random(3)
     mix = "gnu general public license apache cc by mit the The LICENSE version é".split()
-    texts = corpus + [" ".join(rng.choice(mix) for _ in range(60)) for _ in range(40)] + [licenses.TEMPLATES["mit-text"] + " and more", "X " + licenses.TEMPLATES["bsd-text"].replace("binary", "other")]
+    texts = corpus + [" ".join(rng.choice(mix) for _ in range(60)) for _ in range(40)] + [licenses.TEMPLATES["mit-text"] + " and more", "X " + licenses.TEMPLATES["bsd-2-clause"].replace("binary", "other")]
     got = {r.doc_id: r for r in licenses.scan_licenses(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         r = got[i]
@@ -73,7 +73,26 @@ def test_license_phrases_and_spans(spark, corpus):
         assert 0 <= r.score <= 1 and set(r.base_labels) <= set(r.labels)
     full, part = got[len(texts) - 2], got[len(texts) - 1]
     assert "mit-text" in full.labels and max(s.cover for s in full.spans) == 1.0
-    assert "bsd-text" in part.labels and 0.6 < max(s.cover for s in part.spans) < 1.0
+    assert "bsd-2-clause" in part.labels and 0.6 < max(s.cover for s in part.spans) < 1.0
+
+
+def test_license_labels_that_only_the_method_finds():
+    scan = licenses.scanner().scan
+    for name in ("mit-text", "zlib-text", "isc-text", "unlicense-text", "lgpl-header", "mpl-2.0-header", "cc0-notice"):
+        words = licenses.TEMPLATES[name].split()
+        edited = " ".join("changed" if i % 19 == 18 else w for i, w in enumerate(words))
+        got = scan(f"some words before {edited} and after")
+        assert not got["base_labels"] and got["labels"] == [name] and 0.6 <= got["score"] < 1.0, name
+        assert scan(f"{edited} between {edited}")["spans"][1]["start"] > scan(edited)["spans"][0]["end"] - 1
+
+
+def test_chains_keep_several_places_open():
+    s = licenses.LicenseScanner({}, {"t": "a b c d e f g h a b c d i j k l"}, min_run=4, max_gap=6)
+    one = s.scan("a b c d x e f g h y a b c d i j k l")["spans"]
+    assert [(x["start"], x["end"], x["cover"]) for x in one] == [(0, 18, 1.0)]
+    late = s.scan("a b c d x i j k l")["spans"]  # the later place of the first run is the one that goes on
+    assert s.scan("a b c d x i j k l")["score"] == 0.5 and not late
+    assert s.scan("a b c d x e f g h")["score"] == 0.5
 
 
 # 2

@@ -22,34 +22,76 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Wording of public licence notices, by label.
+#: Whole texts of public licences that are short, and the standard notices of long ones, by label.
 TEMPLATES = {
     "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
         files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify,
         merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished
         to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
-        copies or substantial portions of the Software.""",
+        copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
+        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+        OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "mit-notice": "Released under the MIT License.",
+    "mit-short-notice": "is licensed under the terms of the MIT license",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
-    "apache-2.0-text": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
         the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law
         or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
-        CONDITIONS OF ANY KIND, either express or implied.""",
+        CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
+        under the License.""",
     "gpl-3.0-notice": "licensed under the GNU General Public License, version 3",
-    "gpl-text": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+    "gpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
         as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program
         is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY
-        or FITNESS FOR A PARTICULAR PURPOSE.""",
-    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-        conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
-        disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
-        disclaimer in the documentation and/or other materials provided with the distribution.""",
-    "mpl-2.0-text": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the
+        GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "lgpl-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public
+        License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "agpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public
+        License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
+        program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+        following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+        following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
+        COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+        CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
+        LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+        AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY
+        WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "bsd-3-clause-endorsement": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission.""",
+    "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
         distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
-        provided that the above copyright notice and this permission notice appear in all copies.""",
-    "cc-by-4.0-text": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+        AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+        EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING
+        FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
+        CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+        any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including
+        commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this
+        software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a
+        product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must
+        be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or
+        altered from any source distribution.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+        compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means.""",
+    "boost-1.0-text": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit
+        the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do
+        so, all subject to the following:""",
+    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0",
+    "cc0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
 }
 MIN_RUN, MAX_GAP, MIN_COVER, PHRASE_SCORE = 4, 40, 0.6, 0.75
 
@@ -133,22 +175,34 @@ class LicenseScanner:
         return {"n_words": len(found), "n_base": n_base, "first_word": first, "last_word": last, "base_labels": sorted(base), "labels": sorted(base | {s["label"] for s in good}), "score": score, "spans": good}
 
     def chain(self, runs: list[tuple[int, int, int]]) -> list[dict]:
-        """Runs (end in the text, length, state) in the order of the text, joined where they go on in the same template."""
-        open_, done = {}, []
+        """Runs (end in the text, length, state) in the order of the text, joined where they go on in the same template.
+
+        Each place of a run in a template is a link; it extends the open link of that template that gives it the most words, however many
+        are open. Of a template's chains those with most words are taken, as far as they don't overlap in the text.
+        """
+        made: dict[int, list[tuple[int, int, int, int]]] = {}  # by template: words, start, end in the text, end in the template
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}
         for end, n, state in runs:
+            a, fresh = end - n, []
             for k, stop in self.ends[state]:
-                a, b = end - n, stop - n  # starts in the text and in the template
-                chain = open_.get(k)
-                if chain is not None:
-                    over = max(0, chain["end"] - a, chain["to"] - b)
-                    if over < n and a + over - chain["end"] <= self.max_gap and b + over - chain["to"] <= self.max_gap:
-                        chain["end"], chain["to"], chain["words"] = end, stop, chain["words"] + n - over
-                        continue
-                    if stop <= chain["to"] and end == chain["end"]:
-                        continue  # another place of the same run
-                    done.append(chain)
-                open_[k] = {"k": k, "start": a, "end": end, "to": stop, "words": n}
-        return [{"label": self.names[c["k"]], "start": c["start"], "end": c["end"], "cover": c["words"] / len(self.texts[c["k"]])} for c in sorted([*done, *open_.values()], key=lambda c: (c["start"], c["k"]))]
+                b = stop - n  # its start in the template
+                best = (n, a, end, stop)
+                for words_, start, e, t in open_.get(k, ()):
+                    over = max(0, e - a, t - b)
+                    if over < n and e < end and t < stop and a + over - e <= self.max_gap and b + over - t <= self.max_gap:
+                        best = max(best, (words_ + n - over, start, end, stop))
+                fresh.append((k, best))
+            for k, link in fresh:
+                made.setdefault(k, []).append(link)
+                open_[k] = [x for x in open_.get(k, ()) if x[2] >= a - self.max_gap] + [link]
+        out = []
+        for k, links in made.items():
+            taken: list[tuple[int, int]] = []
+            for words_, start, end, _ in sorted(links, key=lambda x: (-x[0], x[2] - x[1], x[1])):
+                if all(end <= s or start >= e for s, e in taken):
+                    taken.append((start, end))
+                    out.append({"label": self.names[k], "start": start, "end": end, "cover": words_ / len(self.texts[k])})
+        return sorted(out, key=lambda c: (c["start"], c["label"]))
 
 
 @lru_cache(maxsize=1)
