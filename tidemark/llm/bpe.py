@@ -23,7 +23,7 @@ from tidemark.llm.automaton import SuffixAutomaton
 from tidemark.llm.common import map_texts
 
 #: Pieces kept by a worker, and the longest that are kept.
-CACHE_PIECES, CACHE_BYTES = 450_000, 48
+CACHE_PIECES, CACHE_BYTES = 300_000, 48
 #: The vocabulary's pre-tokens, its markers and the mark of a word's end.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+")

@@ -25,7 +25,7 @@ from tidemark.llm.bpe import ASCII_WORDS, CACHE_BYTES, LATIN, LATIN_WORDS
 from tidemark.llm.common import texts
 
 WINDOW, END_ID, MAX_OPEN = 4096, 2, 512
-CACHE_PIECES = 900_000
+CACHE_PIECES = 400_000
 SEQUENCE_BITS = 36
 
 
