@@ -104,3 +104,50 @@ def test_folds_of_a_short_series():
     pdf = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=1, freq="h"), "high": [2.0], "low": [1.0], "close": [1.5]})
     out = folds.fold_series(pdf)
     assert out["rsi_14"].iloc[0] == 50 and out["ema_12"].iloc[0] == 1.5
+
+
+def decisions(spark, probs, rules=None, **more):
+    from tidemark.operators.policy import Rules
+
+    rows = [("A", T0 + timedelta(hours=i), 100.0, p, 1 - p, max(p, 1 - p)) for i, p in enumerate(probs)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, close double, prob_up double, prob_down double, pred_conf double")
+    return [r.side for r in apply_policy(df.withColumns(more), rules or Rules(thresholds=())).orderBy("ts").collect()]
+
+
+def test_an_opposite_signal_is_held_off_for_three_bars(spark):
+    assert decisions(spark, [0.9, 0.1, 0.1, 0.1, 0.1, 0.1]) == ["long"] * 4 + ["short"] * 2
+    assert decisions(spark, [0.9, 0.1, 0.5, 0.1, 0.1, 0.1]) == ["long", "long", "flat", "long", "long", "short"]  # abstaining leaves the age
+
+
+def test_thresholds_ask_for_the_allowed_sides(spark):
+    long_only = Rules(filters=(("close > 1", "allow_long_only"),))
+    assert decisions(spark, [0.9, 0.1], long_only) == ["long", "flat"]
+    assert decisions(spark, [0.1], Rules(filters=(("close > 1", "allow_short_only"),))) == ["short"]
+    assert decisions(spark, [0.1], Rules()) == ["flat"]  # smoothed confidence of the likelier class asks for long, whose utility is negative
+
+
+def test_grey_bounds_by_regime(spark):
+    lit = F.lit
+    assert decisions(spark, [0.54], regime_bucket=lit("med")) == ["flat"] and decisions(spark, [0.95], regime_bucket=lit("med")) == ["long"]
+    assert decisions(spark, [0.52], regime_bucket=lit("high")) == ["flat"]
+    assert decisions(spark, [0.54], regime_bucket=lit("none")) == ["flat"]  # bounds of 0.45 and 0.55
+
+
+def test_rules_from_a_configuration(spark):
+    from tidemark.operators.policy import exit_prices, rules_of
+
+    text = {
+        "filters": [{"name": "news", "type": "text_rag_any", "query": "calm", "action": "block_entries"}, {"name": "trend", "type": "metric", "expr": "close > 50", "action": "allow_long_only"}],
+        "thresholds": [{"name": "gate", "long_if_prob_gt": 0.7}], "position_sizing": [{"name": "vol", "expr": "size = base_risk / max(close, 1e-4)"}],
+        "risk_guards": [{"name": "stop", "expr": "close <= 1000"}], "exits": [{"name": "a", "take_profit": 0.01, "stop_loss": 0.005}],
+    }
+    rules = rules_of(text)
+    assert rules.thresholds == ((0.7, None),) and rules.exits == ((0.01, 0.005),)
+    df = spark.createDataFrame([("A", T0, 100.0, 0.9, 0.1, 0.9)], "symbol string, ts timestamp_ntz, close double, prob_up double, prob_down double, pred_conf double")
+    got = apply_policy(df, rules).first()
+    assert (got.side, got.size) == ("long", 1.0)
+    assert apply_policy(df.withColumn("hits_news", F.lit(2)), rules).first().why == "filter"
+    row = df.select(*[v.alias(k) for k, v in exit_prices(rules, F.lit("short"), F.col("close")).items()]).first()
+    assert (row.take_profit, row.stop_loss) == pytest.approx((99.0, 100.5))
+    with pytest.raises(ValueError):
+        rules_of({"filters": [{"name": "x", "type": "image", "expr": "1"}]})

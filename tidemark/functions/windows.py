@@ -108,10 +108,10 @@ def with_rogers_satchell(df: DataFrame, n: int = 14) -> DataFrame:
 
 
 def with_burst(df: DataFrame) -> DataFrame:
-    """Size of the return against its deviation over 30 rows (5 at least), at most 10."""
+    """Size of the return (0 on the first row) against its deviation over 30 rows (5 at least), at most 10."""
     sd = deviation("_r", 30, 5)
     size = F.abs("_r") / F.when(sd >= TINY, sd)
-    return df.withColumn("_r", log_return()).withColumn("burst", _zero(F.when(size > 10, 10.0).otherwise(size))).drop("_r")
+    return df.withColumn("_r", pct_change()).withColumn("burst_score", _zero(F.when(size > 10, 10.0).otherwise(size))).drop("_r")
 
 
 def with_range_acceleration(df: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def complete_rows(df: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
 def cyclic_time() -> dict[str, Column]:
     minute = 2 * 3.141592653589793 * (F.hour("ts") * 60 + F.minute("ts")) / 1440
     day = 2 * 3.141592653589793 * F.weekday("ts") / 7
-    return {"tod_sin": F.sin(minute), "tod_cos": F.cos(minute), "dow_sin": F.sin(day), "dow_cos": F.cos(day)}
+    return {"hour_sin": F.sin(minute), "hour_cos": F.cos(minute), "dow_sin": F.sin(day), "dow_cos": F.cos(day)}
 
 
 def trading_session() -> Column:
@@ -204,11 +204,15 @@ def trading_session() -> Column:
     return F.when(h < 8, SESSIONS[0]).when(h < 16, SESSIONS[1]).otherwise(SESSIONS[2])
 
 
-def with_vol_bucket(df: DataFrame, x: str = "realized_vol_60", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """low, med or high by the exact 0.33 and 0.66 quantiles of the whole series; high wins a tie. The quantiles are taken over the
-    partition that the other windows use, so nothing is computed or shuffled twice."""
-    q = F.percentile(x, F.array(F.lit(0.33), F.lit(0.66))).over(Window.partitionBy(*keys))
-    return df.withColumn("_q", q).withColumn("vol_bucket", F.when(F.col(x) >= F.col("_q")[1], "high").when(F.col(x) <= F.col("_q")[0], "low").otherwise("med")).drop("_q")
+def quantiles(df: DataFrame, x: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The exact 0.33 and 0.66 quantiles of a whole series in _q: a row for each series."""
+    return df.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(0.33), F.lit(0.66))).alias("_q"))
+
+
+def with_vol_bucket(df: DataFrame, x: str = "realized_vol_60", keys: tuple[str, ...] = ("symbol",), of: DataFrame | None = None) -> DataFrame:
+    """low, med or high by the quantiles of the whole series (of `of`, a cheaper plan of the same rows, if given); high wins a tie."""
+    out = df.join(quantiles(df if of is None else of, x, keys), list(keys), "left")
+    return out.withColumn("vol_bucket", F.when(F.col(x) >= F.col("_q")[1], "high").when(F.col(x) <= F.col("_q")[0], "low").otherwise("med")).drop("_q")
 
 
 def one_hot() -> dict[str, Column]:

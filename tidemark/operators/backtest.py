@@ -14,12 +14,14 @@ MINUTES_A_YEAR = 525600
 
 @dataclass(frozen=True)
 class Costs:
-    taker_bp: float = 5.0
+    """Fees in basis points (a maker's is paid with its sign turned), funding by bar, delay, fill, slippage by regime, balance."""
+
+    taker_bp: float = 7.0
     maker_bp: float = -1.0
-    funding_bp: float = 1.0
+    funding_bp: float = 0.0
     latency_bars: int = 1
     max_fill: float = 1.0
-    slip: tuple[tuple[str, float], ...] = (("low", 0.1), ("med", 0.2), ("high", 0.4))
+    slip: tuple[tuple[str, float], ...] = (("low", 0.2), ("med", 0.4), ("high", 0.8))
     start: float = 10000.0
 
 
@@ -41,10 +43,10 @@ def run_series(pdf: pd.DataFrame, c: Costs) -> pd.DataFrame:
         queue = [[q[0] - 1, q[1], q[2]] for q in queue if q[0] > 0]
         if ready:
             _, want, amount = ready[-1]
-            fill = min(c.max_fill, r.volume / r.avg_volume if r.avg_volume and r.avg_volume > 0 else c.max_fill)
-            slippage = r.spread * slip.get(r.bucket, slip["med"]) * min(1.0, abs(r.size) / r.volume if r.volume > 0 else 1.0)
+            fill = min(c.max_fill, 1.0, r.volume / r.avg_volume if r.avg_volume and r.avg_volume > 0 and r.volume else 1.0)
+            slippage = r.spread * slip.get(r.bucket, slip["med"]) * min(1.0, abs(r.size) / max(r.volume or 1.0, 1e-6))
             taker = abs(r.pred_conf - 0.5) > 0.1
-            price = lambda d, t=taker: r.close + d * (r.spread / 2 + slippage) + d * r.close * (c.taker_bp if t else -abs(c.maker_bp)) / 10000  # noqa: B023, E731
+            price = lambda d, t=taker: r.close + d * (r.spread / 2 + slippage) + d * r.close * (c.taker_bp if t else -c.maker_bp) / 10000  # noqa: B023, E731
             if want == side:
                 size = amount * fill if side else 0.0
             else:
@@ -56,7 +58,7 @@ def run_series(pdf: pd.DataFrame, c: Costs) -> pd.DataFrame:
                 side, size = want, amount * fill if want else 0.0
                 entry, entry_ts = (price(want), r.ts) if want else (0.0, None)
             if side:
-                cash -= abs(size) * r.close * c.funding_bp / 10000 / 480
+                cash -= abs(size) * r.close * c.funding_bp / 10000
         out.append((r.symbol, "equity", r.ts, r.ts, None, None, None, None, None, cash + side * (r.close - entry) * size))
     return pd.DataFrame(out, columns=["symbol", "kind", "entry_time", "exit_time", "side", "size", "entry_price", "exit_price", "pnl", "equity"])
 

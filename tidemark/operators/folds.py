@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 #: Spans and periods of the recursive indicators.
 EMA_SPANS = (9, 12, 21, 26, 50, 55, 200)
 FOLD_COLUMNS = [
-    *[f"ema_{s}" for s in EMA_SPANS], "macd", "macd_signal", "macd_hist", "trend_12_26", "trend_50_200", "trend_slope", "adx_proxy", "rsi_14", "atr_14", "kama_10",
-    "swing_high_dist", "swing_low_dist", "swing_time_high", "swing_time_low",
+    *[f"ema_{s}" for s in EMA_SPANS], "macd", "macd_signal", "macd_hist", "trend_ema12_26", "trend_ema50_200", "trend_slope", "trend_adx_proxy", "rsi_14", "atr_14", "kama",
+    "swing_dist_high", "swing_dist_low", "swing_time_high", "swing_time_low",
 ]
 
 
@@ -105,7 +105,7 @@ def fold_series(pdf: pd.DataFrame) -> pd.DataFrame:
     macd = e[12] - e[26]
     signal = ema(macd, 9)
     s = swings(close, _mean14(high - low), seconds)
-    values = [*e.values(), macd, signal, macd - signal, e[12] - e[26], e[50] - e[200], np.diff(e[21], prepend=e[21][:1]), np.abs(e[21] - e[55]) / np.where(close == 0, np.nan, close), rsi(close), atr(high, low, close), kama(close), *s]
+    values = [*e.values(), macd, signal, macd - signal, e[12] - e[26], e[50] - e[200], np.diff(e[21], prepend=e[21][:1]), np.where(close == 0, 0.0, np.abs(e[21] - e[55]) / np.where(close == 0, 1.0, close)), rsi(close), atr(high, low, close), kama(close), *s]
     return pd.concat([pdf, pd.DataFrame(dict(zip(FOLD_COLUMNS, values)), index=pdf.index)], axis=1)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import assignment, predicate
 
-#: Confidence bounds of abstention by regime, smoothing, bounds and sizing.
-GREY = {"low": (0.52, 0.48), "med": (0.47, 0.53), "high": (0.45, 0.55)}
+#: Confidence bounds of abstention by regime (those of `low` are inverted, so nothing lies in them), steps of drawdown and their factors.
+GREY = {"low": (0.52, 0.48), "med": (0.5, 0.5), "high": (0.48, 0.52)}
 GREY_DEFAULT = (0.45, 0.55)
-DELEVER = ((0.10, 0.5), (0.05, 0.75))
+DELEVER = ((0.05, 0.75), (0.1, 0.5))
+ACTIONS = ("block_entries", "allow_long_only", "allow_short_only", "pass")
 
 
 @dataclass(frozen=True)
@@ -25,47 +26,78 @@ class Settings:
     reward_atr: float = 1.5
     risk_atr: float = 1.0
     atr_share: float = 0.004
-    commission_bp: float = 2.0
-    spread_bp: float = 1.0
+    commission_bp: float = 7.0
+    spread_bp: float = 5.0
     min_utility: float = 0.0
-    long_at: float = 0.62
-    short_at: float = 0.38
     min_hold: int = 3
     kelly_clip: float = 0.5
-    max_leverage: float = 3.0
+    max_leverage: float = 1.0
+    allow_short: bool = True
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Rules as text: guards must hold, filters are (condition, action), sizing assigns the size."""
+    """Rules as text: guards must hold, filters are (condition, action), thresholds (long at, short at; either may be None) on the smoothed
+    confidence, sizing assigns the size, exits are (take profit, stop loss)."""
 
     guards: tuple[str, ...] = ()
     filters: tuple[tuple[str, str], ...] = ()
+    thresholds: tuple[tuple[float | None, float | None], ...] = ((0.62, 0.38),)
     sizing: tuple[str, ...] = ()
-    actions: frozenset[str] = field(default=frozenset({"block_entries", "allow_long_only", "allow_short_only"}))
+    exits: tuple[tuple[float | None, float | None], ...] = ()
 
     def __post_init__(self) -> None:
-        bad = [a for _, a in self.filters if a not in self.actions]
+        bad = [a for _, a in self.filters if a not in ACTIONS]
         if bad:
             raise ValueError(f"unknown actions: {bad}")
 
 
-def compile_rules(rules: Rules, columns: list[str]) -> dict[str, Column]:
-    """Columns guards_ok, blocked, allowed (the last filter wins) and sized (0: no rule)."""
+def rules_of(config: dict) -> Rules:
+    """Rules from a configuration as YAML or JSON gives it: lists filters, thresholds, position_sizing, risk_guards and exits of named entries.
+
+    A filter has an `expr` (types metric and numeric) or a `query` (type text_rag_any). The latter holds where the column
+    `hits_<name>`, which a search of the knowledge base adds, is above 0, and nowhere without that column.
+    """
+    filters = []
+    for f in config.get("filters") or []:
+        kind, text = f.get("type"), f.get("query") if f.get("type") == "text_rag_any" else f.get("expr")
+        if kind not in ("metric", "numeric", "text_rag_any") or not text:
+            raise ValueError(f"filter {f.get('name')}: type {kind} needs an expression or a query")
+        filters.append((f"hits_{f['name']} > 0" if kind == "text_rag_any" else text, f.get("action", "pass")))
+    pair = lambda x, a, b: tuple(None if x.get(k) is None else float(x[k]) for k in (a, b))
+    return Rules(
+        guards=tuple(g["expr"] for g in config.get("risk_guards") or []),
+        filters=tuple(filters),
+        thresholds=tuple(pair(t, "long_if_prob_gt", "short_if_prob_lt") for t in config.get("thresholds") or []),
+        sizing=tuple(x["expr"] for x in config.get("position_sizing") or []),
+        exits=tuple(pair(x, "take_profit", "stop_loss") for x in config.get("exits") or []),
+    )
+
+
+def compile_rules(rules: Rules, columns: list[str], allow_short: bool = True) -> dict[str, Column]:
+    """Columns guards_ok, blocked, may_long and may_short (the last filter that restricts wins) and sized (0: no rule)."""
     ok = F.lit(True)
     for g in rules.guards:
         ok = ok & predicate(g, columns)
-    blocked, allowed = F.lit(False), F.lit("both")
+    blocked, may_long, may_short = F.lit(False), F.lit(True), F.lit(allow_short)
     for text, action in rules.filters:
         hit = predicate(text, columns)
         if action == "block_entries":
             blocked = blocked | hit
-        else:
-            allowed = F.when(hit, "long" if action == "allow_long_only" else "short").otherwise(allowed)
+        elif action != "pass":
+            may_long, may_short = (F.when(hit, action == f"allow_{side}_only").otherwise(x) for side, x in (("long", may_long), ("short", may_short)))
     sized = F.lit(0.0)
     for text in rules.sizing:
-        sized = assignment(text, columns)
-    return {"guards_ok": ok, "blocked": blocked, "allowed": allowed, "sized": sized}
+        value = assignment(text, columns)
+        sized = F.when(value != 0, value).otherwise(sized)
+    return {"guards_ok": ok, "blocked": blocked, "may_long": may_long, "may_short": may_short, "sized": sized}
+
+
+def exit_prices(rules: Rules, side: Column, price: Column) -> dict[str, Column]:
+    """take_profit and stop_loss prices of a position, by the nearest of the rules' shares; null where no rule sets one, and for flat."""
+    way = F.when(side == "long", 1.0).when(side == "short", -1.0)
+    near = [min((e[i] for e in rules.exits if e[i] is not None), default=None) for i in (0, 1)]
+    return {n: F.lit(None).cast("double") if x is None else price * (1 + k * way * x) for n, x, k in zip(("take_profit", "stop_loss"), near, (1, -1))}
 
 
 def expected_utility(s: Settings = Settings()) -> dict[str, Column]:
@@ -81,10 +113,7 @@ def kelly(p: Column, clip: float = 0.5) -> Column:
 
 
 def delever(drawdown: Column) -> Column:
-    out = F.lit(1.0)
-    for bound, factor in reversed(DELEVER):
-        out = F.when(drawdown >= bound, factor).otherwise(out)
-    return out
+    return F.least(F.lit(1.0), *[F.when(drawdown >= bound, factor).otherwise(1.0) for bound, factor in DELEVER])
 
 
 def grey_zone(bucket: Column) -> tuple[Column, Column]:
@@ -94,9 +123,14 @@ def grey_zone(bucket: Column) -> tuple[Column, Column]:
     return lo, hi
 
 
-def decide(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
-    """The state machine over one series: side, size, smoothed confidence and the step that decided."""
-    smooth, held, age, out = None, "flat", 0, []
+def decide(pdf: pd.DataFrame, s: Settings, thresholds: tuple = Rules.thresholds) -> pd.DataFrame:
+    """The state machine over one series: side, size, smoothed confidence and the step that decided.
+
+    Guards, blocks and abstention decide before the state: they leave the position held, and its age, as they were. The age is 0 at entry
+    and grows with each bar that the position is kept, so an opposite signal is held off for min_hold bars. Smoothed confidence is that
+    of the likelier class, whichever it is.
+    """
+    smooth, held, age, peak, out = None, "flat", 0, 0.0, []
     for r in pdf.sort_values("ts", kind="stable").itertuples():
         side, size, why = "flat", 0.0, "flat"
         if not r.guards_ok:
@@ -108,29 +142,43 @@ def decide(pdf: pd.DataFrame, s: Settings) -> pd.DataFrame:
             if r.grey_lo <= r.pred_conf <= r.grey_hi or r.ci_width > s.max_ci_width or abs(r.pred_conf - 0.5) < s.min_edge:
                 why = "abstain"
             else:
-                side = "long" if r.eu_long >= r.eu_short else "short"
-                signal = smooth if r.prob_up >= r.prob_down else 1 - smooth
-                side = "long" if signal >= s.long_at else "short" if signal <= s.short_at else side
-                if (r.eu_long if side == "long" else r.eu_short) <= s.min_utility or r.allowed not in ("both", side):
+                if r.eu_long > s.min_utility and r.may_long:
+                    side = "long"
+                if r.eu_short > max(r.eu_long, s.min_utility) and r.may_short:
+                    side = "short"
+                for above, below in thresholds:
+                    if above is not None and smooth >= above and r.may_long:
+                        side = "long"
+                    if below is not None and smooth <= below and r.may_short:
+                        side = "short"
+                if side != "flat" and (r.eu_long if side == "long" else r.eu_short) <= s.min_utility:
                     side = "flat"
-                if side != held and held != "flat" and side != "flat" and age < s.min_hold and max(r.eu_long, r.eu_short) > s.min_utility:
-                    side = held
-                age = age + 1 if side == held else 1
-                held = side
+                if side == "flat":
+                    held, age = "flat", 0
+                elif held == side or held != "flat" and age < s.min_hold:
+                    side, age = held, age + 1
+                else:
+                    held, age = side, 0
                 if side != "flat":
-                    f = min(abs(signal - 0.5) / max(signal * (1 - signal), 1e-6), s.kelly_clip)
-                    factor = next((x for bound, x in DELEVER if r.drawdown >= bound), 1.0)
-                    size = r.sized if r.sized else r.balance * s.risk_per_trade * min(f * factor, s.max_leverage)
+                    peak = max(peak, r.balance)
+                    drawdown = 1 - r.balance / peak if peak > 0 else 0.0
+                    factor = min([f for bound, f in DELEVER if drawdown >= bound], default=1.0)
+                    share = min(abs(smooth - 0.5) / max(smooth * (1 - smooth), 1e-6), s.kelly_clip) * factor
+                    size = r.sized or r.balance * s.risk_per_trade * min(share, s.max_leverage)
                     why = "entry"
         out.append((r.symbol, r.ts, side, float(size), smooth, why))
     return pd.DataFrame(out, columns=["symbol", "ts", "side", "size", "smoothed", "why"])
 
 
 def apply_policy(rows: DataFrame, rules: Rules = Rules(), s: Settings = Settings()) -> DataFrame:
-    """Decisions for prediction rows: symbol, ts, close, prob_up, prob_down, pred_conf, and where present atr, ci_width, regime_bucket, balance, drawdown."""
-    defaults = {"atr": F.lit(None).cast("double"), "ci_width": F.lit(0.0), "regime_bucket": F.lit("med"), "balance": F.lit(10000.0), "drawdown": F.lit(0.0)}
+    """Decisions for prediction rows: symbol, ts, close, prob_up, prob_down, pred_conf, and where present atr, ci_width, regime_bucket, balance.
+
+    A regime without bounds of its own has GREY_DEFAULT.
+    """
+    defaults = {"atr": F.lit(None).cast("double"), "ci_width": F.lit(0.0), "regime_bucket": F.lit("med"), "balance": F.lit(10000.0)}
     df = rows.withColumns({k: v for k, v in defaults.items() if k not in rows.columns})
+    df = df.withColumn("base_risk", F.col("balance") * s.risk_per_trade)
     lo, hi = grey_zone(F.col("regime_bucket"))
-    df = df.withColumns(compile_rules(rules, df.columns) | expected_utility(s) | {"grey_lo": lo, "grey_hi": hi})
-    need = ["symbol", "ts", "prob_up", "prob_down", "pred_conf", "ci_width", "guards_ok", "blocked", "allowed", "sized", "eu_long", "eu_short", "grey_lo", "grey_hi", "balance", "drawdown"]
-    return df.select(*need).groupBy("symbol").applyInPandas(lambda pdf: decide(pdf, s), "symbol string, ts timestamp_ntz, side string, size double, smoothed double, why string")
+    df = df.withColumns(compile_rules(rules, df.columns, s.allow_short) | expected_utility(s) | {"grey_lo": lo, "grey_hi": hi})
+    need = ["symbol", "ts", "prob_up", "prob_down", "pred_conf", "ci_width", "guards_ok", "blocked", "may_long", "may_short", "sized", "eu_long", "eu_short", "grey_lo", "grey_hi", "balance"]
+    return df.select(*need).groupBy("symbol").applyInPandas(lambda pdf: decide(pdf, s, rules.thresholds), "symbol string, ts timestamp_ntz, side string, size double, smoothed double, why string")

@@ -10,11 +10,22 @@ from tidemark.operators import candles as K
 from tidemark.operators import features as X
 from tidemark.plans.q_aggregates import OHLCV, folder_digests, ohlcv
 from tidemark.plans.q_folds import _ATR
+from tidemark.plans.feature_sql import feature_sql
 from tidemark.plans.registry import query, rounded, with_candles
 from tidemark.session import scratch, stored
-from tidemark.sources.tables import candles, table
+from tidemark.schema import OHLCV as OHLCV_NAMES
+from tidemark.sources.tables import book, candles, table, trades
 
-query("pipe_build_features")(lambda spark, d: rounded(X.build_features(candles(spark, d), {"4h": (candles(spark, d, "4h"), 14400), "1d": (candles(spark, d, "1d"), 86400)})))
+
+
+def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """All groups of features over hourly candles; 4h and 1d candles are made of the hourly ones, which the tape gives once."""
+    base = stored(candles(spark, d).select("symbol", "ts", *OHLCV_NAMES, "close_time"), "hourly")
+    higher = {name: (K.resample(base, seconds), seconds) for name, seconds in (("4h", 14400), ("1d", 86400))}
+    return X.build_features(base, higher, (5, 15), flow=X.order_flow(trades(spark, d), book(spark, d), 3600))
+
+
+query("pipe_build_features", feature_sql())(lambda spark, d: rounded(feature_matrix(spark, d)))
 query("pipe_simple_features", with_candles("""SELECT n.symbol, n.ts, round(n.close, 6) AS close, round(n.r, 8) + 0.0 AS "return", round(n.m, 6) + 0.0 AS momentum, round(n.vol, 6) + 0.0 AS volatility, round(n.volume, 6) AS volume, round(coalesce(CASE WHEN n.i >= 14 THEN w.y / w.den END, f.y, 0), 6) AS atr, n.target
 FROM (SELECT *, coalesce(stddev_samp(r) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), 0) AS vol FROM (SELECT *, coalesce(close / nullif(lag(close) OVER u, 0) - 1, 0) AS r, coalesce(close - lag(close) OVER u, 0) AS m, coalesce(CAST(lead(close) OVER u > close AS INTEGER), 0) AS target FROM n WINDOW u AS (PARTITION BY symbol ORDER BY ts))) n
 JOIN w ON w.symbol = n.symbol AND w.i = n.i LEFT JOIN (SELECT symbol, y / den AS y FROM w WHERE i = 14) f ON f.symbol = n.symbol""", more=_ATR, recursive=True))(
@@ -104,4 +115,3 @@ query("agg_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTI
 query("join_semi_anti", "SELECT c_mktsegment, count(*) FILTER (WHERE o.o_custkey IS NOT NULL) AS with_orders, count(*) FILTER (WHERE o.o_custkey IS NULL) AS without_orders FROM customer LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON o.o_custkey = c_custkey GROUP BY 1")(
     lambda spark, d: (lambda c, o: c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").withColumn("x", F.lit(1)).unionByName(c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").withColumn("x", F.lit(0))).groupBy("c_mktsegment").agg(F.sum("x").alias("with_orders"), F.sum(1 - F.col("x")).alias("without_orders")))(table(spark, d, "customer"), table(spark, d, "orders"))
 )
-__all__ = ["rounded"]

@@ -26,7 +26,7 @@ query("sc_to_ms", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")(lam
 query("sc_unix", "SELECT event_id, epoch_us(ts) // 1000000 AS s FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s")))
 query("sc_iso", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("iso")))
 _MIN, _DAY = "2 * pi() * (hour(ts) * 60 + minute(ts)) / 1440", "2 * pi() * (isodow(ts) - 1) / 7"
-query("sc_cyclic_time", with_candles(f"SELECT symbol, ts, round(sin({_MIN}), 6) + 0.0 AS tod_sin, round(cos({_MIN}), 6) + 0.0 AS tod_cos, round(sin({_DAY}), 6) + 0.0 AS dow_sin, round(cos({_DAY}), 6) + 0.0 AS dow_cos FROM c"))(lambda spark, d: rounded(candles(spark, d).select("symbol", "ts", *[v.alias(k) for k, v in X.cyclic_time().items()])))
+query("sc_cyclic_time", with_candles(f"SELECT symbol, ts, round(sin({_MIN}), 6) + 0.0 AS hour_sin, round(cos({_MIN}), 6) + 0.0 AS hour_cos, round(sin({_DAY}), 6) + 0.0 AS dow_sin, round(cos({_DAY}), 6) + 0.0 AS dow_cos FROM c"))(lambda spark, d: rounded(candles(spark, d).select("symbol", "ts", *[v.alias(k) for k, v in X.cyclic_time().items()])))
 _SES = "CASE WHEN hour(ts) < 8 THEN 'Asia' WHEN hour(ts) < 16 THEN 'EU' ELSE 'US' END"
 query("sc_session", with_candles(f"SELECT symbol, ts, {_SES} AS session FROM c"))(lambda spark, d: candles(spark, d).select("symbol", "ts", X.trading_session().alias("session")))
 _BUCKET = "v AS (SELECT c.*, CASE WHEN close >= b THEN 'high' WHEN close <= a THEN 'low' ELSE 'med' END AS vol_bucket FROM c JOIN (SELECT symbol AS s, quantile_cont(close, 0.33) AS a, quantile_cont(close, 0.66) AS b FROM c GROUP BY 1) q ON q.s = c.symbol)"
@@ -63,7 +63,7 @@ query("sc_execution_price", with_candles("SELECT symbol, ts, round(close + sign(
 UPS = "p AS (SELECT *, 1 / (1 + exp(-(close - open) / 10)) AS up FROM c)"
 query("sc_kelly", with_candles("SELECT symbol, ts, round(least(abs(up - 0.5) / greatest(up * (1 - up), 1e-6), 0.5), 8) + 0.0 AS kelly FROM p", more=UPS))(lambda spark, d: rounded(predictions(spark, d).select("symbol", "ts", P.kelly(F.col("prob_up")).alias("kelly")), 8))
 query("sc_delever", with_candles("SELECT symbol, ts, CASE WHEN (high - low) / high >= 0.10 THEN 0.5 WHEN (high - low) / high >= 0.05 THEN 0.75 ELSE 1.0 END::DOUBLE AS factor FROM c"))(lambda spark, d: candles(spark, d).select("symbol", "ts", P.delever((F.col("high") - F.col("low")) / F.col("high")).alias("factor")))
-_EU = "SELECT symbol, ts, round(up * 1.5 * a - (1 - up) * a - 0.0003 * close, 6) + 0.0 AS eu_long, round((1 - up) * 1.5 * a - up * a - 0.0003 * close, 6) + 0.0 AS eu_short FROM (SELECT *, coalesce(nullif(high - low, 0), close * 0.004) AS a FROM p)"
+_EU = "SELECT symbol, ts, round(up * 1.5 * a - (1 - up) * a - 0.0012 * close, 6) + 0.0 AS eu_long, round((1 - up) * 1.5 * a - up * a - 0.0012 * close, 6) + 0.0 AS eu_short FROM (SELECT *, coalesce(nullif(high - low, 0), close * 0.004) AS a FROM p)"
 query("sc_eu", with_candles(_EU, more=UPS))(lambda spark, d: rounded(predictions(spark, d).withColumn("atr", F.col("high") - F.col("low")).select("symbol", "ts", *[v.alias(k) for k, v in P.expected_utility().items()])))
 query("sc_resolve_direction", with_candles("SELECT symbol, ts, CASE WHEN up >= 0.5 THEN 'up' ELSE 'down' END AS direction, round(greatest(up, 1 - up), 8) AS confidence, greatest(up, 1 - up) > 0.55 OR greatest(up, 1 - up) < 0.45 AS highlight FROM p", more=UPS))(
     lambda spark, d: rounded(predictions(spark, d).select("symbol", "ts", F.when(F.col("prob_up") >= F.col("prob_down"), "up").otherwise("down").alias("direction"), F.array_max(F.array("prob_down", "prob_flat", "prob_up")).alias("confidence"), (~F.col("pred_conf").between(0.45, 0.55)).alias("highlight")), 8)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.operators import candles as K
 from tidemark.operators import policy as P
 from tidemark.plans.q_aggregates import ohlcv
-from tidemark.plans.registry import query, rounded, with_candles
+from tidemark.plans.q_folds import DECISIONS, policy_sql
+from tidemark.plans.registry import TICKS, query, rounded, with_candles
 from tidemark.session import scratch
 from tidemark.sources.tables import candles, predictions
 from tidemark.streaming import candles as S
@@ -48,8 +49,8 @@ def st_stream_state(spark: SparkSession, d: str) -> DataFrame:
 
 query("st_feature_buffer", with_candles("SELECT symbol, ts, round(close, 6) AS close FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 64"))(lambda spark, d: rounded(K.newest(S.drain(bar_stream(spark, d), "buffer"), 64).select("symbol", "ts", "close")))
 query("st_prediction_marks", with_candles("SELECT symbol, ts, round(1 / (1 + exp(-(close - open) / 10)), 8) AS mark FROM c"))(lambda spark, d: rounded(K.keep_last([predictions(spark, d).select("symbol", "ts", F.lit(0.5).alias("mark")), predictions(spark, d).select("symbol", "ts", F.col("prob_up").alias("mark"))]), 8))
-query("st_live_decision")(lambda spark, d: rounded(P.apply_policy(predictions_of(S.drain(bar_stream(spark, d), "live")))))
-query("stream_ws")(lambda spark, d: S.drain(S.tick_stream(spark, d), "ticks").select("symbol", "ts", "price", "quantity", "is_buyer_maker"))
+query("st_live_decision", with_candles(DECISIONS, more=policy_sql("FALSE", "TRUE"), recursive=True))(lambda spark, d: rounded(P.apply_policy(predictions_of(S.drain(bar_stream(spark, d), "live")))))
+query("stream_ws", f"WITH {TICKS} SELECT symbol, ts, price, quantity, is_buyer_maker FROM t")(lambda spark, d: S.drain(S.tick_stream(spark, d), "ticks").select("symbol", "ts", "price", "quantity", "is_buyer_maker"))
 query("pipe_collect_live", with_candles("SELECT symbol, count(*) AS bars FROM c GROUP BY 1"))(lambda spark, d: S.drain(bar_stream(spark, d), "collect").groupBy("symbol").agg(F.count("*").alias("bars")))
 
 

@@ -62,7 +62,7 @@ bars("win_fvg", X.fair_value_gaps, {
     "fvg_down_fill": f"CASE WHEN {_DN} > 0 THEN least(greatest(1 - greatest(lag(low) OVER w - close, 0) / {_DN}, 0), 1) ELSE 0 END",
 })
 _V = f"abs(y) / CASE WHEN count(y) {rows(30)} >= 5 AND stddev_samp(y) {rows(30)} >= 1e-9 THEN stddev_samp(y) {rows(30)} END"
-steps("win_burst", X.with_burst, "burst", LR, f"coalesce(CASE WHEN {_V} > 10 THEN 10 ELSE {_V} END, 0)")
+steps("win_burst", X.with_burst, "burst_score", "coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0)", f"coalesce(CASE WHEN {_V} > 10 THEN 10 ELSE {_V} END, 0)")
 bars("win_volume_z60", lambda: {"z": X.zscore("volume", 60, 5)}, {"z": f"CASE WHEN count(volume) {rows(60)} >= 5 AND stddev_samp(volume) {rows(60)} >= 1e-9 THEN (volume - avg(volume) {rows(60)}) / stddev_samp(volume) {rows(60)} ELSE 0 END"})
 steps("win_atr_accel", X.with_range_acceleration, "atr_accel", f"avg(high - low) {rows(14)}", "coalesce(y - lag(y) OVER w, 0)")
 steps("win_liquidity_proxy", X.liquidity_proxy, "liquidity_proxy", f"CASE WHEN count(volume) {rows(30)} >= 5 THEN avg(volume) {rows(30)} END", "coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0)")
