@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import backtest as B
 from tidemark.operators import candles as K
 from tidemark.operators import mlops as M
-from tidemark.plans.registry import TICKS, candles_sql, query, rounded, with_candles
+from tidemark.plans.registry import TICKS, candles_sql, query, r, rounded, with_candles
 from tidemark.schema import DERIVED, INTERVALS
+from tidemark.schema import OHLCV as OHLCV_NAMES
 from tidemark.session import scratch, stored
 from tidemark.sources.tables import candles, predictions, table, trades
 
@@ -22,7 +23,7 @@ def ohlcv(df: DataFrame) -> DataFrame:
 
 
 query("agg_trades_to_candles", with_candles(f"SELECT {OHLCV}, round(quote_volume, 4) AS quote_volume, trades, round(taker_buy_volume, 4) AS taker_buy_volume, round(taker_buy_quote, 4) AS taker_buy_quote, close_time FROM c"))(
-    lambda spark, d: rounded(candles(spark, d), 4).drop("open", "high", "low", "close", "volume").join(ohlcv(candles(spark, d)), ["symbol", "ts"])
+    lambda spark, d: candles(spark, d).select("symbol", "ts", *[r(F.col(c)).alias(c) for c in OHLCV_NAMES], *[r(F.col(c), 4).alias(c) for c in ("quote_volume", "taker_buy_volume", "taker_buy_quote")], "trades", "close_time")
 )
 
 

@@ -100,8 +100,8 @@ k(symbol, ts, i, cash, side, size, entry, since, sold, exits, pnl, old_entry, ol
   SELECT symbol, ts, i, 10000.0::DOUBLE, 0, 0.0::DOUBLE, 0.0::DOUBLE, NULL::TIMESTAMP, 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE, 0.0::DOUBLE, NULL::TIMESTAMP, 0 FROM z WHERE i = 1 UNION ALL
   SELECT symbol, ts, i, cash + coalesce(pnl, 0) - CASE WHEN want <> 0 THEN fill * close * 0.0001 ELSE 0 END, want, CASE WHEN want <> 0 THEN fill ELSE 0 END, CASE WHEN want = side THEN entry WHEN want <> 0 THEN close + want * (away + fee) ELSE 0 END, CASE WHEN want = side THEN since WHEN want <> 0 THEN ts END, size, exits, pnl, entry, since, side
   FROM (SELECT *, CASE WHEN side <> 0 AND want <> side THEN side * (exits - entry) * size END AS pnl FROM (SELECT z.symbol, z.ts, z.i, z.close, z.want, z.fill, z.away, z.fee, k.cash, k.side, k.size, k.entry, k.since, z.close - k.side * (z.away + z.taker) AS exits FROM k JOIN z ON z.symbol = k.symbol AND z.i = k.i + 1)))"""
-query("fold_backtest_costs", with_candles("""SELECT symbol, 'trade' AS kind, old_since AS entry_time, ts AS exit_time, CASE old_side WHEN 1 THEN 'long' ELSE 'short' END AS side, round(sold, 6) AS size, round(old_entry, 6) AS entry_price, round(exits, 6) AS exit_price, round(pnl, 6) + 0.0 AS pnl, NULL::DOUBLE AS equity FROM k WHERE pnl IS NOT NULL
-UNION ALL SELECT k.symbol, 'equity', k.ts, k.ts, NULL, NULL, NULL, NULL, NULL, round(k.cash + k.side * (z.close - k.entry) * k.size, 6) FROM k JOIN z ON z.symbol = k.symbol AND z.i = k.i""", more=_COSTS, recursive=True))(lambda spark, d: rounded(B.backtest(fixed(spark, d), B.Costs(funding_bp=1.0))))
+query("fold_backtest_costs", with_candles("""SELECT symbol, 'trade' AS kind, old_since AS entry_time, ts AS exit_time, CASE old_side WHEN 1 THEN 'long' ELSE 'short' END AS side, round(sold, 7) AS size, round(old_entry, 7) AS entry_price, round(exits, 7) AS exit_price, round(pnl, 7) + 0.0 AS pnl, NULL::DOUBLE AS equity FROM k WHERE pnl IS NOT NULL
+UNION ALL SELECT k.symbol, 'equity', k.ts, k.ts, NULL, NULL, NULL, NULL, NULL, round(k.cash + k.side * (z.close - k.entry) * k.size, 7) FROM k JOIN z ON z.symbol = k.symbol AND z.i = k.i""", more=_COSTS, recursive=True))(lambda spark, d: rounded(B.backtest(fixed(spark, d), B.Costs(funding_bp=1.0)), 7))
 
 
 @query("win_entry_plan", with_candles("SELECT symbol, round(hi, 6) AS high, round(lo, 6) AS low, round(hi - 0.618 * (hi - lo), 6) AS fib_lo, round(hi - 0.382 * (hi - lo), 6) AS fib_hi, round(last + 1.5 * a, 6) AS target, round(last - a, 6) AS stop FROM (SELECT symbol, max(high) AS hi, min(low) AS lo, arg_max(close, ts) AS last, arg_max(a, ts) AS a FROM (SELECT n.*, w.y / w.den AS a FROM n JOIN w ON w.symbol = n.symbol AND w.i = n.i QUALIFY row_number() OVER (PARTITION BY n.symbol ORDER BY n.ts DESC) <= 20) GROUP BY 1)", more=_ATR, recursive=True))
