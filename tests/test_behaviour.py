@@ -12,7 +12,8 @@ from tidemark.operators import candles as K
 from tidemark.operators import folds
 from tidemark.operators.policy import Rules, apply_policy
 from tidemark.schema import interval_seconds
-from tidemark.sources.generators import KlineSource, offline_candles
+from tidemark.sources.clients import offline_klines, paged_source
+from tidemark.sources.generators import offline_candles
 
 T0 = datetime(2024, 1, 1)
 
@@ -92,8 +93,8 @@ def test_policy_guards_and_filters(spark):
 
 
 def test_kline_source(spark):
-    spark.dataSource.register(KlineSource)
-    raw = spark.read.format("klines").option("start_ms", 0).option("end_ms", 3_000_000).load()
+    spark.dataSource.register(paged_source("klines", offline_klines()))
+    raw = spark.read.format("klines").option("start_ms", 0).option("end_ms", 2_999_999).load()
     got = K.normalize_klines(raw).orderBy("ts").toPandas()
     want = offline_candles(spark, 50, "1970-01-01").orderBy("ts").toPandas()
     assert len(got) == 50
@@ -128,7 +129,7 @@ def test_thresholds_ask_for_the_allowed_sides(spark):
 
 def test_grey_bounds_by_regime(spark):
     lit = F.lit
-    assert decisions(spark, [0.54], regime_bucket=lit("med")) == ["flat"] and decisions(spark, [0.95], regime_bucket=lit("med")) == ["long"]
+    assert decisions(spark, [0.54], regime_bucket=lit("med")) == decisions(spark, [0.54], regime_bucket=lit("high")) == ["long"]
     assert decisions(spark, [0.52], regime_bucket=lit("high")) == ["flat"]
     assert decisions(spark, [0.54], regime_bucket=lit("none")) == ["flat"]  # bounds of 0.45 and 0.55
 
@@ -151,3 +152,147 @@ def test_rules_from_a_configuration(spark):
     assert (row.take_profit, row.stop_loss) == pytest.approx((99.0, 100.5))
     with pytest.raises(ValueError):
         rules_of({"filters": [{"name": "x", "type": "image", "expr": "1"}]})
+
+
+# sources that are fetched page by page
+def test_pages_cover_the_range_once():
+    from tidemark.sources.clients import offline_klines, pages_backward, pages_forward
+
+    fetch = offline_klines()
+    there = [r[0] for p in pages_forward(fetch, 0, 2_500 * 60_000, 1000) for r in p]
+    assert there == [i * 60_000 for i in range(2501)]
+    back = [r[0] for p in pages_backward(fetch, 2_500 * 60_000, start_ms=600_000, limit=1000) for r in p]
+    assert min(back) <= 600_000 and len(back) == len(set(back))
+    assert len([p for p in pages_backward(fetch, 10**11, minimum=2500, limit=1000)]) == 3
+    assert len([p for p in pages_backward(fetch, 10**11, start_ms=0, limit=10, max_pages=4)]) == 4
+    assert max(r[0] for p in pages_backward(fetch, 10**12, minimum=1, now_ms=600_000) for r in p) == 600_000
+
+
+def test_calls_are_repeated_and_then_fail():
+    from tidemark.sources.clients import retried
+
+    tries = []
+
+    def call(x):
+        tries.append(x)
+        if len(tries) < 3:
+            raise OSError
+        return x * 2
+
+    assert retried(call, 4, wait=0) == (8, 3)
+    tries.clear()
+    with pytest.raises(OSError):
+        retried(call, 1, attempts=2, wait=0)
+
+
+def test_gaps_are_fetched_from_a_client(spark):
+    """Ten bars of which 3, 4 and 5 are missing: the gap is asked of the client, and the full grid comes back."""
+    from tidemark.sources.clients import paged_source
+
+    every = [(i * 60_000, f"{100.0 + i}", f"{101.0 + i}", f"{99.0 + i}", f"{100.5 + i}", f"{10.0 + i}", i * 60_000 + 59_999) for i in range(10)]
+
+    def fetch(start_ms, end_ms, limit):
+        return [r for r in every if (start_ms is None or r[0] >= start_ms) and r[0] <= end_ms][:limit]
+
+    rows = spark.createDataFrame(every, "open_time bigint, open string, high string, low string, close string, volume string, close_time bigint")
+    have = K.normalize_klines(rows).where("ts_ms_utc not in (180000, 240000, 300000)").withColumn("symbol", F.lit("BTCUSDT"))
+    gap = K.gap_segments(have, 60).first()
+    assert (gap.gap_start, gap.gap_end) == (datetime(1970, 1, 1, 0, 3), datetime(1970, 1, 1, 0, 5))
+    spark.dataSource.register(paged_source("stub_klines", fetch))
+    ms = lambda t: int((t - datetime(1970, 1, 1)).total_seconds() * 1000)
+    got = K.normalize_klines(spark.read.format("stub_klines").option("start_ms", ms(gap.gap_start)).option("end_ms", ms(gap.gap_end)).load()).withColumn("symbol", F.lit("BTCUSDT"))
+    full = K.keep_last([have, got]).orderBy("ts").collect()
+    assert [r.ts_ms_utc for r in full] == [r[0] for r in every] and [r.close for r in full] == [100.5 + i for i in range(10)]
+
+
+def test_bars_derived_without_a_fetch(spark):
+    five = K.newest(K.resample(bars(spark, 12).withColumn("close_time", F.col("ts")), 300), 2).orderBy("ts").collect()
+    assert [(r.ts, r.volume) for r in five] == [(T0 + timedelta(minutes=5), sum(15.0 + i for i in range(5))), (T0 + timedelta(minutes=10), 41.0)]
+
+
+# live bars
+def test_the_machine_drops_late_ticks_and_keeps_state(spark, tmp_path):
+    from tidemark.streaming import machine as L
+
+    def write(rows):
+        spark.createDataFrame([("A", datetime(2024, 1, 1, 0, m, s), p, 1.0, kind, n) for n, (m, s, p, kind) in rows], L.EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        L.run(L.live_bars(L.event_stream(spark, str(tmp_path / "in")), 60, 0), str(tmp_path / "out"), str(tmp_path / "state"))
+        return [(r.ts.minute, r.open, r.high, r.low, r.close, r.trades) for r in spark.read.schema(L.BAR).parquet(str(tmp_path / "out")).withColumn("ts", F.col("ts").cast("timestamp_ntz")).orderBy("ts").collect()]
+
+    write(list(enumerate([(0, 10, 5.0, "tick"), (0, 50, 7.0, "tick"), (1, 5, 6.0, "tick")])))
+    assert run() == [(0, 5.0, 7.0, 5.0, 7.0, 2)]
+    write([(3, (0, 59, 99.0, "tick")), (4, (1, 30, 4.0, "tick")), (5, (3, 0, 8.0, "tick"))])  # the first is late
+    assert run()[1:] == [(1, 6.0, 6.0, 4.0, 4.0, 2)]
+    write([(6, (3, 0, 0.0, "flush"))])
+    assert run()[2:] == [(3, 8.0, 8.0, 8.0, 8.0, 1)]
+
+
+def test_subscribers_never_fall_below_none(spark):
+    from tidemark.plans.q_live import refcounts
+
+    rows = spark.createDataFrame([("A", i, d) for i, d in enumerate([-1, 1, 1, -1, -1, -1, 1])], "symbol string, ts int, delta int")
+    got = refcounts(rows).orderBy("ts").collect()
+    assert [r.refs for r in got] == [0, 1, 2, 1, 0, 0, 1]
+    assert [r.action for r in got] == [None, "start", None, None, "stop", None, "start"]
+
+
+# models
+def test_calibration_is_isotonic_regression(spark):
+    from tidemark.operators.mlops import calibrate
+
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random(200), 3)
+    y = (rng.random(200) < x**2).astype(float)
+    order = np.argsort(x, kind="stable")
+    xs, first = np.unique(x[order], return_index=True)
+    blocks = [[y[x == v].mean(), (x == v).sum(), [v]] for v in xs]  # pool adjacent violators
+    i = 0
+    while i + 1 < len(blocks):
+        if blocks[i][0] > blocks[i + 1][0]:
+            a, b = blocks[i], blocks.pop(i + 1)
+            blocks[i] = [(a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1]), a[1] + b[1], a[2] + b[2]]
+            i = max(0, i - 1)
+        else:
+            i += 1
+    want = {v: max(1e-6, m) for m, _, vs in blocks for v in vs}
+    df = spark.createDataFrame([(float(a), float(b), "r") for a, b in zip(x, y)], "p double, y double, regime string")
+    for keys in (None, "regime"):
+        for r in calibrate(df, "p", F.col("y") == 1, keys).collect():
+            assert r.p_calibrated == pytest.approx(want[r.p], abs=1e-6)
+    many = df.withColumn("regime", (F.col("p") * 1000).cast("int") % 20)
+    with pytest.raises(ValueError):
+        calibrate(many, "p", F.col("y") == 1, "regime")
+
+
+def test_boosted_trees_learn_and_fall_back(spark):
+    from tidemark.operators.mlops import train_boosted
+
+    rows = spark.createDataFrame([("A", T0 + timedelta(hours=i), float(i % 3), float(i), i % 3 - 1) for i in range(90)], "symbol string, ts timestamp_ntz, a double, b double, target int")
+    predict, trials = train_boosted(rows, ["a", "b"], trials=1, rounds=3, folds=2, embargo=2)
+    best = F.greatest("prob_down", "prob_flat", "prob_up")
+    hit = F.when(F.col("target") == -1, F.col("prob_down")).when(F.col("target") == 1, F.col("prob_up")).otherwise(F.col("prob_flat")) == best
+    got = predict(rows)
+    assert got.where(hit).count() >= 85 and trials.count() == 1 and trials.first().logloss < 1.0
+    assert abs(got.agg(F.max(F.abs(F.col("prob_down") + F.col("prob_flat") + F.col("prob_up") - 1))).first()[0]) < 1e-9
+    one = train_boosted(rows.withColumn("target", F.lit(1)), ["a"], trials=1, rounds=2, folds=2, embargo=2)[0](rows).first()
+    assert one.prob_up > 0.99
+    few = train_boosted(rows.limit(10), ["a"])[0](rows).first()
+    assert few.prob_up == few.prob_flat == few.prob_down
+
+
+def test_suggested_parameters_stay_in_their_space():
+    from tidemark.operators.mlops import SPACE, suggest_params, trial_count
+
+    for t in range(1, 200):
+        assert all(SPACE[k][0] <= v <= SPACE[k][1] for k, v in suggest_params(t).items())
+    assert [trial_count(n) for n in (0, 4000, 5999, 10**6)] == [5, 7, 7, 50]
+
+
+def test_settings_from_text_and_environment():
+    from tidemark import config
+
+    got = config.settings("data: {interval: 5m}\nbacktest: {symbols: []}", {"SYMBOL": "X", "INTERVAL": ""})
+    assert got["data"]["symbol"] == "X" and got["data"]["interval"] == "5m" and got["backtest"]["symbols"] == ["BTCUSDT"]
+    assert config.settings("", {}) == config.DEFAULTS

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-6
+#: The most regimes that calibration fits curves for; three by construction.
+MAX_REGIMES = 16
 #: Grey zones, interval bases and temperatures by regime.
 GREY_ZONES = {"low": (0.48, 0.52), "high": (0.42, 0.58)}
 GREY_DEFAULT = (0.45, 0.55)
@@ -70,8 +72,43 @@ def grey_and_interval(bucket: Column, conf: Column) -> dict[str, Column]:
     }
 
 
-def gate(ece_: Column, mcc_: Column, acc: Column) -> Column:
-    return (ece_ <= 0.03) & (mcc_ > 0) & (acc > 0.5)
+def gate(ece_: Column, mcc_: Column, acc: Column, worst_regime: Column | None = None) -> Column:
+    """Whether a model may go live; missing figures fail. worst_regime is the largest calibration error of a regime."""
+    ok = (ece_ <= 0.03) & (mcc_ > 0) & (acc > 0.5)
+    return F.coalesce(ok if worst_regime is None else ok & (worst_regime <= 0.05), F.lit(False))
+
+
+def stub_probability(df: DataFrame) -> DataFrame:
+    """The probability without a model: a logistic curve over rsi_14, a third where there is no such column."""
+    up = 1 / (1 + F.exp(-(F.col("rsi_14") - 50) / 10)) if "rsi_14" in df.columns else F.lit(1 / 3)
+    return df.select("symbol", "ts", up.alias("prob_up"))
+
+
+#: The search space of boosted trees: bounds, and whether a parameter is whole or drawn on a logarithmic scale.
+SPACE = {"max_depth": (3, 8, "int"), "n_estimators": (200, 800, "int"), "learning_rate": (0.01, 0.2, "log"), "subsample": (0.6, 1.0, ""), "colsample_bytree": (0.4, 1.0, ""), "min_child_weight": (1.0, 10.0, ""), "gamma": (0.0, 5.0, "")}
+PRIMES = (2, 3, 5, 7, 11, 13, 17)
+
+
+def trial_count(rows: int) -> int:
+    return min(50, max(5, rows // 2000 + 5))
+
+
+def suggest_params(trial: int, space: dict[str, tuple] | None = None) -> dict[str, int | float]:
+    """Parameters of a trial (from 1) by a low-discrepancy sequence: each parameter takes the radical inverse in a prime base of its own, so
+    trials spread evenly and repeat exactly."""
+    out = {}
+    for (name, (lo, hi, kind)), base in zip((space or SPACE).items(), PRIMES):
+        u, n, scale = 0.0, trial, 1.0 / base
+        while n:
+            u, n, scale = u + n % base * scale, n // base, scale / base
+        out[name] = int(lo + u * (hi - lo + 1)) if kind == "int" else lo * (hi / lo) ** u if kind == "log" else lo + u * (hi - lo)
+    return out
+
+
+def catalogue(registry: DataFrame) -> DataFrame:
+    """Every version with its place among those of its type and horizon: active ones first, then by metric, then by id."""
+    w = Window.partitionBy("model_type", "horizon").orderBy(F.desc("active"), F.desc("metric"), "id")
+    return registry.withColumn("place", F.row_number().over(w).cast("bigint"))
 
 
 def purged_folds(df: DataFrame, k: int, embargo: int, order: str = "ts") -> DataFrame:
@@ -121,6 +158,69 @@ def train_forest(df: DataFrame, features: list[str], label: str = "target", tree
     return predict
 
 
+def _boosted(df: DataFrame, params: dict, rounds: int):
+    """One-vs-rest boosted trees on rows with _x and _y; returns a function that gives the probabilities of the classes at hand."""
+    classes = sorted(int(r[0]) for r in df.select("_y").distinct().collect())  # three at most
+    models = {}
+    for k in classes if len(classes) > 1 else []:
+        gbt = GBTClassifier(featuresCol="_x", labelCol="_k", maxDepth=min(5, params["max_depth"]), maxIter=rounds, stepSize=params["learning_rate"] if rounds > 20 else max(0.1, params["learning_rate"]), subsamplingRate=params["subsample"], featureSubsetStrategy=f"{params['colsample_bytree']:.3f}", minInstancesPerNode=max(1, round(params["min_child_weight"])), minInfoGain=params["gamma"] / 1000, seed=7)
+        models[k] = gbt.fit(df.withColumn("_k", (F.col("_y") == k).cast("double")))
+
+    def scored(rows: DataFrame) -> DataFrame:
+        p = [F.lit(1.0)]
+        for k, m in models.items():
+            rows = m.setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setPredictionCol(f"_c{k}").transform(rows)
+        if models:
+            p = [vector_to_array(f"_p{k}")[1] for k in classes]
+        full = expand_probs(p, classes)
+        return rows.withColumns({f"prob_{c}": x for c, x in zip(("down", "flat", "up"), full)}).drop(*[f"_{x}{k}" for k in classes for x in "prc"])
+
+    return scored
+
+
+def logloss(label: str = "_y") -> Column:
+    """Mean log loss of prob_down, prob_flat and prob_up, as an aggregate."""
+    p = F.when(F.col(label) == 0, F.col("prob_down")).when(F.col(label) == 2, F.col("prob_up")).otherwise(F.col("prob_flat"))
+    return F.avg(-F.ln(F.greatest(p, F.lit(1e-15))))
+
+
+def train_boosted(df: DataFrame, features: list[str], label: str = "target", trials: int | None = None, rounds: int = 20, folds: int = 3, embargo: int = 60, least_rows: int = 50):
+    """Boosted trees with parameters chosen by purged cross-validation; returns (scoring function, table of trials).
+
+    Each trial's parameters come from `suggest_params`; its score is the mean log loss over the folds, of which one that lacks a class
+    counts too. `rounds` bounds the trees of a class, whatever a trial suggests. Fewer than least_rows rows are not fitted: the
+    scoring function is then the stub; rows of a single class give a constant model. Missing features count as 0.
+    """
+    spark = df.sparkSession
+    assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
+    rows = assembler.transform(df.fillna(0.0, subset=features).withColumn("_y", encode_target(F.col(label)).cast("double"))).cache()
+    n = rows.count()
+    schema = "trial int, logloss double, " + ", ".join(f"{k} double" for k in SPACE)
+    if n < least_rows:
+        rows.unpersist()
+        return (lambda r: r.withColumns({f"prob_{c}": F.lit(1 / 3) for c in ("down", "flat", "up")})), spark.createDataFrame([], schema)
+    tried = []
+    split = purged_folds(rows, folds, embargo).cache()
+    for t in range(1, (trial_count(n) if trials is None else trials) + 1):
+        params, losses = suggest_params(t), []
+        size = min(rounds, params["n_estimators"])
+        for k in range(folds):
+            fold = split.where(F.col("fold") == k)
+            if not fold.where("is_train").isEmpty():
+                losses.append(_boosted(fold.where("is_train"), params, size)(fold.where("is_test")).agg(logloss()).first()[0])
+        known = [x for x in losses if x is not None]
+        tried.append((t, sum(known) / len(known) if known else float("inf"), *[float(v) for v in params.values()]))
+    best = min(tried, key=lambda x: (x[1], x[0]))
+    final = _boosted(rows, suggest_params(best[0]), min(rounds, suggest_params(best[0])["n_estimators"]))
+    split.unpersist()
+    rows.unpersist()
+
+    def predict(r: DataFrame) -> DataFrame:
+        return final(assembler.transform(r.fillna(0.0, subset=features))).drop("_x")
+
+    return predict, spark.createDataFrame(tried, schema)
+
+
 def calibrate(df: DataFrame, prob: str, hit: Column, keys: str | None = None) -> DataFrame:
     """df with prob calibrated by isotonic regression on `hit`, within each regime if a key column is given (regimes are few)."""
     rows = df.withColumn("_h", hit.cast("double"))
@@ -134,7 +234,10 @@ def calibrate(df: DataFrame, prob: str, hit: Column, keys: str | None = None) ->
     if keys is None:
         return fitted(rows).drop("_h")
     out = None
-    for k in [r[0] for r in rows.select(keys).distinct().limit(16).collect()]:  # regime buckets: three by construction
+    found = [r[0] for r in rows.select(keys).distinct().limit(MAX_REGIMES + 1).collect()]
+    if len(found) > MAX_REGIMES:
+        raise ValueError(f"more than {MAX_REGIMES} values of {keys}: a curve is fitted for each")
+    for k in found:
         part = fitted(rows.where(F.col(keys).eqNullSafe(k)))
         out = part if out is None else out.unionByName(part)
     return (out if out is not None else fitted(rows)).drop("_h")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
+from tidemark.operators import candles as K
 from tidemark.operators import mlops as M
-from tidemark.plans.q_aggregates import LAB, hit, labelled
+from tidemark.plans.q_aggregates import LAB, labelled
 from tidemark.plans.registry import query, rounded, with_candles
 from tidemark.session import stored
 from tidemark.sources.tables import candles, predictions, table
@@ -19,15 +20,6 @@ query("ml_purged_kfold", with_candles("""SELECT symbol, ts, fold, i >= a AND i <
 _SPLIT = "SELECT symbol, ts, CASE WHEN i > n - s THEN 'valid' WHEN i <= n - s - {e} THEN 'train' END AS split FROM (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol) AS n, least(greatest({least}, floor({f} * count(*) OVER (PARTITION BY symbol))), floor(count(*) OVER (PARTITION BY symbol) / 2)) AS s FROM c)"
 query("ml_embargo_split", with_candles(_SPLIT.format(e=10, least=100, f="0.0")))(lambda spark, d: M.tail_split(candles(spark, d).select("symbol", "ts"), 0.0, 100, 10))
 query("ml_tail_split", with_candles(_SPLIT.format(e=0, least=50, f="0.2::DOUBLE")))(lambda spark, d: M.tail_split(candles(spark, d).select("symbol", "ts"), 0.2, 50))
-query("ml_stub_probs", with_candles("SELECT symbol, ts, round(1 / (1 + exp(-((close - open) + 50 - 50) / 10)), 8) AS prob_up FROM c"))(lambda spark, d: rounded(stub(candles(spark, d).withColumn("rsi_14", F.col("close") - F.col("open") + 50)), 8))
-
-
-def stub(df: DataFrame) -> DataFrame:
-    """The probability without a model: a logistic curve over RSI, a third each where there is none."""
-    up = 1 / (1 + F.exp(-(F.col("rsi_14") - 50) / 10)) if "rsi_14" in df.columns else F.lit(1 / 3)
-    return df.select("symbol", "ts", up.alias("prob_up"))
-
-
 _P = "p AS (SELECT *, 1 / (1 + exp(-(close - open) / 10)) AS up FROM c)"
 query("ml_expand_probs", with_candles("SELECT symbol, ts, round(greatest(1 - up, 1e-6) / t, 8) AS prob_down, round(1e-6 / t, 8) AS prob_flat, round(greatest(up, 1e-6) / t, 8) AS prob_up FROM (SELECT *, greatest(1 - up, 1e-6) + 1e-6 + greatest(up, 1e-6) AS t FROM p)", more=_P))(
     lambda spark, d: rounded(predictions(spark, d).select("symbol", "ts", *[x.alias(f"prob_{k}") for k, x in zip(("down", "flat", "up"), M.expand_probs([F.col("prob_down"), F.col("prob_up")], [0, 2]))]), 8)
@@ -38,13 +30,9 @@ query("ml_constant_model", with_candles("SELECT symbol, ts, round(1 / (1 + 2e-6)
 query("ml_grey_ci", with_candles("SELECT regime, symbol, ts, CASE regime WHEN 'low' THEN 0.48 WHEN 'high' THEN 0.42 ELSE 0.45 END::DOUBLE AS grey_lo, CASE regime WHEN 'low' THEN 0.52 WHEN 'high' THEN 0.58 ELSE 0.55 END::DOUBLE AS grey_hi, round(greatest(conf - h, 0), 8) AS ci_lo, round(least(conf + h, 1), 8) AS ci_hi FROM (SELECT *, CASE regime WHEN 'low' THEN 0.12 / 0.8 / 2 WHEN 'high' THEN 0.20 / 1.2 / 2 ELSE 0.16 / 1.0 / 2 END::DOUBLE AS h FROM l)", more=LAB))(
     lambda spark, d: rounded(labelled(spark, d).select("regime", "symbol", "ts", *[v.alias(k) for k, v in M.grey_and_interval(F.col("regime"), F.col("conf")).items()]), 8)
 )
-query("ml_gate", with_candles("SELECT symbol, avg(CAST(y = yhat AS DOUBLE)) > 0.5 AND corr(y, yhat) > 0 AS passes FROM l GROUP BY 1", more=LAB))(
-    lambda spark, d: M.mcc(labelled(spark, d), "y", "yhat", keys=("symbol",)).join(labelled(spark, d).groupBy("symbol").agg(F.avg(hit().cast("double")).alias("acc")), "symbol").select("symbol", M.gate(F.lit(0.0), F.col("mcc"), F.col("acc")).alias("passes"))
+query("ml_registry", "SELECT p_brand AS model_type, p_size AS horizon, coalesce(max(p_name) FILTER (WHERE p_partkey % 40 = 0), max(p_name)) AS version FROM part GROUP BY ALL")(
+    lambda spark, d: M.latest_versions(table(spark, d, "part").select(F.col("p_brand").alias("model_type"), F.col("p_size").alias("horizon"), F.col("p_name").alias("version"), (F.col("p_partkey") % 40 == 0).alias("active")))
 )
-for _name in ("ml_registry", "ml_catalog"):
-    query(_name, "SELECT p_brand AS model_type, p_size AS horizon, coalesce(max(p_name) FILTER (WHERE p_partkey % 40 = 0), max(p_name)) AS version FROM part GROUP BY ALL")(
-        lambda spark, d: M.latest_versions(table(spark, d, "part").select(F.col("p_brand").alias("model_type"), F.col("p_size").alias("horizon"), F.col("p_name").alias("version"), (F.col("p_partkey") % 40 == 0).alias("active")))
-    )
 
 FEATURES = ["logret", "zscore", "range"]
 
@@ -61,9 +49,18 @@ def trained(spark: SparkSession, d: str) -> DataFrame:
 
 
 _OUT = ["symbol", "ts", "target", "prob_down", "prob_flat", "prob_up"]
-query("ml_xgb_train")(lambda spark, d: trained(spark, d).select(*_OUT))
+
+
+@query("ml_xgb_train")
+def ml_xgb_train(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-sample probabilities of the tail by boosted trees, with the parameters of the best of two trials."""
+    rows = stored(M.tail_split(samples(spark, d), 0.2, 50, 5), "samples")
+    predict, _ = M.train_boosted(rows.where("split = 'train'"), FEATURES, trials=2, rounds=4, folds=2, embargo=5)
+    return predict(rows.where("split = 'valid'")).select(*_OUT)
+
+
 query("ml_predict_batch")(lambda spark, d: trained(spark, d).select(*_OUT, F.greatest("prob_down", "prob_flat", "prob_up").alias("pred_conf")))
-query("ml_predict_row")(lambda spark, d: trained(spark, d).where("symbol = 'view'").orderBy(F.desc("ts")).limit(1).select(*_OUT))
+query("ml_predict_row")(lambda spark, d: K.newest(trained(spark, d), 1).select(*_OUT))
 query("ml_calibrate_ovr")(lambda spark, d: M.calibrate(predictions_with_hit(spark, d), "prob_up", F.col("y") == 1).select("symbol", "ts", "prob_up", "prob_up_calibrated"))
 query("ml_calibrate_regime")(lambda spark, d: M.calibrate(predictions_with_hit(spark, d), "prob_up", F.col("y") == 1, "regime").select("symbol", "ts", "regime", "prob_up", "prob_up_calibrated"))
 query("ml_fit_calibrator")(lambda spark, d: M.calibrate(predictions_with_hit(spark, d), "pred_conf", F.col("y") == F.col("yhat")).groupBy("regime").agg(F.avg("pred_conf").alias("before"), F.avg("pred_conf_calibrated").alias("after"), F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("accuracy")))

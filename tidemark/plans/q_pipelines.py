@@ -69,19 +69,6 @@ query("pipe_ensure_range", with_candles("SELECT g.symbol, count(*) AS expected,
     lambda spark, d: K.grid(candles(spark, d), 3600).join(candles(spark, d).select("symbol", "ts", F.lit(1).alias("x")), ["symbol", "ts"], "left").groupBy("symbol").agg(F.count("*").alias("expected"), F.sum(F.when(F.col("x").isNull(), 1).otherwise(0)).alias("missing"))
 )
 query("pipe_preload", with_candles(f"SELECT {OHLCV} FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 120", "4 hours"))(lambda spark, d: ohlcv(K.newest(K.resample(stored(candles(spark, d), "cache"), 14400), 120)))
-query("pipe_bootstrap", with_candles("SELECT symbol, count(*) AS bars, count(*) >= 100 AS ready FROM c GROUP BY 1", "1 day"))(lambda spark, d: candles(spark, d, "1d").groupBy("symbol").agg(F.count("*").alias("bars")).withColumn("ready", F.col("bars") >= 100))
-query("agg_verify_sample", with_candles("SELECT symbol, TRUE AS matches FROM (SELECT DISTINCT symbol FROM c)"))(lambda spark, d: verify_sample(spark, d))
-
-
-def verify_sample(spark: SparkSession, d: str) -> DataFrame:
-    """One of each symbol's last 50 bars, chosen by a hash, against the source's close."""
-    c = candles(spark, d)
-    last = K.newest(stored(c, "copy"), 50)
-    one = last.groupBy("symbol").agg(F.max_by(F.struct("ts", "close"), F.xxhash64("ts")).alias("x")).select("symbol", "x.ts", F.col("x.close").alias("mine"))
-    tol = F.greatest(F.lit(1e-8), F.col("close") * 1e-8)
-    return one.join(c.select("symbol", "ts", "close"), ["symbol", "ts"]).select("symbol", (F.abs(F.col("mine") - F.col("close")) <= tol).alias("matches"))
-
-
 _TITLED = "SELECT doc_id, source AS folder, 'doc ' || CAST(doc_id AS VARCHAR) AS title, sha256(text) AS digest FROM documents WHERE trim(text) <> ''"
 
 

@@ -7,19 +7,25 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import vectors as V
 from tidemark.functions import windows as X
+from tidemark.functions.intervals import refresh_of, seconds_of
 from tidemark.operators import backtest as B
 from tidemark.operators import mlops as M
 from tidemark.operators import policy as P
-from tidemark.plans.q_aggregates import regimes
-from tidemark.plans.registry import candles_sql, TICKS, query, rounded, with_candles
-from tidemark.schema import INTERVALS, interval_seconds, refresh_seconds
+from tidemark.plans.registry import TICKS, query, rounded, with_candles
+from tidemark.schema import INTERVALS
 from tidemark.sources.tables import candles, predictions, table, trades
 
 _TEXTS = ["1m", "5m", "1h", "4h", "1d", "90s", "15M", "2w", "", "x"]
+
+
+def _intervals(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in _TEXTS], "interval string")
+
+
 _VALUES = ", ".join(f"('{t}')" for t in _TEXTS)
 _SECONDS = f"""CASE {' '.join(f"WHEN lower(i) = '{k}' THEN {v}" for k, v in INTERVALS.items())} WHEN regexp_full_match(lower(i), '[0-9]+[smhd]') THEN greatest(1, CAST(regexp_extract(i, '[0-9]+') AS BIGINT)) * CASE right(lower(i), 1) WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 ELSE 86400 END ELSE 60 END"""
-query("sc_interval_seconds", f"SELECT i AS interval, CAST({_SECONDS} AS BIGINT) AS seconds FROM (VALUES {_VALUES}) v(i)")(lambda spark, d: spark.createDataFrame([(t, interval_seconds(t)) for t in _TEXTS], "interval string, seconds bigint"))
-query("sc_refresh_seconds", f"SELECT i AS interval, round(least(greatest(1.0, {_SECONDS} / 12.0), 15.0), 6) AS seconds FROM (VALUES {_VALUES}) v(i)")(lambda spark, d: rounded(spark.createDataFrame([(t, float(refresh_seconds(t))) for t in _TEXTS], "interval string, seconds double")))
+query("sc_interval_seconds", f"SELECT i AS interval, CAST({_SECONDS} AS BIGINT) AS seconds FROM (VALUES {_VALUES}) v(i)")(lambda spark, d: _intervals(spark).select("interval", seconds_of(F.col("interval")).alias("seconds")))
+query("sc_refresh_seconds", f"SELECT i AS interval, round(least(greatest(1.0, {_SECONDS} / 12.0), 15.0), 6) AS seconds FROM (VALUES {_VALUES}) v(i)")(lambda spark, d: rounded(_intervals(spark).select("interval", refresh_of(F.col("interval")).alias("seconds"))))
 query("sc_bars_required", "SELECT d AS days, least(greatest(d * 86400 // 60 + 5, 1000), 10000) AS bars FROM (SELECT unnest(range(0, 31)) AS d)")(lambda spark, d: spark.range(31).select(F.col("id").alias("days"), F.least(F.greatest(F.floor(F.col("id") * 86400 / 60) + 5, F.lit(1000)), F.lit(10000)).cast("bigint").alias("bars")))
 query("sc_floor_bucket", f"WITH {TICKS} SELECT trade_id, epoch_us(ts) // 1000000 // 900 * 900 AS bucket FROM t")(lambda spark, d: trades(spark, d).select("trade_id", (F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 900) * 900).alias("bucket")))
 query("sc_to_ms", "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events")(lambda spark, d: table(spark, d, "events").select("event_id", F.unix_millis(F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z")))).alias("ms")))
@@ -115,5 +121,3 @@ def add_and_read(vectors: DataFrame) -> DataFrame:
     vectors.where("vec_id % 2 = 1").write.mode("append").parquet(path)
     return vectors.sparkSession.read.parquet(path).select("vec_id", F.round(F.col("embedding")[0], 6).alias("first"), F.size("embedding").cast("bigint").alias("dim"))
 
-
-__all__ = ["candles_sql", "regimes"]

@@ -15,37 +15,51 @@ from tidemark.plans.q_aggregates import EQ, equity
 from tidemark.plans.q_folds import FREE, fixed
 from tidemark.plans.q_ml import FEATURES, samples
 from tidemark.plans.q_scalars import _L2, _Q, _query_vector
-from tidemark.plans.registry import TICKS, query, rounded, with_candles
+from tidemark.plans.registry import query, rounded, with_candles
 from tidemark.session import scratch
-from tidemark.sources.generators import KlineSource
-from tidemark.sources.tables import candles, table, trades
+from tidemark.sources.clients import TRADE_FIELDS, offline_klines, offline_trades, paged_source
+from tidemark.sources.tables import candles, table
 
 _KLINES = """SELECT t * 60000 AS ts_ms_utc, round(b + cos((t + 0.5) / 9.0) * 110, 2) AS close FROM (SELECT t, 26000 + sin(t / 180.0) * 900 + cos(t / 55.0) * 320 AS b FROM (SELECT unnest(range({a}, {b})) AS t))"""
 
 
-def klines(spark: SparkSession, a: int, b: int) -> DataFrame:
-    """Bars of minutes a to b from the paged source."""
-    spark.dataSource.register(KlineSource)
-    raw = spark.read.format("klines").option("start_ms", a * 60000).option("end_ms", b * 60000).load()
-    return K.normalize_klines(raw).select("ts_ms_utc", F.round("close", 2).alias("close"))
+def source(spark: SparkSession, name: str, **options: int | str) -> DataFrame:
+    """The paged source over the offline klines or trades."""
+    cls = paged_source("klines", offline_klines()) if name == "klines" else paged_source("agg_trades", offline_trades(), TRADE_FIELDS)
+    spark.dataSource.register(cls)
+    return spark.read.format(name).options(**options).load()
 
 
-query("scan_kline_rest", _KLINES.format(a=0, b=1000))(lambda spark, d: klines(spark, 0, 1000))
-query("scan_kline_paginated", _KLINES.format(a=0, b=45000))(lambda spark, d: klines(spark, 0, 45000))
-query("scan_day_backward", _KLINES.format(a=1440, b=2880) + " ORDER BY 1 DESC")(lambda spark, d: klines(spark, 1440, 2880).orderBy(F.desc("ts_ms_utc")))
-query("scan_agg_trades", f"WITH {TICKS} SELECT trade_id, round(price, 6) AS price, quantity FROM t WHERE symbol = 'view' AND ts >= TIMESTAMP '2024-01-05' ORDER BY trade_id LIMIT 1000")(
-    lambda spark, d: rounded(trades(spark, d).where("symbol = 'view' and ts >= timestamp_ntz'2024-01-05'").orderBy("trade_id").limit(1000).select("trade_id", "price", "quantity"))
+def klines(spark: SparkSession, **options: int | str) -> DataFrame:
+    return K.normalize_klines(source(spark, "klines", **options)).select("ts_ms_utc", F.round("close", 2).alias("close"))
+
+
+_DAY = 86_400_000
+query("scan_kline_rest", _KLINES.format(a=0, b=1000))(lambda spark, d: klines(spark, start_ms=0, end_ms=999 * 60000))
+query("scan_kline_paginated", _KLINES.format(a=0, b=45000))(lambda spark, d: klines(spark, start_ms=0, end_ms=45000 * 60000 - 1))
+query("scan_kline_backward", _KLINES.format(a=96001, b=100001))(lambda spark, d: klines(spark, end_ms=100000 * 60000, minimum=3500, mode="backward"))
+query("scan_day_backward", _KLINES.format(a=1440, b=2880))(lambda spark, d: klines(spark, start_ms=_DAY, end_ms=2 * _DAY - 1, mode="backward"))
+query("scan_agg_trades", "SELECT k * 250 AS trade_time, k AS trade_id, 26000 + k % 977 / 4 AS price, round(1 + k % 13 / 10, 1) AS quantity, k % 2 = 0 AS is_buyer_maker FROM (SELECT unnest(range(40, 5001)) AS k)")(
+    lambda spark, d: source(spark, "agg_trades", start_ms=10_000, end_ms=1_250_000, chunk_ms=400_000).select("trade_time", "trade_id", F.col("price").cast("double").alias("price"), F.col("quantity").cast("double").alias("quantity"), "is_buyer_maker")
 )
 
 
-@query("sink_sqlite_append", with_candles("SELECT symbol, ts, round(close, 6) AS close FROM c"))
+def database(spark: SparkSession, label: str) -> dict[str, str]:
+    """JDBC options of a fresh embedded database; another URL and driver reach any other one."""
+    path = scratch(spark, label).removeprefix("file://").removeprefix("file:")
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{path}.log")
+    return {"url": f"jdbc:derby:;databaseName={path};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+@query("sink_sqlite_append", with_candles("SELECT symbol, epoch_ms(ts) AS ms, round(close, 6) AS close FROM c"))
 def sink_append(spark: SparkSession, d: str) -> DataFrame:
-    """Rows appended to a table in two writes."""
-    path = scratch(spark, "appended")
-    c = rounded(candles(spark, d).select("symbol", "ts", "close"))
-    for part in ("hour(ts) < 12", "hour(ts) >= 12"):
-        c.where(part).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    """Rows appended to a database table in two writes, and read back in ranges of the time."""
+    to = database(spark, "appended")
+    c = rounded(candles(spark, d).select("symbol", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "close"))
+    for part in ("ms % 7200000 = 0", "ms % 7200000 <> 0"):
+        c.where(part).coalesce(1).write.format("jdbc").options(**to, dbtable="candles").mode("append").save()
+    back = spark.read.format("jdbc").options(**to, dbtable="candles", partitionColumn='"ms"', lowerBound=1704067200000, upperBound=1706659200000, numPartitions=4).load()
+    return back.toDF(*[x.lower() for x in back.columns])
 
 
 @query("sink_orders", with_candles("SELECT symbol, ts, CASE WHEN close > open THEN 'buy' ELSE 'sell' END AS side, 1.0::DOUBLE AS size FROM c WHERE close <> open"))
@@ -91,7 +105,6 @@ query("win_zscore", with_candles(f"SELECT symbol, ts, {_z('close', 50)}, {_z('cl
     lambda spark, d: rounded(candles(spark, d).select("symbol", "ts", *[X.zscore(x, n).alias(f"z_{x}_{n}") for x, n in (("close", 50), ("close", 200), ("volume", 50))]))
 )
 query("topk_vector", f"WITH {_Q} SELECT vec_id, round({_L2}, 6) AS score FROM e, q ORDER BY {_L2}, vec_id LIMIT 3")(lambda spark, d: rounded(V.top_k(table(spark, d, "embeddings"), _query_vector(spark, d), 3)))
-query("st_force_close", with_candles("SELECT symbol, ts, round(close, 6) AS close FROM c WHERE ts < TIMESTAMP '2024-01-10'"))(lambda spark, d: rounded(candles(spark, d).where("ts < timestamp_ntz'2024-01-10'").select("symbol", "ts", "close")))
 
 
 @query("ml_artifacts")

@@ -47,4 +47,4 @@ def r(x: Column, digits: int = 6) -> Column:
     return F.round(x, digits) + F.lit(0.0)
 
 
-from tidemark.plans import q_aggregates, q_folds, q_joins, q_ml, q_pipelines, q_scalars, q_sinks, q_sources, q_streaming, q_windows  # noqa: E402, F401
+from tidemark.plans import q_aggregates, q_folds, q_joins, q_live, q_manage, q_ml, q_pipelines, q_scalars, q_sinks, q_sources, q_streaming, q_windows  # noqa: E402, F401

@@ -1,14 +1,9 @@
-"""Deterministic candles without a network, and a data source that serves them in time chunks."""
+"""Deterministic candles without a network."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 START = "2024-01-01"
 #: Fixed values of the offline series: level; (height, period) of its waves and of the offsets of open, close, wicks and volume.
@@ -47,50 +42,3 @@ def random_walk(spark: SparkSession, n: int, seed: int, symbols: int = 5) -> Dat
     close = 100 * F.exp(F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("close", close).withColumn("open", F.coalesce(F.lag("close").over(w), F.lit(100.0)))
     return rows.select("symbol", F.timestamp_seconds(F.col("i") * 60).alias("ts"), "open", (F.greatest("open", "close") * 1.001).alias("high"), (F.least("open", "close") * 0.999).alias("low"), "close")
-
-
-class KlineSource(DataSource):
-    """`spark.read.format("klines")`: raw klines between the options start_ms and end_ms in pages of 1000 bars, one partition for a chunk of pages.
-
-    Served from the offline generator; a network client would take the place of `_page`.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "klines"
-
-    def schema(self) -> str:
-        return "open_time bigint, open string, high string, low string, close string, volume string, close_time bigint"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _KlineReader(self.options)
-
-
-class _KlineReader(DataSourceReader):
-    PAGE, CHUNK = 1000, 20
-
-    def __init__(self, options) -> None:
-        self.start, self.end, self.step = int(options.get("start_ms", 0)), int(options.get("end_ms", 0)), int(options.get("interval_seconds", 60)) * 1000
-
-    def partitions(self) -> list[InputPartition]:
-        width = self.PAGE * self.CHUNK * self.step
-        return [InputPartition((a, min(self.end, a + width))) for a in range(self.start, max(self.start + 1, self.end), width)]
-
-    def _page(self, a: int, b: int) -> list[tuple]:
-        out = []
-        for t in range(a, b, self.step):
-            i = t // self.step
-            base = LEVEL + math.sin(i / WAVES[0][1]) * WAVES[0][0] + math.cos(i / WAVES[1][1]) * WAVES[1][0]
-            o, c = base + math.sin(i / OPEN[1]) * OPEN[0], base + math.cos((i + 0.5) / CLOSE[1]) * CLOSE[0]
-            high, low = max(o, c) + abs(math.sin(i / UPPER[1])) * UPPER[0] + UPPER[2], min(o, c) - abs(math.cos(i / LOWER[1])) * LOWER[0] - LOWER[2]
-            out.append((t, f"{o:.2f}", f"{high:.2f}", f"{low:.2f}", f"{c:.2f}", f"{VOLUME + abs(math.sin(i / VOLUME_WAVE[1])) * VOLUME_WAVE[0] + i % 10 * VOLUME_STEP:.3f}", t + self.step - 1))
-        return out
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        a, b = partition.value
-        names = ["open_time", "open", "high", "low", "close", "volume", "close_time"]
-        types = [pa.int64(), *[pa.string()] * 5, pa.int64()]
-        for p in range(a, b, self.PAGE * self.step):
-            rows = self._page(p, min(b, p + self.PAGE * self.step))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.session import scratch
-from tidemark.sources.tables import table, trades
+from tidemark.sources.tables import trades
 
 
 def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,5 +72,3 @@ def upsert_stream(stream: DataFrame, folder: str, keys: tuple[str, ...] = ("symb
     write = lambda df, i: df.withColumn("_v", F.lit(i)).write.mode("overwrite").parquet(f"{folder}/_batch={i}")
     stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
-
-__all__ = ["drain", "fill_gaps_stream", "table", "tick_stream", "tumbling_candles", "upsert_stream"]
