@@ -537,6 +537,84 @@ def test_nothing_but_named_columns(spark):
     assert d.select(F.lit(1)).count() == 1
 
 
+def scan(d):
+    return licenses.scan_licenses(d).drop("spans")
+
+
+def spans(d):
+    return pii.pii_spans(d)
+
+
+def scored(d):
+    return quality.score_quality(d, quality.RuleModel(0.3, ((((0, True, 2.0),), -1.5),)))
+
+
+def encoded(d):
+    return bpe.encode_digests(d, VOCAB)
+
+
+def dealt(d):
+    return sharding.document_shards(d).drop("shard", "depth", "shard_bytes", "shard_rows", "oversize")
+
+
+@pytest.mark.parametrize("operator", [scan, spans, scored, encoded, dealt, mpeg.media_digests], ids=lambda f: f.__name__)
+def test_nulls_repeats_and_empty_tables(spark, operator):
+    """Rows with null and repeated keys and texts are each answered, as the same text under a key of its own is; clashing columns do no harm."""
+    texts = ["mit license a@b.cc", None, "", "mit license a@b.cc", "x y z", None, "\x00 é 😀"]
+    got = operator(docs(spark, texts, [1, None, None, 1, 2, 3, None]))
+    plain = operator(pick(docs(spark, texts, list(range(10, 17))), "doc_id", "text"))
+    value = lambda r, skip: repr([(k, v) for k, v in r.asDict().items() if k not in skip])
+    skip = {"doc_id", "held_out"}
+    assert sorted(value(r, skip) for r in got.collect()) == sorted(value(r, skip) for r in plain.collect())
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(["1", "1", "2", "3", "None", "None", "None"])
+    none = operator(docs(spark, []))
+    assert none.count() == 0 and none.columns == got.columns
+
+
+def test_packing_of_nulls_and_repeats(spark):
+    texts, ids = ["mit license a@b.cc", None, "", "mit license a@b.cc", "x y z", None], [1, None, None, 1, 2, 3]
+    tok = Tokenizer.from_file(VOCAB)
+    out = packing.pack(docs(spark, texts, ids), VOCAB).collect()
+    want = {}
+    for i, t in zip(ids, texts):
+        want[i] = want.get(i, 0) + len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    got = {}
+    for r in out:
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.length
+    assert got == want
+    fill = {}
+    for r in out:
+        fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sorted(p)[0][0] == 0 and sum(n for _, n in p) == max(a + n for a, n in p) for p in fill.values())
+    assert packing.pack(docs(spark, []), VOCAB).count() == 0
+
+
+def test_repeated_and_null_vector_keys(spark):
+    v, w = [1.0, 0.0], [0.0, 1.0]
+    rows = [(1, v), (1, v), (1, w), (2, w), (None, v), (3, None), (3, v)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert len(got) == 7 and all(r.component_id == 1 for r in got if r.vec_id in (1, 2)) and all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id)
+
+
+def test_passes_alone_keep_their_recall(spark):
+    """Isolated pairs at a cosine just above the threshold, found without the comparison of all rows."""
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((6000, 64)))
+    a, noise = x[:300], rng.standard_normal((300, 64))
+    b = unit(0.955 * a + np.sqrt(1 - 0.955**2) * unit(noise - (noise * a).sum(1, keepdims=True) * a))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, b]))]
+    got = {r.vec_id: r.component_id for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), exhaustive=False).collect()}
+    assert np.mean([got[6000 + i] == i for i in range(300)]) >= 0.99
+    assert [vectors.passes_for(n) for n in (10, 10_000, 10**6, 10**9)] == [1, 13, 31, 95]
+
+
+def test_without_labels_nothing_is_rejected(spark):
+    d = docs(spark, ["a b c", None, "###"])
+    model = quality.train(d, spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert quality.keep_good(d, model, ["doc_id", "text"]).count() == 3
+
+
 def test_pipeline_stages(spark, tmp_path, corpus):
     pipeline = pytest.importorskip("corpus_pipeline")
     sf = str(tmp_path)
@@ -549,4 +627,43 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     assert sorted(r.doc_id for r in kept) == [i for i in range(len(texts)) if comp[i] == i]
     pieces = pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in kept}
-    assert pipeline.run(spark, sf).count() > 0 and len(pipeline.STAGES) == 4
+    assert [n for n, _ in pipeline.STAGES] == ["quality_classifier", "ngram_join", "pii", "packing"]
+
+
+def test_pipeline_with_labels_nulls_and_repeats(spark, tmp_path):
+    """Each stage against what it should keep: the quality stage decides, copies go, personal data goes, and every kept row is packed."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(12)
+    sf = str(tmp_path)
+    good = [" ".join(rng.choice(["and", "the", "stone", "river,", "walks."]) + rng.choice(["", "s"]) for _ in range(rng.randint(30, 90))) for _ in range(200)]
+    bad = [" ".join(w + rng.choice(["%%%", "###", "***"]) for w in t.split()) for t in good[:100]]
+    odd = [None, "", good[0], good[0], "mail a.b@c.de and +1 555 123 4567 " + good[1], "the river walks. " * 20000]
+    ids = [*range(300), 300, None, None, 301, 302, 303]
+    rows = list(zip(ids, [*good, *bad, *odd]))
+    d = pick(docs(spark, [t for _, t in rows], [i for i, _ in rows]), "doc_id", "text", "lang", "source", "n_chars").withColumn("extra", F.lit(1))
+    d.write.parquet(f"{sf}/documents.parquet")
+    labels = [(i, int(i < 200), 0) for i in range(300)] + [(None, 1, 0), (5, None, 0), (7, 1, 0)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    first = pipeline.quality_stage(spark, d, sf)
+    assert first.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    model = quality.train(d, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = [(i, t) for i, t in rows if model.scores(np.array([quality.statistics(t)]))[0] >= 0.7]
+    kept = [(r.doc_id, r.text) for r in first.collect()]
+    assert sorted(map(repr, kept)) == sorted(map(repr, want)) and 150 < len(kept) < 260
+    second = pipeline.dedup_stage(spark, first, sf)
+    left = [(r.doc_id, r.text) for r in second.collect()]
+    known = [t for i, t in left if i is not None and t]
+    assert len(known) == len(set(known)) and set(known) <= {t for _, t in kept} and [t for i, t in left if i is None] == [t for i, t in kept if i is None]
+    third = {(r.doc_id, r.text) for r in pipeline.pii_stage(spark, second, sf).collect()}
+    assert len(third) == len(set(left)) and not any("@" in (t or "") or "+1 555" in (t or "") for _, t in third)
+    end = pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in end} == {i for i, _ in left}
+    assert all(r.length > 0 for r in end)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = str(tmp_path)
+    pick(docs(spark, []), "doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    assert pipeline.run(spark, sf).count() == 0

@@ -223,22 +223,23 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # a hub for each part: maxima are taken before the shuffle, however many groups a shingle has
     hub = F.struct("copies", F.xxhash64("gid").alias("h"), F.col("gid").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"))
     hubs_of = F.array(*[F.max(F.when(F.pmod(F.xxhash64("gid", F.lit(1)), F.lit(hubs)) == i, hub)) for i in range(hubs)])
-    top = shared.groupBy("token").agg(hubs_of.alias("x")).withColumn("x", F.explode("x")).where("x is not null").select("token", "x.hub", "x.hn", "x.hpos")
+    # written, so that the join with all groups of a shingle has no aggregate in its stage and adaptive execution can split it
+    top = cut(shared.groupBy("token").agg(hubs_of.alias("x")).withColumn("x", F.explode("x")).where("x is not null").select("token", "x.hub", "x.hn", "x.hpos"), "hubs", free=True)
     first = shared.join(top, "token").where(f"gid <> hub and {_possible(percent)}").select(F.least("gid", "hub").alias("a"), F.greatest("gid", "hub").alias("b"))
     tied = cut(first.unionAll(members.where("rep <> gid").select(F.col("gid").alias("a"), F.col("rep").alias("b"))).distinct(), "pairs")
     sets = cut(sets_of(docs, tied, key, text, words), "sets", free=True)
     links = cut(verified(tied, sets, percent), "links", free=True)
-    discard(sets)
+    discard(sets, top)
     so_far = cut(components(links), "components")
 
     expanded = shared.join(members, "gid", "left").withColumn("rep", F.coalesce("rep", "gid"))
     labelled = cut(expanded.join(so_far.withColumnRenamed("node", "rep"), "rep", "left").select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("comp")), "labelled")
     discard(shared)
-    apart = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    apart = cut(labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token"), "apart")
     # sizes that can be similar lie in the same band or in the next: a common shingle's groups meet only there
     band = F.floor(F.log(F.col("n").cast("double")) / (math.log(100 / percent) * (1 + 1e-9))) if percent < 100 else F.col("n")
     rest = cut(labelled.join(apart, "token").withColumn("band", band), "rest", free=True)
-    discard(labelled)
+    discard(labelled, apart)
     larger = rest.select("token", "band", F.col("rep").alias("hub"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("comp").alias("hcomp"))
     smaller = rest.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     open_pairs = smaller.join(larger, ["token", "band"]).where(f"comp <> hcomp and n <= hn and {_possible(percent)}").select("rep", "hub")

@@ -33,7 +33,7 @@ def passes_for(rows: int, window: int = WINDOW, cosine: float = COSINE, recall:
     """How many passes meet a pair at this cosine with this probability, among so many vectors that lie evenly.
 
     Vectors that share their first log2(rows / window) hash bits lie in a window; a bit is shared with probability 1 - angle / pi. The
-    number grows with about the seventh root of the rows: 14 for 10 thousand, 31 for a million, 97 for a billion.
+    number grows with about the seventh root of the rows: 13 for 10 thousand, 31 for a million, 95 for a billion.
     """
     bits = max(0.0, math.log2(max(rows, 1) / window))
     met = (1 - math.acos(min(1.0, cosine)) / math.pi) ** bits
