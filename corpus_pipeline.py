@@ -20,7 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, learned from the labels, rejects go."""
+    """Documents that the rule ensemble, learned from the labels, rejects go. Without labels of both classes none does; null texts are
+    judged as empty ones."""
     return keep_good(docs, train(docs, table(spark, sf_dir, "labels")), COLUMNS)
 
 
@@ -35,12 +36,14 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind."""
+    """Personal data in the texts is replaced by its kind. Every row stays: null and empty texts as they are, repeated rows and rows with
+    null ids each for themselves."""
     return redact(docs, COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 4096 ids, one row per piece."""
+    """Token sequences of at most 4096 ids, one row per piece. Every row is packed, also one with a null id, a repeated one, or one whose
+    text is null or empty: it has the end token at least."""
     return pack(docs, vocabulary())
 
 
