@@ -16,26 +16,12 @@ FOLD_COLUMNS = [
 
 def ema(x: np.ndarray, span: float) -> np.ndarray:
     """y = y + a (x - y), from the first value on."""
-    a, out = 2.0 / (span + 1.0), np.empty(len(x))
-    y = x[0] if len(x) else 0.0
-    for i, v in enumerate(x.tolist()):
-        y = y + a * (v - y)
-        out[i] = y
-    return out
+    return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
 
 
 def weighted_mean(x: np.ndarray, alpha: float, least: int) -> np.ndarray:
     """Exponentially weighted mean with weights that sum to one from the first value on; leading nulls are skipped, `least` values needed."""
-    num = den = 0.0
-    seen, out = 0, np.full(len(x), np.nan)
-    for i, v in enumerate(x.tolist()):
-        if v == v:
-            num, den, seen = (1 - alpha) * num + v, (1 - alpha) * den + 1, seen + 1
-        elif seen:
-            num, den = (1 - alpha) * num, (1 - alpha) * den
-        if seen >= least:
-            out[i] = num / den
-    return out
+    return pd.Series(x).ewm(alpha=alpha, adjust=True, min_periods=least).mean().to_numpy()
 
 
 def rsi(close: np.ndarray, n: int = 14) -> np.ndarray:
@@ -62,34 +48,32 @@ def atr(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> np
 def kama(x: np.ndarray, n: int = 10, fast: int = 2, slow: int = 30) -> np.ndarray:
     """Adaptive mean: the efficiency of the last n steps sets the weight; without n steps it is the slow one."""
     a, b = 2 / (fast + 1), 2 / (slow + 1)
-    out = np.empty(len(x))
-    step = np.abs(np.diff(x, prepend=np.nan))
-    y = x[0] if len(x) else 0.0
-    for i in range(len(x)):
-        if i:
-            path = step[i - n + 1 : i + 1].sum() if i >= n else 0.0
-            w = (abs(x[i] - x[i - n]) / path * (a - b) + b) ** 2 if i >= n and path > 0 else b
-            y = y + w * (x[i] - y)
-        out[i] = y
-    return out
+    weight = np.full(len(x), b)
+    if len(x) > n:
+        path = np.lib.stride_tricks.sliding_window_view(np.abs(np.diff(x)), n).sum(axis=1)
+        moved = np.abs(x[n:] - x[:-n])
+        weight[n:] = np.where(path > 0, (moved / np.where(path > 0, path, 1.0) * (a - b) + b) ** 2, b)
+    out, y = [], x[0] if len(x) else 0.0
+    for v, w in zip(x.tolist(), weight.tolist()):
+        y = y + w * (v - y)
+        out.append(y)
+    return np.asarray(out, np.float64)
 
 
 def swings(close: np.ndarray, width: np.ndarray, seconds: np.ndarray, k: float = 1.5) -> tuple[np.ndarray, ...]:
     """Distances and seconds from the last swing high and low; a price beyond the last one by k mean ranges moves it."""
-    n = len(close)
-    out = tuple(np.zeros(n) for _ in range(4))
-    if not n:
-        return out
-    hi = lo = close[0]
-    hi_t = lo_t = seconds[0]
-    for i in range(n):
-        d = k * (width[i] if width[i] == width[i] else 0.0)
-        if close[i] >= hi + d:
-            hi, hi_t = close[i], seconds[i]
-        if close[i] <= lo - d:
-            lo, lo_t = close[i], seconds[i]
-        out[0][i], out[1][i], out[2][i], out[3][i] = abs(close[i] - hi), abs(close[i] - lo), seconds[i] - hi_t, seconds[i] - lo_t
-    return out
+    rows: list[tuple] = []
+    hi = lo = hi_t = lo_t = None
+    for c, d, t in zip(close.tolist(), (k * np.nan_to_num(width)).tolist(), seconds.tolist()):
+        if hi is None:
+            hi = lo = c
+            hi_t = lo_t = t
+        if c >= hi + d:
+            hi, hi_t = c, t
+        if c <= lo - d:
+            lo, lo_t = c, t
+        rows.append((abs(c - hi), abs(c - lo), t - hi_t, t - lo_t))
+    return tuple(np.asarray(rows, np.float64).reshape(-1, 4).T)
 
 
 def _mean14(x: np.ndarray) -> np.ndarray:
