@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +40,16 @@ def top_k(index: DataFrame, query: list[float], k: int, by: str = "l2", id_col:
     score = squared_l2(F.col(vector), q) if by == "l2" else cosine(F.col(vector), q)
     rows = index.select(id_col, score.alias("score"))
     return rows.orderBy(F.asc("score") if by == "l2" else F.desc("score"), id_col).limit(k)
+
+
+#: The most texts, by the order of a hash, that word vectors are fitted on.
+MAX_FIT = 20_000
+
+
+def learned_embedding(df: DataFrame, key: str, text: str, dim: int = 32, max_fit: int = MAX_FIT) -> DataFrame:
+    """(key, embedding): the mean of word vectors learned from at most max_fit of the texts, of length 1; zeros for a text without known words."""
+    words = df.select(key, F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("_w"))
+    model = Word2Vec(vectorSize=dim, minCount=5, maxIter=1, numPartitions=1, seed=7, inputCol="_w", outputCol="_v").fit(words.orderBy(F.xxhash64(key)).limit(max_fit))
+    vectors = model.transform(words).select(key, vector_to_array("_v").alias("_v"))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+    return vectors.withColumn("_n", norm).select(key, F.transform("_v", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0)).alias("embedding"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import candles as K
 from tidemark.plans.registry import TICKS, query, rounded, with_candles
-from tidemark.session import scratch
+from tidemark.session import scratch, stored
 from tidemark.sources.clients import retried
 from tidemark.sources.tables import candles, predictions, trades
 from tidemark.streaming import candles as S
@@ -129,3 +129,29 @@ def store_retention(spark: SparkSession) -> DataFrame:
     steps = [(once, "written"), (twice, "rewritten"), (cleared, "cleared")]
     parts = [df.select(F.minute("ts").alias("minute"), "close", F.lit(name).alias("step")) for df, name in steps]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def sse(event: str, payload: Column) -> Column:
+    """A server-sent event: its name and one line of JSON."""
+    return F.concat(F.lit(f"event: {event}\ndata: "), F.to_json(payload), F.lit("\n\n"))
+
+
+@query("sink_sse_ws", with_candles("SELECT symbol, 'event: candle' || chr(10) || 'data: {\"symbol\":\"' || symbol || '\",\"ts_ms_utc\":' || epoch_ms(ts) || ',\"trades\":' || trades || '}' || chr(10) || chr(10) AS event FROM c"))
+def sink_sse_ws(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of bars written as server-sent events, each batch by the tasks that hold it; a server sends on what it finds."""
+    folder = scratch(spark, "bars")
+    candles(spark, d).select("symbol", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms_utc"), "trades").write.parquet(folder)
+    bars = spark.readStream.schema("symbol string, ts_ms_utc bigint, trades bigint").parquet(folder)
+    events = bars.select("symbol", sse("candle", F.struct("symbol", "ts_ms_utc", "trades")).alias("event"))
+    return S.drain(events, "events")
+
+
+@query("pipe_collect", with_candles("SELECT symbol, ts, round(close, 6) AS close, CASE WHEN ts < TIMESTAMP '2024-01-20' THEN 'history' ELSE 'live' END AS origin FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 500"))
+def pipe_collect(spark: SparkSession, d: str) -> DataFrame:
+    """Stored history, and the bars of a live stream over it: a bar that both have is the live one; the newest 500 of a symbol stay."""
+    c = candles(spark, d).select("symbol", "ts", "open", "high", "low", "close", "volume")
+    history = stored(c.where("ts < timestamp_ntz'2024-01-21'"), "history").withColumn("origin", F.lit("history"))
+    folder = scratch(spark, "live")
+    c.where("ts >= timestamp_ntz'2024-01-20'").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(folder)
+    live = S.drain(spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder), "live").withColumn("origin", F.lit("live"))
+    return rounded(K.newest(K.keep_last([history, live]), 500).select("symbol", "ts", "close", "origin"))

@@ -62,9 +62,16 @@ def fetch_gap(spark: SparkSession, d: str) -> DataFrame:
     return ohlcv(full.join(hours, ["symbol", "ts"], "left_semi"))
 
 
-query("pipe_ensure_history", with_candles("SELECT symbol, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS bars, min(ts) <= TIMESTAMP '2024-01-02' AND count(*) >= 500 AS covered FROM c GROUP BY 1"))(
-    lambda spark, d: candles(spark, d).groupBy("symbol").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("bars")).withColumn("covered", (F.col("first_ts") <= F.lit("2024-01-02").cast("timestamp_ntz")) & (F.col("bars") >= 500))
-)
+@query("pipe_ensure_history", with_candles("SELECT symbol, count(*) FILTER (WHERE hour(ts) % 5 <> 2) AS had, count(*) FILTER (WHERE hour(ts) % 5 = 2 AND ts > a AND ts < b) AS fetched, count(*) FILTER (WHERE hour(ts) % 5 <> 2 OR (ts > a AND ts < b)) AS bars, min(ts) FILTER (WHERE hour(ts) % 5 <> 2) <= TIMESTAMP '2024-01-02' AS covered FROM c JOIN (SELECT symbol AS s, min(ts) FILTER (WHERE hour(ts) % 5 <> 2) AS a, max(ts) FILTER (WHERE hour(ts) % 5 <> 2) AS b FROM c GROUP BY 1) ON s = symbol GROUP BY 1"))
+def pipe_ensure_history(spark: SparkSession, d: str) -> DataFrame:
+    """Stored bars with holes are made complete from the source: what was there, what was fetched, and whether the look-back is covered."""
+    full = candles(spark, d).select("symbol", "ts", "close")
+    have = stored(full.where("hour(ts) % 5 <> 2"), "have")
+    fetched = full.join(K.missing_bars(have, 3600), ["symbol", "ts"], "left_semi")
+    both = stored(K.keep_last([have.withColumn("new", F.lit(False)), fetched.withColumn("new", F.lit(True))]), "both")
+    return both.groupBy("symbol").agg(F.count_if(~F.col("new")).alias("had"), F.count_if("new").alias("fetched"), F.count("*").alias("bars"), (F.min("ts") <= F.lit("2024-01-02").cast("timestamp_ntz")).alias("covered"))
+
+
 query("pipe_ensure_range", with_candles("SELECT g.symbol, count(*) AS expected, count(*) FILTER (WHERE c.ts IS NULL) AS missing FROM (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 hour)) AS ts FROM c GROUP BY 1) g LEFT JOIN c ON c.symbol = g.symbol AND c.ts = g.ts GROUP BY 1"))(
     lambda spark, d: K.grid(candles(spark, d), 3600).join(candles(spark, d).select("symbol", "ts", F.lit(1).alias("x")), ["symbol", "ts"], "left").groupBy("symbol").agg(F.count("*").alias("expected"), F.sum(F.when(F.col("x").isNull(), 1).otherwise(0)).alias("missing"))
 )
@@ -88,12 +95,15 @@ query("table_progress", "SELECT o_orderdate AS day, o_orderpriority AS tf, max(o
 )
 
 
-@query("pipe_self_train_stage")
+@query("pipe_self_train_stage", with_candles("SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS rows, CASE WHEN ts < TIMESTAMP '2024-01-12' THEN 'first' ELSE 'second' END AS written FROM c GROUP BY ALL"))
 def pipe_self_train_stage(spark: SparkSession, d: str) -> DataFrame:
-    """Stage cache: features by symbol and day, written once; a second run reads the partition it needs."""
+    """A stage's cache by symbol and day: a later run writes the days that are not there, and reads the others."""
     path = scratch(spark, "stages")
-    X.simple_features(candles(spark, d)).withColumn("day", F.to_date("ts")).write.partitionBy("symbol", "day").parquet(path)
-    return spark.read.parquet(path).where("symbol = 'view' and day >= date'2024-01-10'").drop("symbol")
+    features = X.simple_features(candles(spark, d)).withColumn("day", F.to_date("ts"))
+    features.where("day < date'2024-01-12'").withColumn("written", F.lit("first")).write.partitionBy("symbol", "day").parquet(path)
+    there = spark.read.parquet(path).select("symbol", "day").distinct()
+    features.join(there, ["symbol", "day"], "left_anti").withColumn("written", F.lit("second")).write.mode("append").partitionBy("symbol", "day").parquet(path)
+    return spark.read.parquet(path).groupBy("symbol", "day", "written").agg(F.count("*").alias("rows"))
 
 
 # what the reference lacks, from Spark

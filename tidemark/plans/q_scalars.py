@@ -91,7 +91,7 @@ HASHED = f"SELECT {{id}} AS id, list_transform(v, lambda x: round(x / sqrt(list_
 query("sc_hash_embedding", "SELECT id, embedding[1] AS e1, embedding[33] AS e33, round(list_sum(embedding), 4) AS total FROM (" + HASHED.format(id="doc_id", text="text", table="documents") + ")")(
     lambda spark, d: rounded(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.transform(V.hash_embedding(F.col("text")), lambda x: F.round(x, 8)).alias("e")).select("id", F.col("e")[0].alias("e1"), F.col("e")[32].alias("e33"), F.aggregate("e", F.lit(0.0), lambda a, x: a + x).alias("total")), 8).withColumn("total", F.round("total", 4))
 )
-query("sc_embed_model")(lambda spark, d: table(spark, d, "documents").select("doc_id", V.hash_embedding(F.lower("text"), 32).alias("embedding")))
+query("sc_embed_model")(lambda spark, d: V.learned_embedding(table(spark, d, "documents"), "doc_id", "text"))
 
 
 def _query_vector(spark: SparkSession, d: str, i: int = 0) -> list[float]:
