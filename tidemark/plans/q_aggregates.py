@@ -12,7 +12,7 @@ from tidemark.plans.registry import TICKS, candles_sql, query, r, rounded, with_
 from tidemark.schema import DERIVED, INTERVALS
 from tidemark.schema import OHLCV as OHLCV_NAMES
 from tidemark.session import scratch, stored
-from tidemark.sources.tables import candles, predictions, table
+from tidemark.sources.tables import candles, predictions, table, trades
 
 OHLCV = "symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume"
 COLS = ["symbol", "ts", "open", "high", "low", "close", "volume"]
@@ -181,12 +181,25 @@ def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return c.where(_OLD), c.where(_NEW).withColumn("close", F.col("close") + 1)
 
 
-for _name in ("set_union_keep_last", "dedup_by_time", "join_dict_upsert"):
-    query(_name, with_candles(f"SELECT {OHLCV} FROM k QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY v DESC) = 1", more=_KEEP))(lambda spark, d: ohlcv(K.keep_last(list(_versions(spark, d)))))
+query("set_union_keep_last", with_candles(f"SELECT {OHLCV} FROM k QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY v DESC) = 1", more=_KEEP))(lambda spark, d: ohlcv(K.keep_last(list(_versions(spark, d)))))
+query("dedup_by_time", f"WITH {TICKS} SELECT symbol, date_trunc('hour', ts) AS hour, min(trade_id) AS place, round(arg_max(price, trade_id), 6) AS price FROM t GROUP BY 1, 2")(
+    lambda spark, d: rounded(trades(spark, d).groupBy("symbol", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.min("trade_id").alias("place"), F.max_by("price", "trade_id").alias("price")))
+)
+
+
+@query("join_dict_upsert", with_candles(f"SELECT coalesce(n.symbol, o.symbol) AS symbol, coalesce(n.ts, o.ts) AS ts, round(coalesce(n.close + 1, o.close), 6) AS close, CASE WHEN n.ts IS NULL THEN 'old' WHEN o.ts IS NULL THEN 'new' ELSE 'replaced' END AS how FROM (SELECT * FROM c WHERE {_OLD}) o FULL JOIN (SELECT * FROM c WHERE {_NEW}) n ON n.symbol = o.symbol AND n.ts = o.ts"))
+def join_dict_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions of a history, by time: new entries win, and it is told where each came from."""
+    old, new = (x.select("symbol", "ts", F.col("close").alias(n)) for x, n in zip(_versions(spark, d), ("was", "is")))
+    both = old.join(new, ["symbol", "ts"], "full")
+    how = F.when(F.col("is").isNull(), "old").when(F.col("was").isNull(), "new").otherwise("replaced")
+    return rounded(both.select("symbol", "ts", F.coalesce("is", "was").alias("close"), how.alias("how")))
+
+
 query("set_distinct_rows", with_candles(f"SELECT {OHLCV} FROM (SELECT symbol, ts, open, high, low, close, volume FROM c UNION SELECT symbol, ts, open, high, low, close, volume FROM c)"))(lambda spark, d: ohlcv(candles(spark, d).unionByName(candles(spark, d)).select(*COLS).dropDuplicates()))
 _GRID = "g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 hour)) AS ts FROM c GROUP BY 1)"
-for _name in ("set_except_grid", "join_anti_missing"):
-    query(_name, with_candles("SELECT symbol, ts FROM g EXCEPT SELECT symbol, ts FROM c", more=_GRID))(lambda spark, d: K.missing_bars(candles(spark, d), 3600))
+query("set_except_grid", with_candles("SELECT symbol, ts FROM g EXCEPT ALL SELECT symbol, ts FROM c", more=_GRID))(lambda spark, d: K.grid(candles(spark, d), 3600).exceptAll(candles(spark, d).select("symbol", "ts")))
+query("join_anti_missing", with_candles("SELECT symbol, CAST(ts AS DATE) AS day, count(*) AS missing FROM g WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.symbol = g.symbol AND c.ts = g.ts) GROUP BY ALL", more=_GRID))(lambda spark, d: K.missing_bars(candles(spark, d), 3600).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.count("*").alias("missing")))
 query("set_intersect", with_candles("SELECT symbol, ts FROM g INTERSECT SELECT symbol, ts FROM c", more=_GRID))(lambda spark, d: K.grid(candles(spark, d), 3600).intersect(candles(spark, d).select("symbol", "ts")))
 query("set_union_versions", "SELECT DISTINCT p_brand AS version FROM part UNION SELECT DISTINCT p_type FROM part")(lambda spark, d: table(spark, d, "part").select(F.col("p_brand").alias("version")).union(table(spark, d, "part").select("p_type")).distinct())
 query("sort_history", "SELECT o_orderdate AS day, o_orderpriority AS tf, o_orderstatus AS stage, count(*) AS n FROM orders GROUP BY ALL ORDER BY 1, 2, 3")(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,8 +27,13 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the session's checkpoint folder, which all machines share; below a temporary folder where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    """A fresh path below the session's checkpoint folder, which all machines share. Where none is set, a local session gets a temporary
+    one; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
