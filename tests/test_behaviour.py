@@ -296,3 +296,16 @@ def test_settings_from_text_and_environment():
     got = config.settings("data: {interval: 5m}\nbacktest: {symbols: []}", {"SYMBOL": "X", "INTERVAL": ""})
     assert got["data"]["symbol"] == "X" and got["data"]["interval"] == "5m" and got["backtest"]["symbols"] == ["BTCUSDT"]
     assert config.settings("", {}) == config.DEFAULTS
+
+
+def test_asof_over_buckets_equals_a_search(spark):
+    from tidemark.operators.joins import asof_backward
+
+    rng = np.random.default_rng(1)
+    left = [("A" if i % 3 else "B", T0 + timedelta(minutes=int(m))) for i, m in enumerate(rng.integers(0, 12000, 300))]
+    right = [("A", T0 + timedelta(minutes=int(m)), float(v) if v > 20 else None) for v, m in enumerate(sorted(set(rng.integers(3000, 12000, 40).tolist())))]
+    got = asof_backward(spark.createDataFrame([(i, *x) for i, x in enumerate(left)], "n int, symbol string, ts timestamp_ntz"), spark.createDataFrame(right, "symbol string, ts timestamp_ntz, v double"), ["v"], bucket=3600)
+    for r in got.collect():
+        before = [x for x in right if x[0] == r.symbol and x[1] <= r.ts]
+        assert r.v == (before[-1][2] if before else None)
+    assert got.count() == 300

@@ -6,16 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_backward(left: DataFrame, right: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol",), fill: float | None = None) -> DataFrame:
+#: Seconds of a bucket of the as-of join: what one key has in a bucket is sorted by one task.
+BUCKET = 86400
+
+
+def asof_backward(left: DataFrame, right: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol",), fill: float | None = None, bucket: int = BUCKET) -> DataFrame:
     """Each left row with the right columns of the last right row at or before its ts.
 
-    The two sides are united and sorted once per key; the last right row is carried forward, its nulls with it.
+    The two sides are united and sorted once within buckets of time, so that a key with very many rows is spread over tasks; the last
+    right row is carried forward, its nulls with it. Rows that precede every right row of their bucket take the last one of the buckets
+    before, of which there is a row for each key and bucket.
     """
-    both = left.withColumns({"_side": F.lit(1), "_r": F.lit(None).cast(f"struct<{', '.join(f'{c}:{dict(right.dtypes)[c]}' for c in columns)}>")})
+    kind = f"struct<{', '.join(f'{c}:{dict(right.dtypes)[c]}' for c in columns)}>"
+    at = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket)
+    both = left.withColumns({"_side": F.lit(1), "_r": F.lit(None).cast(kind)})
     marked = right.select(*keys, "ts", F.lit(0).alias("_side"), F.struct(*columns).alias("_r"))
-    rows = both.unionByName(marked, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    rows = both.unionByName(marked, allowMissingColumns=True).withColumn("_b", at)
+    inside = Window.partitionBy(*keys, "_b").orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.withColumn("_r", F.last("_r", ignorenulls=True).over(inside)).where("_side = 1")
+    ends = marked.withColumn("_b", at).groupBy(*keys, "_b").agg(F.max_by("_r", "ts").alias("_r"))
+    spans = ends.unionByName(left.select(*keys, at.alias("_b")).distinct().withColumn("_r", F.lit(None).cast(kind))).groupBy(*keys, "_b").agg(F.first("_r", ignorenulls=True).alias("_r"))
+    before = spans.select(*keys, "_b", F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_p"))
+    out = here.join(before, [*keys, "_b"], "left").withColumn("_r", F.coalesce("_r", "_p"))
     value = lambda c: F.col(f"_r.{c}") if fill is None else F.coalesce(F.col(f"_r.{c}"), F.lit(fill))
     return out.select(*left.columns, *[value(c).alias(c) for c in columns])
 

@@ -72,11 +72,13 @@ def predictions_with_hit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml_lgbm_incremental")
 def ml_lgbm_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """A growing window: for each of the last three weeks, a forest on all weeks before scores that week."""
-    rows = stored(samples(spark, d).withColumn("week", F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7)), "weeks")
+    """A growing window: for every week but the first, a forest on all weeks before scores that week."""
+    week = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7)
+    rows = stored(samples(spark, d).withColumn("week", week), "weeks")
+    first, last = rows.agg(F.min("week"), F.max("week")).first()
     out = None
-    for week in (2, 3, 4):
-        part = M.train_forest(rows.where(F.col("week") < week), FEATURES, trees=5)(rows.where(F.col("week") == week)).select("week", *_OUT)
+    for w in range(first + 1, last + 1):
+        part = M.train_forest(rows.where(F.col("week") < w), FEATURES, trees=5)(rows.where(F.col("week") == w)).select("week", *_OUT)
         out = part if out is None else out.unionByName(part)
     return out
 
