@@ -358,6 +358,12 @@ def test_damaged_files_are_quarantined(spark, tmp_path, monkeypatch):
         warc.archive_round_trip(pages)
 
 
+def test_clashing_page_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>", 9, "x", 3), (1, "u", "<p>", 8, "y", 4), (2, "v", "<p>", 7, "z", 5)], "page_id bigint, url string, html string, PAGE_ID int, sha string, refers_to int")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect())
+    assert got == [(1, "revisit", 2), (1, "revisit", 2), (2, "response", None)]
+
+
 def test_members_are_bounded(monkeypatch):
     monkeypatch.setattr(warc, "MAX_MEMBER", 1000)
     data = warc.member(warc.record(1, "u", b"x" * 100, None)) + warc.member(warc.record(2, "u", b"x" * 2000, None)) + warc.member(warc.record(3, "u", b"", None))
@@ -640,7 +646,7 @@ def test_pipeline_with_labels_nulls_and_repeats(spark, tmp_path):
     odd = [None, "", good[0], good[0], "mail a.b@c.de and +1 555 123 4567 " + good[1], "the river walks. " * 20000]
     ids = [*range(300), 300, None, None, 301, 302, 303]
     rows = list(zip(ids, [*good, *bad, *odd]))
-    d = pick(docs(spark, [t for _, t in rows], [i for i, _ in rows]), "doc_id", "text", "lang", "source", "n_chars").withColumn("extra", F.lit(1))
+    d = pick(docs(spark, [t for _, t in rows], [i for i, _ in rows]), "doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit(1) for c in ("extra", "_text", "score", "log_bytes", "_c0", "id")})
     d.write.parquet(f"{sf}/documents.parquet")
     labels = [(i, int(i < 200), 0) for i in range(300)] + [(None, 1, 0), (5, None, 0), (7, 1, 0)]
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
