@@ -4,7 +4,7 @@ Every prefix of a word has one last token. A token that ends a prefix is that on
 stands before it: merging the two tokens' characters yields the same two tokens again. The tokens that end at a place come from a suffix
 automaton over the whole vocabulary, so a word costs time in proportion to its length; following the last tokens back gives its ids.
 
-Texts are cut at ASCII white space, which no token spans; what each piece encodes to is kept in a bounded table of the worker.
+Texts are cut into pre-tokens, which no token spans; what each of them encodes to is kept in a bounded table of the worker.
 """
 
 from __future__ import annotations
@@ -12,25 +12,45 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from tidemark.llm.automaton import SuffixAutomaton
 from tidemark.llm.common import map_texts
 
-#: Pieces kept by a worker, and the longest that are kept.
-CACHE_PIECES, CACHE_BYTES = 300_000, 48
+#: Words kept by a worker before they age (the old ones are kept until as many new ones are), and the longest that are kept.
+CACHE_WORDS, CACHE_LETTERS = 250_000, 32
 #: The vocabulary's pre-tokens, its markers and the mark of a word's end.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-LATIN_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0\p{L}\p{N}]+")
+ASCII_WORDS = re.compile(r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9]+", re.ASCII)
 MARKERS = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 END = "</w>"
 #: Below this character, text is in composed form already and its classes are stable.
 LATIN = "ɐ"
+_BEYOND = re.compile(f"[{LATIN}-\U0010ffff]")
+
+
+def _latin_words() -> re.Pattern:
+    """The pre-tokens of text below LATIN in lower case: runs of letters, single digits, runs of anything else but white space."""
+    chars = {c for i in range(ord(LATIN)) for c in chr(i) + chr(i).lower()}
+    of = lambda kind: "".join(sorted(re.escape(c) for c in chars if unicodedata.category(c)[0] == kind))
+    return re.compile(f"[{of('L')}]+|'s|'t|'re|'ve|'m|'ll|'d|[{of('N')}]|[^\t-\r \x85\xa0{of('L')}{of('N')}]+")
+
+
+LATIN_WORDS = _latin_words()
+
+
+def plain_words(text: str) -> list[str] | None:
+    """The pre-tokens of a text below LATIN without markers, in lower case; None for any other text."""
+    if "<|" in text:
+        return None
+    if text.isascii():
+        return ASCII_WORDS.findall(text.lower())
+    return None if _BEYOND.search(text) else LATIN_WORDS.findall(text.lower())
 
 
 def byte_letters() -> dict[int, str]:
@@ -76,8 +96,9 @@ class PrefixBpe:
         #: compatible pairs and others, by first id * 2**20 + second id
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        #: what words encode to: ids, ids in decimal, and the decoded text
+        self.words: dict[str, tuple[tuple[int, ...], bytes, bytes]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], bytes, bytes]] = {}
 
     @staticmethod
     def split(token: str) -> list[str]:
@@ -160,60 +181,57 @@ class PrefixBpe:
             i -= size[i]
         return tuple(reversed(out))
 
-    def pre_tokens(self, piece: str) -> list[str]:
-        """The normalised piece's pre-tokens in byte letters."""
-        if piece.isascii():
-            return [w if w.isalpha() else "".join([self.letter[b] for b in w.encode()]) for w in ASCII_WORDS.findall(piece.lower())]
-        if max(piece) < LATIN:
-            return ["".join([self.letter[b] for b in w.encode()]) for w in LATIN_WORDS.findall(piece.lower())]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
-
-    def encode_piece(self, piece: str) -> list[int]:
-        """ids of a text without ASCII white space."""
-        if "<|" in piece:
-            parts = MARKERS.split(piece)
-            if len(parts) > 1:
-                return [i for p in parts if p for i in ([self.markers[p]] if p in self.markers else self.encode_piece(p))]
-        out, known = [], self.words
-        for w in self.pre_tokens(piece):
-            ids = known.get(w)
-            if ids is None:
-                ids = self.encode_word(w)
-                if len(w) <= CACHE_BYTES:
-                    if len(known) >= CACHE_PIECES:
-                        known.clear()
-                    known[w] = ids
-            out += ids
+    def lettered(self, word: str) -> str:
+        """A word in byte letters."""
+        return word if word.isascii() and word.isalpha() else "".join([self.letter[b] for b in word.encode()])
+
+    def of_word(self, word: str) -> tuple[tuple[int, ...], bytes, bytes]:
+        """What a pre-token in lower case encodes to, kept for the next time."""
+        got = self.old.get(word)
+        if got is None:
+            ids = self.encode_word(self.lettered(word))
+            got = ids, " ".join(map(str, ids)).encode(), self.decode(ids).encode()
+        if len(word) <= CACHE_LETTERS:
+            if len(self.words) >= CACHE_WORDS:
+                self.old, self.words = self.words, {}
+            self.words[word] = got
+        return got
+
+    def parts(self, text: str) -> list[tuple[tuple[int, ...], bytes, bytes]]:
+        """What the pre-tokens of a text encode to, in order."""
+        words = plain_words(text)
+        if words is not None:
+            got = list(map(self.words.get, words))
+            return [self.words.get(w) or self.of_word(w) if x is None else x for w, x in zip(words, got)] if None in got else got
+        out = []
+        for piece in text.encode().split():  # no token spans ASCII white space
+            p = piece.decode()
+            words = plain_words(p)
+            if words is not None:
+                out += [self.words.get(w) or self.of_word(w) for w in words]
+                continue
+            for part in MARKERS.split(p):
+                if part in self.markers:
+                    i = self.markers[part]
+                    out.append(((i,), b"%d" % i, part.encode()))
+                elif part:
+                    for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+                        ids = self.encode_word(w)
+                        out.append((ids, " ".join(map(str, ids)).encode(), self.decode(ids).encode()))
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for p in (text or "").encode().split() for i in self.encode_piece(p.decode())]
+        return [i for x in self.parts(text or "") for i in x[0]]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """As the library does for a vocabulary without a decoder: tokens joined by spaces, unknown ids left out."""
         return " ".join([self.token[i] for i in ids if i in self.token])
 
     def written(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text."""
-        known = self.pieces
-        pieces = (text or "").encode().split()
-        got = list(map(known.get, pieces))
-        if None in got:
-            if len(known) >= CACHE_PIECES:
-                known.clear()
-            fresh: dict[bytes, tuple[bytes, bytes]] = {}
-            for i, x in enumerate(got):
-                if x is None:
-                    p = pieces[i]
-                    x = fresh.get(p)
-                    if x is None:
-                        ids = self.encode_piece(p.decode())
-                        x = fresh[p] = (" ".join(map(str, ids)).encode(), self.decode(ids).encode())
-                        if len(p) <= CACHE_BYTES:
-                            known[p] = x
-                    got[i] = x
-        ids = b" ".join([x[0] for x in got if x[0]])
-        back = b" ".join([x[1] for x in got if x[0]])
+        got = self.parts(text or "")
+        ids = b" ".join([x[1] for x in got])
+        back = b" ".join([x[2] for x in got])
         return ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
 
 

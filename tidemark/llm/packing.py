@@ -9,9 +9,8 @@ A sequence's number is made of its partition's number and a count, so that no ta
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,83 +19,53 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import ASCII_WORDS, CACHE_BYTES, LATIN, LATIN_WORDS
-
+from tidemark.llm.bpe import byte_letters, plain_words
 from tidemark.llm.common import texts
 
 #: At most 2048 windows of 16 KB are open: in a partition of 10,000 documents there were 318 at most, and the one join at its end moved 13 % of the tokens.
 WINDOW, END_ID, MAX_OPEN = 4096, 2, 2048
-CACHE_PIECES = 400_000
+#: Pre-tokens that a worker keeps before they age, and the longest that are kept.
+CACHE_WORDS, CACHE_LETTERS = 400_000, 32
 SEQUENCE_BITS = 36
 
 
-_ASCII_WORDS = re.compile(ASCII_WORDS.pattern.encode())
-
-
-def _words(piece: bytes) -> list[bytes] | None:
-    """The pre-tokens of a piece of ASCII or Latin letters, each the piece of itself; None for any other piece."""
-    if piece.isascii():
-        low = piece.lower()
-        return [low] if low.isalpha() else None if b"<|" in piece else _ASCII_WORDS.findall(low)
-    text = piece.decode()
-    if max(text) >= LATIN or "<|" in text:
-        return None
-    low = text.lower()
-    return [low.encode()] if low.isalpha() else [w.encode() for w in LATIN_WORDS.findall(low)]
-
-
 class LibraryIds:
-    """ids by the tokenizers library as little-endian unsigned 32-bit bytes. Pieces between ASCII white space, and their pre-tokens, are encoded once and kept."""
+    """ids by the tokenizers library as little-endian unsigned 32-bit bytes. Pre-tokens of plain texts are encoded once, by the library's
+    model, and kept; when CACHE_WORDS are, they become the old ones, of which those that occur again are taken over."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        vocab = self.library.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        for t, i in vocab.items():
-            self.ends[i] = t.endswith("</w>")
-        self.known: dict[bytes, bytes] = {}
-
-    def fill(self, pieces: set[bytes]) -> dict[bytes, bytes]:
-        """Encodes pieces: the pre-tokens of plain ones all in one call, other pieces one by one."""
-        known, split, other, missing, fresh = self.known, {}, [], set(), {}
-        for p in pieces:
-            ws = _words(p)
-            if ws is None:
-                other.append(p)
-            else:
-                split[p] = ws
-                missing.update([w for w in ws if w not in known])
-        if other:
-            for p, e in zip(other, self.library.encode_batch_fast([p.decode() for p in other], add_special_tokens=False)):
-                fresh[p] = np.asarray(e.ids, "<u4").tobytes()
-        if missing:
-            order = list(missing)
-            ids = np.asarray(self.library.encode_batch_fast([b" ".join(order).decode()], add_special_tokens=False)[0].ids, "<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            assert len(stops) == len(order)
-            data, a = ids.tobytes(), 0
-            for w, b in zip(order, stops):
-                fresh[w] = data[4 * a : 4 * b]
-                a = b
-        for p, ws in split.items():
-            if len(ws) == 1:
-                fresh[p] = known.get(ws[0]) or fresh[ws[0]]
-            else:
-                fresh[p] = b"".join([known.get(w) or fresh[w] for w in ws])
-        return fresh
+        self.model = self.library.model
+        self.letter = [byte_letters()[b] for b in range(256)]
+        self.coded = [i.to_bytes(4, "little") for i in range(max(self.library.get_vocab(with_added_tokens=True).values()) + 1)]
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Takes in the ids of unknown pre-tokens."""
+        known, old, tokenize, coded, letter = self.known, self.old, self.model.tokenize, self.coded, self.letter
+        for w in words:
+            x = old.get(w)
+            if x is None:
+                x = b"".join([coded[t.id] for t in tokenize(w if w.isascii() and w.isalpha() else "".join([letter[b] for b in w.encode()]))])
+            known[w] = x
 
     def __call__(self, text: str | None) -> bytes:
-        pieces = (text or "").encode().split()
-        got = list(map(self.known.get, pieces))
-        if None in got:
-            fresh = self.fill({p for p, x in zip(pieces, got) if x is None})
-            got = [fresh[p] if x is None else x for p, x in zip(pieces, got)]
-            if len(self.known) + len(fresh) > CACHE_PIECES:
-                self.known.clear()
-            self.known.update([(p, x) for p, x in fresh.items() if len(p) <= CACHE_BYTES])
-        return b"".join(got)
+        words = plain_words(text or "")
+        if words is None:
+            return np.asarray(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        unknown = set(words).difference(self.known)
+        if not unknown:
+            return b"".join(map(self.known.__getitem__, words))
+        self.learn(unknown)
+        out = b"".join(map(self.known.__getitem__, words))
+        for w in [w for w in unknown if len(w) > CACHE_LETTERS]:
+            del self.known[w]
+        if len(self.known) > CACHE_WORDS:
+            self.old, self.known = self.known, {}
+        return out
 
 
 @lru_cache(maxsize=2)
