@@ -10,18 +10,22 @@ from tidemark.llm.common import cut, discard
 MAX_ROUNDS = 60
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours are tied to the smallest node it knows."""
+def _large(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every node's larger neighbours are tied to the smallest node it knows; second, the written table behind it.
+
+    The smallest nodes are taken before they are shuffled, and written: a node with very many edges then meets its smallest one in a plain
+    join, which adaptive execution splits.
+    """
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), least
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every node, and its smaller neighbours, are tied to the smallest of them (edges lead from larger to smaller nodes)."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     tied = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
+    return tied.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -37,8 +41,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        now, last = cut(_small(_large(now)), "edges"), now
-        discard(last)
+        larger, first = _large(now)
+        larger = cut(larger, "larger")
+        smaller, second = _small(larger)
+        now, last = cut(smaller, "edges"), now
+        discard(last, first, larger, second)
     else:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
