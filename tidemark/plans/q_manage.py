@@ -14,10 +14,10 @@ from tidemark.operators.folds import with_folds
 from tidemark.operators.stages import run_stages
 from tidemark.plans.q_aggregates import LAB, _ece_sql, _mcc_sql, hit, labelled
 from tidemark.plans.q_folds import _RSI
-from tidemark.plans.q_sinks import database
 from tidemark.plans.registry import query, r, rounded, with_candles
 from tidemark.schema import INTERVALS
 from tidemark.session import scratch, stored
+from tidemark.sources import sqlite
 from tidemark.sources.files import ocr_text, scan_notes
 from tidemark.sources.tables import candles, table
 
@@ -81,10 +81,10 @@ def scan_ocr(spark: SparkSession, d: str) -> DataFrame:
 @query("scan_sqlite", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
 def scan_sqlite(spark: SparkSession, d: str) -> DataFrame:
     """SQL text that the database runs: what comes back are its groups."""
-    to = database(spark, "orders")
-    table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents")).coalesce(1).write.format("jdbc").options(**to, dbtable="orders", batchsize=5000, createTableColumnTypes="o_orderpriority VARCHAR(32), o_orderstatus VARCHAR(4)").mode("append").save()
-    text = 'SELECT "o_orderpriority", COUNT(*) AS "n", SUM("cents") AS "cents" FROM orders WHERE "o_orderstatus" = \'O\' GROUP BY "o_orderpriority"'
-    return spark.read.format("jdbc").options(**to, query=text).load().select("o_orderpriority", F.col("n").cast("bigint").alias("n"), F.round(F.col("cents") / 100, 2).alias("total"))
+    to = sqlite.database(spark, "orders")
+    sqlite.append(table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents")), to, "orders")
+    text = "SELECT o_orderpriority, COUNT(*) AS n, SUM(cents) AS cents FROM orders WHERE o_orderstatus = 'O' GROUP BY o_orderpriority"
+    return sqlite.scan(spark, to, text, "o_orderpriority string, n bigint, cents bigint").select("o_orderpriority", "n", F.round(F.col("cents") / 100, 2).alias("total"))
 
 
 @query("scan_feature_table", with_candles("SELECT symbol, ts, round(close, 6) AS close, CASE WHEN close > open THEN 2 WHEN close < open THEN 0 ELSE 1 END AS y, regime FROM (SELECT c.*, CASE WHEN volume >= b THEN 'high' WHEN volume <= a THEN 'low' ELSE 'med' END AS regime FROM c JOIN (SELECT symbol AS s, quantile_cont(volume, 0.33) AS a, quantile_cont(volume, 0.66) AS b FROM c GROUP BY 1) ON s = symbol)"))
