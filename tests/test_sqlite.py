@@ -20,7 +20,7 @@ from tidemark.plans.registry import ORACLE_SQL, QUERIES
 duck = duckdb.connect()
 for t in ("orders", "events"):
     duck.execute("create view " + t + " as select * from '{SF}/" + t + ".parquet'")
-for name in ("scan_sqlite",):
+for name in ("scan_sqlite", "sink_sqlite_append"):
     got, want = QUERIES[name](spark, "{SF}"), duck.execute(ORACLE_SQL[name])
     names = [x[0] for x in want.description]
     got, want = sorted(map(tuple, got.select(*names).collect())), sorted(want.fetchall())

@@ -17,6 +17,7 @@ from tidemark.plans.q_ml import FEATURES, samples
 from tidemark.plans.q_scalars import _L2, _Q, _query_vector
 from tidemark.plans.registry import query, rounded, with_candles
 from tidemark.session import scratch
+from tidemark.sources import sqlite
 from tidemark.sources.clients import TRADE_FIELDS, offline_klines, offline_trades, paged_source
 from tidemark.sources.tables import candles, table
 
@@ -44,22 +45,14 @@ query("scan_agg_trades", "SELECT k * 250 AS trade_time, k AS trade_id, 26000 + k
 )
 
 
-def database(spark: SparkSession, label: str) -> dict[str, str]:
-    """JDBC options of a fresh embedded database; another URL and driver reach any other one."""
-    path = scratch(spark, label).removeprefix("file://").removeprefix("file:")
-    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{path}.log")
-    return {"url": f"jdbc:derby:;databaseName={path};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-
-
 @query("sink_sqlite_append", with_candles("SELECT symbol, epoch_ms(ts) AS ms, round(close, 6) AS close FROM c"))
 def sink_append(spark: SparkSession, d: str) -> DataFrame:
     """Rows appended to a database table in two writes, and read back in ranges of the time."""
-    to = database(spark, "appended")
+    to = sqlite.database(spark, "appended")
     c = rounded(candles(spark, d).select("symbol", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "close"))
     for part in ("ms % 7200000 = 0", "ms % 7200000 <> 0"):
-        c.where(part).coalesce(1).write.format("jdbc").options(**to, dbtable="candles").mode("append").save()
-    back = spark.read.format("jdbc").options(**to, dbtable="candles", partitionColumn='"ms"', lowerBound=1704067200000, upperBound=1706659200000, numPartitions=4).load()
-    return back.toDF(*[x.lower() for x in back.columns])
+        sqlite.append(c.where(part), to, "candles")
+    return sqlite.scan(spark, to, "SELECT * FROM candles", "symbol string, ms bigint, close double", "ms", [1704715200000 + i * 648000000 for i in range(3)])
 
 
 @query("sink_orders", with_candles("SELECT symbol, ts, CASE WHEN close > open THEN 'buy' ELSE 'sell' END AS side, 1.0::DOUBLE AS size FROM c WHERE close <> open"))
