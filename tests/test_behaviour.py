@@ -309,3 +309,14 @@ def test_asof_over_buckets_equals_a_search(spark):
         before = [x for x in right if x[0] == r.symbol and x[1] <= r.ts]
         assert r.v == (before[-1][2] if before else None)
     assert got.count() == 300
+
+
+def test_microprice_is_filled_in_one_pass(spark):
+    """Rows without sizes take the last price, before any the first; no frame goes on from its row to the end, which is quadratic."""
+    from tidemark.functions.windows import with_microprice
+
+    sizes = [(0.0, 0.0), (0.0, 0.0), (1.0, 3.0), (0.0, 0.0), (2.0, 2.0), (None, 1.0)]
+    rows = [("A", T0 + timedelta(minutes=i), 10.0 + i, 12.0 + i, b, a) for i, (b, a) in enumerate(sizes)] + [("B", T0, 1.0, 2.0, 0.0, 0.0)]
+    got = with_microprice(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, bid_price double, ask_price double, bid_size double, ask_size double"))
+    assert [r.microprice for r in got.orderBy("symbol", "ts").collect()] == [12.5, 12.5, 12.5, 12.5, 15.0, 15.0, None]
+    assert "currentrow$(), unboundedfollowing$()" not in got._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -153,9 +153,14 @@ def imbalance(level: int) -> Column:
 
 
 def with_microprice(df: DataFrame) -> DataFrame:
+    """The price weighted by the other side's size; without sizes the last one, and before any the first.
+
+    Rows that nothing comes before all get the series' first value: a frame that is the whole series finds it once, where one that begins
+    at each row would go through the rest of the series again for every row.
+    """
     raw = (F.col("bid_price") * F.col("ask_size") + F.col("ask_price") * F.col("bid_size")) / F.nullif(F.col("bid_size") + F.col("ask_size"), F.lit(0.0))
-    df = df.withColumn("_m", raw).withColumn("_m", F.last("_m", ignorenulls=True).over(so_far()))
-    return df.withColumn("microprice", F.coalesce("_m", F.first("_m", ignorenulls=True).over(to_come()))).drop("_m")
+    first = F.first("_m", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return df.withColumn("_m", raw).withColumn("microprice", F.coalesce(F.last("_m", ignorenulls=True).over(so_far()), first)).drop("_m")
 
 
 def with_roll_impact(df: DataFrame, n: int = 50) -> DataFrame:
