@@ -335,3 +335,15 @@ def test_order_flow_of_one_time_follows_trade_ids(spark):
         for got in (order_flow(df, None, 3600).collect(), order_flow(df, df, 3600).collect()):
             assert [r.asDict() for r in got] == [{"symbol": "A", "ts": T0} | dict(zip(ORDER_FLOW, (6.0, 2.0, (11.0 + 13.0 * 4) / 5, 0.5, 1.0, 0.6, 0.6, 0.6)))]
     assert order_flow(df.drop("trade_id"), None, 3600).count() == 1
+
+
+def test_subscribers_of_one_time_count_as_one(spark):
+    """Changes of one time all have the number after them, as in the query's SQL, and the first of them has the action."""
+    from tidemark.plans.q_live import refcounts
+
+    changes = [(1, 0, -1), (2, 1, 1), (3, 1, 1), (4, 2, -1), (5, 2, -1), (6, 3, 1), (7, 3, -1)]
+    for given in (changes, changes[::-1]):
+        rows = spark.createDataFrame([("A", ts, i, d) for i, ts, d in given], "symbol string, ts int, trade_id bigint, delta int")
+        got = refcounts(rows, ties=("trade_id",)).orderBy("trade_id").collect()
+        assert [r.refs for r in got] == [0, 2, 2, 0, 0, 0, 0]
+        assert [r.action for r in got] == [None, "start", None, "stop", None, None, None]

@@ -84,21 +84,23 @@ def st_step_retry(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("symbol").agg(F.count("*").alias("bars")).withColumn("attempts", F.lit(most))
 
 
-def refcounts(changes: DataFrame, delta: str = "delta", keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
+def refcounts(changes: DataFrame, delta: str = "delta", keys: tuple[str, ...] = ("symbol",), order: str = "ts", ties: tuple[str, ...] = ()) -> DataFrame:
     """changes with refs, the number of subscribers that never falls below 0, and the action that starts or stops a stream.
 
-    The number is the running sum less its lowest point below 0 so far, so it needs no fold.
+    The number is the running sum less its lowest point below 0 so far, so it needs no fold. Changes of one time count as one: each of
+    them has the number after all, and the first by `ties` the action.
     """
     w = Window.partitionBy(*keys).orderBy(order)
-    df = changes.withColumn("_s", F.sum(delta).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("refs", F.col("_s") - F.least(F.lit(0), F.min("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    before = F.coalesce(F.lag("refs").over(w), F.lit(0))
+    so_far = w.rangeBetween(Window.unboundedPreceding, 0)
+    df = changes.withColumn("_s", F.sum(delta).over(so_far))
+    df = df.withColumn("refs", F.col("_s") - F.least(F.lit(0), F.min("_s").over(so_far)))
+    before = F.coalesce(F.lag("refs").over(w.orderBy(order, *ties)), F.lit(0))
     return df.withColumn("action", F.when((before == 0) & (F.col("refs") > 0), "start").when((before > 0) & (F.col("refs") == 0), "stop")).drop("_s")
 
 
 query("st_refcount_streams", f"""WITH {TICKS}, s AS (SELECT *, sum(CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END) OVER (PARTITION BY symbol ORDER BY ts) AS s FROM t), r AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY symbol ORDER BY ts)) AS refs FROM s)
 SELECT trade_id, CAST(refs AS BIGINT) AS refs, CASE WHEN p = 0 AND refs > 0 THEN 'start' WHEN p > 0 AND refs = 0 THEN 'stop' END AS action FROM (SELECT *, coalesce(lag(refs) OVER (PARTITION BY symbol ORDER BY ts), 0) AS p FROM r)""")(
-    lambda spark, d: refcounts(trades(spark, d).withColumn("delta", F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1))).select("trade_id", "refs", "action")
+    lambda spark, d: refcounts(trades(spark, d).withColumn("delta", F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)), ties=("trade_id",)).select("trade_id", "refs", "action")
 )
 
 
