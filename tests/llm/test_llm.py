@@ -283,6 +283,21 @@ def test_jaccard_links_inside_a_group(spark, monkeypatch):
     assert [got[i].component_id for i in range(18)] == comp
 
 
+def test_counters_are_narrow(spark):
+    """Counters take the fewest bytes that hold them, and the ranks are those of the counts."""
+    for top, width in ((0, 1), (255, 1), (256, 2), (65536, 4), (2**32, 8)):
+        counts = np.array([0, 1, top, 0], np.int64)
+        held = ngramjoin.narrow(counts)
+        assert len(held) == 4 * width and ngramjoin.widened(held, 4).tolist() == counts.tolist()
+    given = [f"common words here {i % 7} then {i}" for i in range(600)]
+    want = np.zeros(1 << 16, np.int64)
+    for x in given:
+        np.add.at(want, ngramjoin._buckets(ngramjoin.shingles(x), 16), 1)
+    for parts in (3, 300):  # in one step and in two
+        got = ngramjoin.frequency_rank(docs(spark, given).repartition(parts), "doc_id", "text", 3, 16)
+        assert got.tolist() == np.minimum(255, 4 * np.log2(1 + want)).astype(np.uint8).tolist()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
