@@ -14,7 +14,7 @@ from tidemark.plans.feature_sql import feature_sql
 from tidemark.plans.registry import query, rounded, with_candles
 from tidemark.session import scratch, stored
 from tidemark.schema import OHLCV as OHLCV_NAMES
-from tidemark.sources.tables import book, candles, table, trades
+from tidemark.sources.tables import book, candles, table
 
 
 
