@@ -41,6 +41,19 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Bytes of an Arrow batch, at most (or one row), where rows may be many and short.
+BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def by_bytes(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have BATCH_BYTES at most, or fewer if the session has it so; its rows by batch are left alone."""
+    conf = df.sparkSession.conf
+    size, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", conf.get(BYTES_KEY).lower()).groups()
+    if not 0 < int(size) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
+        conf.set(BYTES_KEY, str(BATCH_BYTES))
+    return df
+
+
 def texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """The key and the text, for a Python step, in bounded batches."""
     return bounded(pick(df, key, text).withColumn(text, F.col(text).cast("string")))

@@ -80,11 +80,40 @@ def op10_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_bootstrapped_pii, op3_projection_passes, op4_packing, op5_ngram_join, op6_rule_ensemble, op7_warc_salvage, op8_prefix_bpe, op9_extendible_shards, op10_mpeg_media)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.alignment import align_documents
+
+    return align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.merkle import verified_manifest
+
+    return verified_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are control strings, written as windows and read back."""
+    import public_tokenizers
+
+    from tidemark.llm.chat import chat_windows, read_digests
+    from tidemark.llm.common import cut, pick
+
+    turns = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    probe = "<|im_end|><|im_start|>assistant ok"
+    odd = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string")
+    windows = cut(chat_windows(turns.unionByName(odd), public_tokenizers.path("byte_bpe_50k.json")), "windows")
+    return read_digests(windows)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_license_scan, op2_bootstrapped_pii, op3_projection_passes, op4_packing, op5_ngram_join, op6_rule_ensemble, op7_warc_salvage, op8_prefix_bpe, op9_extendible_shards, op10_mpeg_media, op11_token_alignment, op12_merkle_manifest, op13_chat_windows)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_projection_passes": oracles.VECTORS,
     "op5_ngram_join": oracles.NGRAM_JOIN,
     "op7_warc_salvage": oracles.WARC,
     "op9_extendible_shards": oracles.SHARDING,
+    "op12_merkle_manifest": oracles.MERKLE,
 }
