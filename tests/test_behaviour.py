@@ -267,19 +267,38 @@ def test_calibration_is_isotonic_regression(spark):
 
 
 def test_boosted_trees_learn_and_fall_back(spark):
-    from tidemark.operators.mlops import train_boosted
+    from tidemark.operators.mlops import SPACE, boosted_probabilities, suggest_params, train_boosted
 
-    rows = spark.createDataFrame([("A", T0 + timedelta(hours=i), float(i % 3), float(i), i % 3 - 1) for i in range(90)], "symbol string, ts timestamp_ntz, a double, b double, target int")
-    predict, trials = train_boosted(rows, ["a", "b"], trials=1, rounds=3, folds=2, embargo=2)
+    rows = spark.createDataFrame([("A", T0 + timedelta(hours=i), float(i % 3), float(i), i % 3 - 1) for i in range(120)], "symbol string, ts timestamp_ntz, a double, b double, target int")
+    booster, trials = train_boosted(rows, ["a", "b"], trials=2, folds=2, embargo=2)
     best = F.greatest("prob_down", "prob_flat", "prob_up")
     hit = F.when(F.col("target") == -1, F.col("prob_down")).when(F.col("target") == 1, F.col("prob_up")).otherwise(F.col("prob_flat")) == best
-    got = predict(rows)
-    assert got.where(hit).count() >= 85 and trials.count() == 1 and trials.first().logloss < 1.0
+    got = boosted_probabilities(rows, booster)
+    tried = trials.orderBy("trial").collect()
+    assert got.where(hit).count() >= 115 and len(tried) == 2 and max(r.score for r in tried) > 0.9
+    assert all(r[k] == suggest_params(r.trial)[k] for r in tried for k in SPACE)  # as suggested
+    first = max(tried, key=lambda r: (r.score, -r.trial)).trial
+    assert len(booster.rounds) == suggest_params(first)["n_estimators"]
     assert abs(got.agg(F.max(F.abs(F.col("prob_down") + F.col("prob_flat") + F.col("prob_up") - 1))).first()[0]) < 1e-9
-    one = train_boosted(rows.withColumn("target", F.lit(1)), ["a"], trials=1, rounds=2, folds=2, embargo=2)[0](rows).first()
-    assert one.prob_up > 0.99
-    few = train_boosted(rows.limit(10), ["a"])[0](rows).first()
-    assert few.prob_up == few.prob_flat == few.prob_down
+    one, _ = train_boosted(rows.withColumn("target", F.lit(1)), ["a"], trials=1, folds=2, embargo=2)
+    assert boosted_probabilities(rows, one).first().prob_up > 0.9
+    none, table = train_boosted(rows.limit(10), ["a"])
+    few = boosted_probabilities(rows, none).first()
+    assert none is None and table.count() == 0 and few.prob_up == few.prob_flat == few.prob_down
+
+
+def test_incremental_booster(spark):
+    """Every batch adds rounds to what the batches before have grown, and holds out its last rows by time."""
+    from tidemark.operators.mlops import train_incremental
+
+    rows = spark.createDataFrame([("A", T0 + timedelta(hours=i), float(i % 7), float(i % 3), (i % 7 > 3) - (i % 7 < 2)) for i in range(240)], "symbol string, ts timestamp_ntz, a double, b double, target int").withColumn("day", F.floor(F.datediff("ts", F.lit(T0.date())) / 5))
+    booster, sizes = None, []
+    for k in range(2):
+        before = booster
+        booster = train_incremental(spark, rows.where(F.col("day") == k), ["a", "b"], "target", booster, rounds=12, patience=4)
+        sizes.append(len(booster.rounds))
+        assert before is None or booster.rounds[: len(before.rounds)] == before.rounds
+    assert sizes == [12, 24] and booster.losses[-1] < 0.95
 
 
 def test_suggested_parameters_stay_in_their_space():

@@ -36,7 +36,7 @@ def test_queries_on_a_cluster(tmp_path):
     for p in Path(pyspark.__file__).parent.iterdir():
         if p.name != "work":
             (home / p.name).symlink_to(p)
-    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": str(REPO), "PYTHONDONTWRITEBYTECODE": "1", "PYSPARK_PYTHON": sys.executable}
+    env = os.environ | {"SPARK_HOME": str(home), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1", "PYTHONPATH": os.pathsep.join([str(REPO), *filter(None, sys.path)]), "PYTHONDONTWRITEBYTECODE": "1", "PYSPARK_PYTHON": sys.executable}
     done = subprocess.run([sys.executable, "-c", f"FOLDER = {str(tmp_path)!r}\n{CODE}"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0 and done.stdout.endswith("equal\n"), done.stderr[-2000:]
 

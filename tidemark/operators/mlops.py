@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import boosting
+from tidemark.session import stored
+
 EPS = 1e-6
 #: The most regimes that calibration fits curves for; three by construction.
 MAX_REGIMES = 16
@@ -158,67 +165,98 @@ def train_forest(df: DataFrame, features: list[str], label: str = "target", tree
     return predict
 
 
-def _boosted(df: DataFrame, params: dict, rounds: int):
-    """One-vs-rest boosted trees on rows with _x and _y; returns a function that gives the probabilities of the classes at hand."""
-    classes = sorted(int(r[0]) for r in df.select("_y").distinct().collect())  # three at most
-    models = {}
-    for k in classes if len(classes) > 1 else []:
-        gbt = GBTClassifier(featuresCol="_x", labelCol="_k", maxDepth=min(5, params["max_depth"]), maxIter=rounds, stepSize=params["learning_rate"] if rounds > 20 else max(0.1, params["learning_rate"]), subsamplingRate=params["subsample"], featureSubsetStrategy=f"{params['colsample_bytree']:.3f}", minInstancesPerNode=max(1, round(params["min_child_weight"])), minInfoGain=params["gamma"] / 1000, seed=7)
-        models[k] = gbt.fit(df.withColumn("_k", (F.col("_y") == k).cast("double")))
-
-    def scored(rows: DataFrame) -> DataFrame:
-        p = [F.lit(1.0)]
-        for k, m in models.items():
-            rows = m.setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setPredictionCol(f"_c{k}").transform(rows)
-        if models:
-            p = [vector_to_array(f"_p{k}")[1] for k in classes]
-        full = expand_probs(p, classes)
-        return rows.withColumns({f"prob_{c}": x for c, x in zip(("down", "flat", "up"), full)}).drop(*[f"_{x}{k}" for k in classes for x in "prc"])
-
-    return scored
-
-
 def logloss(label: str = "_y") -> Column:
     """Mean log loss of prob_down, prob_flat and prob_up, as an aggregate."""
     p = F.when(F.col(label) == 0, F.col("prob_down")).when(F.col(label) == 2, F.col("prob_up")).otherwise(F.col("prob_flat"))
     return F.avg(-F.ln(F.greatest(p, F.lit(1e-15))))
 
 
-def train_boosted(df: DataFrame, features: list[str], label: str = "target", trials: int | None = None, rounds: int = 20, folds: int = 3, embargo: int = 60, least_rows: int = 50):
-    """Boosted trees with parameters chosen by purged cross-validation; returns (scoring function, table of trials).
+def boosting_params(trial: dict) -> tuple[boosting.Params, int]:
+    """A trial's parameters and number of rounds, as they are."""
+    return boosting.Params(learning_rate=trial["learning_rate"], num_leaves=None, max_depth=int(trial["max_depth"]), gamma=trial["gamma"], min_hessian=trial["min_child_weight"], feature_fraction=trial["colsample_bytree"], row_fraction=trial["subsample"]), int(trial["n_estimators"])
+
+
+def sampled(df: DataFrame, rows: int, key: str) -> DataFrame:
+    """df, or if it has more than `rows` rows about that many of them, drawn by the hash of a column, so the same ones each time."""
+    n = df.count()
+    return df if n <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+
+
+def class_mcc(y: np.ndarray, pred: np.ndarray) -> float:
+    """Multi-class correlation; 0 where one side has a single class."""
+    c = np.zeros((3, 3))
+    np.add.at(c, (y, pred), 1)
+    t, p, n = c.sum(axis=1), c.sum(axis=0), c.sum()
+    den = np.sqrt((n * n - t @ t) * (n * n - p @ p))
+    return float((np.trace(c) * n - t @ p) / den) if den > 0 else 0.0
+
+
+#: Rows of the parameter search's and of the final fit's sample. A classifier is fitted on a bounded sample; all rows are scored.
+SEARCH_ROWS, FIT_ROWS = 5_000, 20_000
+
 
-    Each trial's parameters come from `suggest_params`; its score is the mean log loss over the folds, of which one that lacks a class
-    counts too. `rounds` bounds the trees of a class, whatever a trial suggests. Fewer than least_rows rows are not fitted: the
-    scoring function is then the stub; rows of a single class give a constant model. Missing features count as 0.
+def train_boosted(df: DataFrame, features: list[str], label: str = "target", trials: int | None = None, folds: int = 3, embargo: int = 60, least_rows: int = 50, search_rows: int = SEARCH_ROWS, fit_rows: int | None = FIT_ROWS):
+    """Boosted trees with parameters chosen by purged cross-validation; returns (booster or None, table of trials).
+
+    Each trial's parameters come from `suggest_params` and are used as they are. A trial's score is its mean correlation (MCC) over the
+    folds; the first of the best wins. Every trial and fold is a task of its own over a sample of at most about search_rows rows; the final
+    booster is fitted to one of fit_rows, or with fit_rows=None to all rows by `boosting.fit`. Fewer than least_rows rows are not fitted:
+    None, for which `boosted_probabilities` gives thirds. Missing features have a bin of their own.
     """
     spark = df.sparkSession
-    assembler = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep")
-    rows = assembler.transform(df.fillna(0.0, subset=features).withColumn("_y", encode_target(F.col(label)).cast("double"))).cache()
+    rows = stored(df.select("symbol", "ts", *[F.col(f).cast("double").alias(f) for f in features], encode_target(F.col(label)).alias("_y")).withColumn("_k", F.xxhash64("symbol", "ts")), "training")
     n = rows.count()
-    schema = "trial int, logloss double, " + ", ".join(f"{k} double" for k in SPACE)
+    fields = "trial int, score double, " + ", ".join(f"{k} double" for k in SPACE)
     if n < least_rows:
-        rows.unpersist()
-        return (lambda r: r.withColumns({f"prob_{c}": F.lit(1 / 3) for c in ("down", "flat", "up")})), spark.createDataFrame([], schema)
-    tried = []
-    split = purged_folds(rows, folds, embargo).cache()
-    for t in range(1, (trial_count(n) if trials is None else trials) + 1):
-        params, losses = suggest_params(t), []
-        size = min(rounds, params["n_estimators"])
-        for k in range(folds):
-            fold = split.where(F.col("fold") == k)
-            if not fold.where("is_train").isEmpty():
-                losses.append(_boosted(fold.where("is_train"), params, size)(fold.where("is_test")).agg(logloss()).first()[0])
-        known = [x for x in losses if x is not None]
-        tried.append((t, sum(known) / len(known) if known else float("inf"), *[float(v) for v in params.values()]))
-    best = min(tried, key=lambda x: (x[1], x[0]))
-    final = _boosted(rows, suggest_params(best[0]), min(rounds, suggest_params(best[0])["n_estimators"]))
-    split.unpersist()
-    rows.unpersist()
-
-    def predict(r: DataFrame) -> DataFrame:
-        return final(assembler.transform(r.fillna(0.0, subset=features))).drop("_x")
-
-    return predict, spark.createDataFrame(tried, schema)
+        return None, spark.createDataFrame([], fields)
+    count = trial_count(n) if trials is None else trials
+    split = purged_folds(sampled(rows, search_rows, "_k"), folds, embargo).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(count))))
+
+    def tried(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["symbol", "ts"])
+        params, rounds = boosting_params(suggest_params(int(pdf["trial"].iat[0])))
+        a, b = pdf[pdf["is_train"]], pdf[pdf["is_test"]]
+        score = 0.0
+        if len(a) and b["_y"].nunique() > 1:
+            m = boosting.fit_local(a[features].to_numpy(np.float64), a["_y"].to_numpy(), params, rounds, features, a["_k"].to_numpy())
+            score = class_mcc(b["_y"].to_numpy(), m.probabilities(b[features].to_numpy(np.float64)).argmax(axis=1))
+        return pd.DataFrame({"trial": pdf["trial"].iloc[:1], "fold": pdf["fold"].iloc[:1], "score": score})
+
+    scores = split.groupBy("trial", "fold").applyInPandas(tried, "trial int, fold int, score double").groupBy("trial").agg(F.avg("score").alias("score")).collect()
+    table = sorted((r.trial, r.score) for r in scores)
+    best = min(table, key=lambda x: (-x[1], x[0]))[0]
+    params, rounds = boosting_params(suggest_params(best))
+    if fit_rows is None:
+        booster = boosting.fit(rows, features, "_y", params, rounds, key="_k")
+    else:
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["symbol", "ts"])
+            return pd.DataFrame({"booster": [boosting.fit_local(pdf[features].to_numpy(np.float64), pdf["_y"].to_numpy(), params, rounds, features, pdf["_k"].to_numpy()).to_json()]})
+
+        booster = boosting.Booster.from_json(sampled(rows, fit_rows, "_k").groupBy(F.lit(1).alias("one")).applyInPandas(whole, "booster string").first().booster)
+    return booster, spark.createDataFrame([(t, s, *[float(v) for v in suggest_params(t).values()]) for t, s in table], fields)
+
+
+def boosted_probabilities(df: DataFrame, booster: boosting.Booster | None) -> DataFrame:
+    """df with prob_down, prob_flat and prob_up."""
+    return boosting.predict(df, booster) if booster else df.withColumns({n: F.lit(1 / 3) for n in boosting.NAMES})
+
+
+def train_incremental(spark: SparkSession, df: DataFrame, features: list[str], label: str, booster: boosting.Booster | None = None, valid_fraction: float = 0.3, least_valid: int = 32, rounds: int | None = None, patience: int = 30) -> boosting.Booster:
+    """One batch of the incremental booster: `booster` continued with the batch's rows, or begun with them.
+
+    The last rows by time, valid_fraction of them and least_valid at least, but at most half, are held out to stop at the best round.
+    """
+    n = df.count()
+    held = min(max(least_valid, int(n * valid_fraction)), max(n // 2, 1))
+    last = df.orderBy(F.desc("ts"), F.desc("symbol")).limit(held).agg(F.min(F.struct("ts", "symbol")).alias("m")).first().m
+    at = F.lit(last.ts).cast(dict(df.dtypes)["ts"]) if last else None
+    late = (F.col("ts") > at) | (F.col("ts") == at) & (F.col("symbol") >= last.symbol) if last else F.lit(False)
+    rows = df.withColumns({"_y": encode_target(F.col(label)), "_k": F.xxhash64("symbol", "ts"), "_held": late})
+    leaves = min(2 ** max(1, int(math.log2(max(4, len(features))))), 512)
+    params = boosting.Params(learning_rate=0.05, num_leaves=leaves, l1=1e-3, l2=1e-3, min_rows=max(10, n // 50), feature_fraction=0.9, row_fraction=0.8, seed=1337)
+    return boosting.fit(rows, features, "_y", params, rounds or max(40, min(400, n)), key="_k", valid="_held", patience=patience if held >= 20 else None, init=booster)
 
 
 def calibrate(df: DataFrame, prob: str, hit: Column, keys: str | None = None) -> DataFrame:

@@ -53,10 +53,10 @@ _OUT = ["symbol", "ts", "target", "prob_down", "prob_flat", "prob_up"]
 
 @query("ml_xgb_train")
 def ml_xgb_train(spark: SparkSession, d: str) -> DataFrame:
-    """Out-of-sample probabilities of the tail by boosted trees, with the parameters of the best of two trials."""
+    """Out-of-sample probabilities of the tail by boosted trees, with the parameters of the best trial, used as suggested."""
     rows = stored(M.tail_split(samples(spark, d), 0.2, 50, 5), "samples")
-    predict, _ = M.train_boosted(rows.where("split = 'train'"), FEATURES, trials=2, rounds=4, folds=2, embargo=5)
-    return predict(rows.where("split = 'valid'")).select(*_OUT)
+    booster, _ = M.train_boosted(rows.where("split = 'train'"), FEATURES, embargo=5)
+    return M.boosted_probabilities(rows.where("split = 'valid'"), booster).select(*_OUT)
 
 
 query("ml_predict_batch")(lambda spark, d: trained(spark, d).select(*_OUT, F.greatest("prob_down", "prob_flat", "prob_up").alias("pred_conf")))
@@ -72,15 +72,20 @@ def predictions_with_hit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ml_lgbm_incremental")
 def ml_lgbm_incremental(spark: SparkSession, d: str) -> DataFrame:
-    """A growing window: for every week but the first, a forest on all weeks before scores that week."""
+    """For every week but the first, the probabilities of its rows by the booster that the weeks before have grown; each week then adds
+    its trees to last week's."""
     week = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7)
     rows = stored(samples(spark, d).withColumn("week", week), "weeks")
     first, last = rows.agg(F.min("week"), F.max("week")).first()
-    out = None
-    for w in range(first + 1, last + 1):
-        part = M.train_forest(rows.where(F.col("week") < w), FEATURES, trees=5)(rows.where(F.col("week") == w)).select("week", *_OUT)
-        out = part if out is None else out.unionByName(part)
-    return out
+    out, booster = None, None
+    for w in range(first, last + 1):
+        batch = rows.where(F.col("week") == w)
+        if booster is not None:
+            part = M.boosted_probabilities(batch, booster).select("week", *_OUT)
+            out = part if out is None else out.unionByName(part)
+        if w < last:
+            booster = M.train_incremental(spark, batch, FEATURES, "target", booster)
+    return out if out is not None else M.boosted_probabilities(rows.limit(0), None).select("week", *_OUT)
 
 
 query("pipe_train")(lambda spark, d: train_all(spark, d))
