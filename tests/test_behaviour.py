@@ -2,14 +2,13 @@
 
 from datetime import datetime, timedelta
 
+import brute_folds as folds
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import assignment, predicate
 from tidemark.operators import candles as K
-from tidemark.operators import folds
 from tidemark.operators.policy import Rules, apply_policy
 from tidemark.schema import interval_seconds
 from tidemark.sources.clients import offline_klines, paged_source
@@ -101,10 +100,11 @@ def test_kline_source(spark):
     np.testing.assert_allclose(got["close"], want["close"], atol=0.011)
 
 
-def test_folds_of_a_short_series():
-    pdf = pd.DataFrame({"symbol": "A", "ts": pd.date_range("2024-01-01", periods=1, freq="h"), "high": [2.0], "low": [1.0], "close": [1.5]})
-    out = folds.fold_series(pdf)
-    assert out["rsi_14"].iloc[0] == 50 and out["ema_12"].iloc[0] == 1.5
+def test_folds_of_a_short_series(spark):
+    from tidemark.operators.folds import with_folds
+
+    (out,) = with_folds(bars(spark, 1)).collect()
+    assert out.rsi_14 == 50 and out.ema_12 == 100.5 and out.atr_14 == 0 and out.swing_time_low == 0
 
 
 def decisions(spark, probs, rules=None, **more):

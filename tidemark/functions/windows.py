@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -11,9 +15,23 @@ from tidemark.schema import SESSIONS, VOL_BUCKETS
 TINY = 1e-9
 
 
+#: What `framed` has put in the place of symbol and ts.
+_spec: ContextVar[WindowSpec | None] = ContextVar("spec", default=None)
+
+
 def by_time() -> WindowSpec:
     """Made when asked for: a spec needs a session, and this module is imported without one."""
-    return Window.partitionBy("symbol").orderBy("ts")
+    return _spec.get() or Window.partitionBy("symbol").orderBy("ts")
+
+
+@contextmanager
+def framed(spec: WindowSpec) -> Iterator[None]:
+    """Within it, columns of this module are made over another spec, such as that of the blocks of a series."""
+    token = _spec.set(spec)
+    try:
+        yield
+    finally:
+        _spec.reset(token)
 
 
 def so_far() -> WindowSpec:
