@@ -121,3 +121,54 @@ def test_recurrences_and_levels():
 
 def test_folds_of_an_empty_table(spark):
     assert with_folds(spark.createDataFrame(series("walk", 3)).limit(0)).count() == 0
+
+
+def brute_flow(rows):
+    """Order-flow columns of one symbol's rows (ts, trade_id, price, quantity, maker, bid, bid size, ask, ask size), by loops."""
+    out, cvd, ofi, impacts, last_micro = [], 0.0, 0.0, [], None
+    rows = sorted(rows)
+    micro = [((b * asz + a * bsz) / (bsz + asz)) if bsz + asz else None for *_, b, bsz, a, asz in rows]
+    for i, (_, trade, price, q, maker, bid, bsz, ask, asz) in enumerate(rows):
+        p = rows[i - 1] if i else None
+        cvd += -q if maker else q
+        if p:
+            ofi += (bsz - p[6] if bid >= p[5] else 0) - (asz - p[8] if ask <= p[7] else 0)
+        impacts.append(abs(price - p[2]) / q if p and q else None)
+        known = [x for x in impacts[-50:] if x is not None]
+        last_micro = micro[i] if micro[i] is not None else last_micro
+        total = sum(r[3] for r in rows[max(0, i - 49) : i + 1])
+        out.append((trade, cvd, ofi, np.mean(known) if known else None, 1.0 if total else None, last_micro if last_micro is not None else next((m for m in micro if m is not None), None)))
+    return out
+
+
+@pytest.mark.parametrize("size", [50, 64, 100_000])
+def test_order_flow_with_ties_over_blocks(spark, size):
+    """One symbol has most rows, and many rows share their time."""
+    from tidemark.operators.flow import with_flow
+
+    rng = np.random.default_rng(6)
+    rows = [(["hot", "b"][int(rng.random() < 0.1)], int(rng.integers(0, 40)), i, float(rng.integers(90, 110)), float(rng.integers(0, 4)), bool(rng.random() < 0.5), float(rng.integers(90, 110)), float(rng.integers(0, 3)), float(rng.integers(90, 110)), float(rng.integers(0, 3))) for i in range(700)]
+    d = spark.createDataFrame(rows, "symbol string, ts int, trade_id int, price double, quantity double, is_buyer_maker boolean, bid_price double, bid_size double, ask_price double, ask_size double").repartition(5)
+    got = with_flow(d, ["cvd", "ofi", "roll_impact", "vpin", "microprice"], rows=size).collect()
+    assert len(got) == 700
+    for s in ("hot", "b"):
+        want = brute_flow([r[1:] for r in rows if r[0] == s])
+        mine = {r.trade_id: (r.cvd, r.ofi, r.roll_impact, r.vpin, r.microprice) for r in got if r.symbol == s}
+        for trade, *values in want:
+            assert mine[trade] == pytest.approx(tuple(values), abs=1e-9)
+
+
+def test_candles_and_asof_joins_of_equal_times(spark):
+    from datetime import datetime
+
+    from tidemark.operators.candles import trades_to_candles
+    from tidemark.operators.joins import asof_backward
+
+    t = datetime(2024, 1, 1)
+    rows = [("A", t, i, float((i * 7) % 11), 1.0, False) for i in range(20)]
+    c = trades_to_candles(spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, trade_id int, price double, quantity double, is_buyer_maker boolean").repartition(7), 60).first()
+    assert (c.open, c.close) == (0.0, float(19 * 7 % 11))
+    right = spark.createDataFrame([("A", t, i, float(i % 5)) for i in range(13)], "symbol string, ts timestamp_ntz, id int, v double").repartition(5)
+    left = spark.createDataFrame([("A", t), ("A", datetime(2024, 1, 9))], "symbol string, ts timestamp_ntz")
+    assert [r.v for r in asof_backward(left, right, ["v"], ties=("id",)).collect()] == [2.0, 2.0]
+    assert [r.v for r in asof_backward(left, right, ["v"]).collect()] == [4.0, 4.0]

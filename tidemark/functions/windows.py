@@ -38,10 +38,6 @@ def so_far() -> WindowSpec:
     return by_time().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def to_come() -> WindowSpec:
-    return by_time().rowsBetween(0, Window.unboundedFollowing)
-
-
 def last_rows(n: int) -> WindowSpec:
     return by_time().rowsBetween(1 - n, 0)
 
@@ -154,15 +150,15 @@ def drawdown(x: str) -> Column:
     return (F.col(x) - top) / F.nullif(top, F.lit(0.0))
 
 
-def cvd() -> Column:
-    return F.sum(F.when(F.col("is_buyer_maker"), -F.col("quantity")).otherwise(F.col("quantity"))).over(so_far())
+def signed_quantity() -> Column:
+    """What a trade adds to the cumulative volume delta."""
+    return F.when(F.col("is_buyer_maker"), -F.col("quantity")).otherwise(F.col("quantity"))
 
 
-def with_ofi(df: DataFrame) -> DataFrame:
-    """Order-flow imbalance: changes of size on the side whose price holds or improves, summed up."""
+def ofi_step() -> Column:
+    """What a row adds to the order-flow imbalance: changes of size on the side whose price holds or improves."""
     d = lambda c: _zero(F.col(c) - lag(c))
-    step = F.when(d("bid_price") >= 0, d("bid_size")).otherwise(0.0) - F.when(d("ask_price") <= 0, d("ask_size")).otherwise(0.0)
-    return df.withColumn("_s", step).withColumn("ofi", F.sum("_s").over(so_far())).drop("_s")
+    return F.when(d("bid_price") >= 0, d("bid_size")).otherwise(0.0) - F.when(d("ask_price") <= 0, d("ask_size")).otherwise(0.0)
 
 
 def imbalance(level: int) -> Column:
@@ -170,20 +166,14 @@ def imbalance(level: int) -> Column:
     return _zero((b - a) / F.nullif(b + a, F.lit(0.0)))
 
 
-def with_microprice(df: DataFrame) -> DataFrame:
-    """The price weighted by the other side's size; without sizes the last one, and before any the first.
-
-    Rows that nothing comes before all get the series' first value: a frame that is the whole series finds it once, where one that begins
-    at each row would go through the rest of the series again for every row.
-    """
-    raw = (F.col("bid_price") * F.col("ask_size") + F.col("ask_price") * F.col("bid_size")) / F.nullif(F.col("bid_size") + F.col("ask_size"), F.lit(0.0))
-    first = F.first("_m", ignorenulls=True).over(by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("_m", raw).withColumn("microprice", F.coalesce(F.last("_m", ignorenulls=True).over(so_far()), first)).drop("_m")
+def raw_microprice() -> Column:
+    """The price weighted by the other side's size; null without sizes."""
+    return (F.col("bid_price") * F.col("ask_size") + F.col("ask_price") * F.col("bid_size")) / F.nullif(F.col("bid_size") + F.col("ask_size"), F.lit(0.0))
 
 
 def with_roll_impact(df: DataFrame, n: int = 50) -> DataFrame:
     step = F.abs(F.col("price") - lag("price")) / F.nullif(F.col("quantity"), F.lit(0.0))
-    return df.withColumn("_i", step).withColumn("roll_impact", F.avg("_i").over(last_rows(n))).drop("_i")
+    return df.withColumn("_impact", step).withColumn("roll_impact", F.avg("_impact").over(last_rows(n))).drop("_impact")
 
 
 def vpin(n: int = 50) -> Column:

@@ -15,12 +15,17 @@ def bucket(ts: str, seconds: int):
     return F.window(ts, f"{seconds} seconds").start
 
 
+def trade_order(trades: DataFrame):
+    """What open and close go by: time, and among trades of one time the trade id, where there is one."""
+    return F.struct("ts", "trade_id") if "trade_id" in trades.columns else F.col("ts")
+
+
 def trades_to_candles(trades: DataFrame, seconds: int) -> DataFrame:
-    """One bar for each symbol and bucket that has trades. Open and close follow event time; taker buys are those whose buyer isn't the maker."""
+    """One bar for each symbol and bucket that has trades. Open and close follow event time and trade id; taker buys are those whose buyer isn't the maker."""
     taker = lambda x: F.sum(F.when(~F.col("is_buyer_maker"), x).otherwise(0.0))
-    quote = F.col("price") * F.col("quantity")
+    quote, at = F.col("price") * F.col("quantity"), trade_order(trades)
     out = trades.groupBy("symbol", bucket("ts", seconds).alias("ts")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("quantity").alias("volume"),
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("quantity").alias("volume"),
         F.sum(quote).alias("quote_volume"), F.count("*").alias("trades"), taker(F.col("quantity")).alias("taker_buy_volume"), taker(quote).alias("taker_buy_quote"),
     )
     return out.withColumn("close_time", F.col("ts") + F.expr(f"interval {seconds} seconds") - F.expr("interval 1 millisecond"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
+from tidemark.operators.flow import with_flow
 from tidemark.operators.folds import with_folds
 from tidemark.operators.joins import exact_then_forward, floor_bucket
 
@@ -23,24 +24,21 @@ CROSS = ("open", "high", "low", "close", "volume", "hl_range")
 
 
 def order_flow(trades: DataFrame, book: DataFrame | None, seconds: int) -> DataFrame:
-    """Order-flow columns of the tape and the book, the last values of each bucket, at the bucket's start: symbol, ts and ORDER_FLOW.
+    """Order-flow columns of the tape and the book, those of the last row of each bucket, at the bucket's start: symbol, ts and ORDER_FLOW.
 
-    Without a book the tape's rows carry it, and one sort serves both. Rows of one time follow each other by trade id, where there is one;
-    of those at a bucket's last time, the first has the bucket's values.
+    Without a book the tape's rows carry it, and one sort serves both. Rows of one time follow each other by trade id.
     """
 
     def last(df: DataFrame, cols: list[str]) -> DataFrame:
-        latest = F.struct("ts.ts", F.bitwise_not("ts.trade_id")) if "trade_id" in df.columns else F.col("ts")
-        at = F.col("ts.ts") if "trade_id" in df.columns else F.col("ts")
-        return df.withColumn("_l", latest).withColumn("ts", at).groupBy("symbol", F.window("ts", f"{seconds} seconds").start.alias("ts")).agg(*[F.max_by(c, "_l").alias(c) for c in cols])
+        return df.groupBy("symbol", F.window("ts", f"{seconds} seconds").start.alias("ts")).agg(*[F.max_by(c, "_i").alias(c) for c in cols])
 
-    of_tape = lambda df: X.with_roll_impact(df).withColumns({"cvd": X.cvd(), "vpin": X.vpin()}).fillna(0.0, subset=["roll_impact", "vpin"])
-    of_book = lambda df: X.with_microprice(X.with_ofi(df)).withColumns({f"imbalance_{k}": X.imbalance(k) for k in (1, 5, 10)})
-    ordered = lambda df: df.withColumn("ts", F.struct("ts", "trade_id")) if "trade_id" in df.columns else df
+    filled = lambda df: df.fillna(0.0, subset=["roll_impact", "vpin"])
+    levels = lambda df: df.withColumns({f"imbalance_{k}": X.imbalance(k) for k in (1, 5, 10)})
     if book is None:
-        return last(of_book(of_tape(ordered(trades))), ORDER_FLOW).select("symbol", "ts", *ORDER_FLOW)
-    tape = last(of_tape(ordered(trades)), ["cvd", "roll_impact", "vpin"])
-    depth = last(of_book(ordered(book)), ["ofi", "microprice", "imbalance_1", "imbalance_5", "imbalance_10"])
+        flow = filled(with_flow(trades, ["cvd", "ofi", "microprice", "roll_impact", "vpin"], keep_place=True))
+        return last(levels(flow), ORDER_FLOW).select("symbol", "ts", *ORDER_FLOW)
+    tape = last(filled(with_flow(trades, ["cvd", "roll_impact", "vpin"], keep_place=True)), ["cvd", "roll_impact", "vpin"])
+    depth = last(levels(with_flow(book, ["ofi", "microprice"], keep_place=True)), ["ofi", "microprice", "imbalance_1", "imbalance_5", "imbalance_10"])
     return tape.join(depth, ["symbol", "ts"], "full").select("symbol", "ts", *ORDER_FLOW)
 
 

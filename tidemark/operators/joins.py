@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 BUCKET = 86400
 
 
-def asof_backward(left: DataFrame, right: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol",), fill: float | None = None, bucket: int = BUCKET) -> DataFrame:
-    """Each left row with the right columns of the last right row at or before its ts.
+def asof_backward(left: DataFrame, right: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol",), fill: float | None = None, bucket: int = BUCKET, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Each left row with the right columns of the last right row at or before its ts; of right rows of one time, the last by the columns
+    named in `ties` (then by the values themselves).
 
     The two sides are united and sorted once within buckets of time, so that a key with very many rows is spread over tasks; the last
     right row is carried forward, its nulls with it. Rows that precede every right row of their bucket take the last one of the buckets
@@ -19,12 +20,13 @@ def asof_backward(left: DataFrame, right: DataFrame, columns: list[str], keys: t
     """
     kind = f"struct<{', '.join(f'{c}:{dict(right.dtypes)[c]}' for c in columns)}>"
     at = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket)
-    both = left.withColumns({"_side": F.lit(1), "_r": F.lit(None).cast(kind)})
-    marked = right.select(*keys, "ts", F.lit(0).alias("_side"), F.struct(*columns).alias("_r"))
+    order = f"struct<{', '.join(f't{i}:{dict(right.dtypes)[c]}' for i, c in enumerate((*ties, *columns)))}>"
+    both = left.withColumns({"_side": F.lit(1), "_r": F.lit(None).cast(kind), "_o": F.lit(None).cast(order)})
+    marked = right.select(*keys, "ts", F.lit(0).alias("_side"), F.struct(*columns).alias("_r"), F.struct(*[F.col(c).alias(f"t{i}") for i, c in enumerate((*ties, *columns))]).alias("_o"))
     rows = both.unionByName(marked, allowMissingColumns=True).withColumn("_b", at)
-    inside = Window.partitionBy(*keys, "_b").orderBy("ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_b").orderBy("ts", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
     here = rows.withColumn("_r", F.last("_r", ignorenulls=True).over(inside)).where("_side = 1")
-    ends = marked.withColumn("_b", at).groupBy(*keys, "_b").agg(F.max_by("_r", "ts").alias("_r"))
+    ends = marked.withColumn("_b", at).groupBy(*keys, "_b").agg(F.max_by("_r", F.struct("ts", "_o")).alias("_r"))
     spans = ends.unionByName(left.select(*keys, at.alias("_b")).distinct().withColumn("_r", F.lit(None).cast(kind))).groupBy(*keys, "_b").agg(F.first("_r", ignorenulls=True).alias("_r"))
     before = spans.select(*keys, "_b", F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_p"))
     out = here.join(before, [*keys, "_b"], "left").withColumn("_r", F.coalesce("_r", "_p"))

@@ -8,10 +8,11 @@ from tidemark.schema import SESSIONS, VOL_BUCKETS
 
 SPANS = (12, 26, 50, 200, 21, 55)
 _BY = "PARTITION BY symbol ORDER BY ts"
+_TAPE = "PARTITION BY symbol ORDER BY ts, trade_id"
 
 
-def _last(n: int) -> str:
-    return f"OVER ({_BY} ROWS {n - 1} PRECEDING)"
+def _last(n: int, by: str = _BY) -> str:
+    return f"OVER ({by} ROWS {n - 1} PRECEDING)"
 
 
 def _z(x: str, n: int, least: int = 2) -> str:
@@ -37,14 +38,14 @@ first_atr AS (SELECT symbol AS s, w / wd AS y FROM k WHERE i = 14)"""
 
 def _flow() -> str:
     b = "bid_price, bid_size, ask_price, ask_size"
-    t = f"OVER ({_BY})"
+    t = f"OVER ({_TAPE})"
     levels = ", ".join(f"coalesce((quantity * {n} - (ask_size + {n})) / nullif(quantity * {n} + ask_size + {n}, 0), 0) AS imbalance_{n}" for n in (1, 5, 10))
-    return f"""b0 AS (SELECT symbol, ts, price, quantity, is_buyer_maker, price - 0.05 AS bid_price, price + 0.05 AS ask_price, quantity AS bid_size, CAST(1 + user_id % 50 AS DOUBLE) AS ask_size FROM t),
+    return f"""b0 AS (SELECT symbol, ts, trade_id, price, quantity, is_buyer_maker, price - 0.05 AS bid_price, price + 0.05 AS ask_price, quantity AS bid_size, CAST(1 + user_id % 50 AS DOUBLE) AS ask_size FROM t),
 b1 AS (SELECT *, CASE WHEN coalesce(bid_price - lag(bid_price) {t}, 0) >= 0 THEN coalesce(bid_size - lag(bid_size) {t}, 0) ELSE 0 END - CASE WHEN coalesce(ask_price - lag(ask_price) {t}, 0) <= 0 THEN coalesce(ask_size - lag(ask_size) {t}, 0) ELSE 0 END AS step,
   abs(price - lag(price) {t}) / nullif(quantity, 0) AS impact FROM b0),
-b2 AS (SELECT symbol, ts, sum(CASE WHEN is_buyer_maker THEN -quantity ELSE quantity END) OVER ({_BY} ROWS UNBOUNDED PRECEDING) AS cvd, sum(step) OVER ({_BY} ROWS UNBOUNDED PRECEDING) AS ofi, (bid_price * ask_size + ask_price * bid_size) / (bid_size + ask_size) AS microprice,
-  coalesce(avg(impact) {_last(50)}, 0) AS roll_impact, coalesce(sum(abs(quantity)) {_last(50)} / nullif(sum(quantity) {_last(50)}, 0), 0) AS vpin, {levels} FROM b1),
-f AS (SELECT symbol AS fs, time_bucket(INTERVAL 1 hour, ts, TIMESTAMP '1970-01-01') AS ft, {", ".join(f"arg_max({c}, ts) AS {c}" for c in ORDER_FLOW)} FROM b2 GROUP BY 1, 2)"""
+b2 AS (SELECT symbol, ts, trade_id, sum(CASE WHEN is_buyer_maker THEN -quantity ELSE quantity END) OVER ({_TAPE} ROWS UNBOUNDED PRECEDING) AS cvd, sum(step) OVER ({_TAPE} ROWS UNBOUNDED PRECEDING) AS ofi, (bid_price * ask_size + ask_price * bid_size) / (bid_size + ask_size) AS microprice,
+  coalesce(avg(impact) {_last(50, _TAPE)}, 0) AS roll_impact, coalesce(sum(abs(quantity)) {_last(50, _TAPE)} / nullif(sum(quantity) {_last(50, _TAPE)}, 0), 0) AS vpin, {levels} FROM b1),
+f AS (SELECT symbol AS fs, time_bucket(INTERVAL 1 hour, ts, TIMESTAMP '1970-01-01') AS ft, {", ".join(f"last({c} ORDER BY ts, trade_id) AS {c}" for c in ORDER_FLOW)} FROM b2 GROUP BY 1, 2)"""
 
 
 def feature_sql(horizons: tuple[int, ...] = (5, 15), fee_bp: float = 7.0) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as X
 from tidemark.operators import candles as K
+from tidemark.operators.flow import filled_backward, filled_forward, with_flow
 from tidemark.plans.registry import TICKS, query, rounded, with_candles
 from tidemark.sources.tables import book, candles, trades
 
@@ -34,7 +35,8 @@ def steps(name: str, f: Callable[[DataFrame], DataFrame], out: str, inner: str,
 
 
 def tape(name: str, f: Callable[[DataFrame], DataFrame], out: str, sql: str, digits: int = 6, source: str = "t", more: str = "", of=trades) -> None:
-    query(name, f"WITH {TICKS}{more} SELECT symbol, trade_id, round({sql}, {digits}) + 0.0 AS {out} FROM {source} {W}")(lambda spark, d: rounded(f(of(spark, d)).select("symbol", "trade_id", F.col(out).cast("double").alias(out)), digits))
+    twin = f"WITH {TICKS}{more} SELECT symbol, trade_id, round({sql}, {digits}) + 0.0 AS {out} FROM {source} {W}"
+    query(name, twin.replace("ORDER BY ts", "ORDER BY ts, trade_id"))(lambda spark, d: rounded(f(of(spark, d)).select("symbol", "trade_id", F.col(out).cast("double").alias(out)), digits))
 
 
 LR = "ln(close / nullif(lag(close) OVER w, 0))"
@@ -79,8 +81,8 @@ steps("win_target", lambda df: df.withColumn("fee_buffer", X.fee_buffer()).withC
 bars("win_stream_features", lambda: {"ret": X.pct_change(), "momentum": F.coalesce(F.col("close") - X.lag("close"), F.lit(0.0)), "hl_range": F.col("high") - F.col("low")}, {"ret": "coalesce(close / nullif(lag(close) OVER w, 0) - 1, 0)", "momentum": "coalesce(close - lag(close) OVER w, 0)", "hl_range": "high - low"})
 
 _SPARSE = "CASE WHEN trades > 1 THEN close END"
-steps("win_ffill", lambda df: df.withColumn("y", F.expr(_SPARSE)).withColumn("filled", F.last("y", ignorenulls=True).over(X.so_far())), "filled", _SPARSE, "last_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)")
-steps("win_bfill", lambda df: df.withColumn("y", F.expr(_SPARSE)).withColumn("filled", F.first("y", ignorenulls=True).over(X.to_come())), "filled", _SPARSE, "first_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
+steps("win_ffill", lambda df: filled_forward(df.withColumn("y", F.expr(_SPARSE)), "y"), "filled", _SPARSE, "last_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)")
+steps("win_bfill", lambda df: filled_backward(df.withColumn("y", F.expr(_SPARSE)), "y"), "filled", _SPARSE, "first_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
 _FILL5 = "last_value(y IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)"
 query("win_fill_limit", with_candles("SELECT symbol, ts, round(coalesce(z, first_value(z IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)), 6) + 0.0 AS filled FROM z", more=f"y AS (SELECT *, {_SPARSE} AS y FROM c), z AS (SELECT *, {_FILL5} AS z FROM y)"))(
     lambda spark, d: rounded(X.fill_limited(candles(spark, d).withColumn("filled", F.expr(_SPARSE)), ["filled"]).select("symbol", "ts", "filled"))
@@ -89,16 +91,16 @@ query("filter_complete_rows", with_candles("SELECT symbol, ts, round(y2, 8) + 0.
     lambda spark, d: rounded(X.complete_rows(candles(spark, d).withColumn("logret", X.log_return(p=15)), ["logret"]).select("symbol", "ts", "logret"), 8)
 )
 
-tape("win_cvd", lambda df: df.withColumn("cvd", X.cvd()), "cvd", "sum(CASE WHEN is_buyer_maker THEN -quantity ELSE quantity END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)")
-tape("win_roll_impact", X.with_roll_impact, "roll_impact", f"avg(y) {rows(50)}", source="i", more=f", i AS (SELECT *, abs(price - lag(price) OVER w) / nullif(quantity, 0) AS y FROM t {W})")
-tape("win_vpin", lambda df: df.withColumn("vpin", X.vpin()), "vpin", f"sum(abs(quantity)) {rows(50)} / nullif(sum(quantity) {rows(50)}, 0)")
+tape("win_cvd", lambda df: with_flow(df, ["cvd"]), "cvd", "sum(CASE WHEN is_buyer_maker THEN -quantity ELSE quantity END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)")
+tape("win_roll_impact", lambda df: with_flow(df, ["roll_impact"]), "roll_impact", f"avg(y) {rows(50)}", source="i", more=f", i AS (SELECT *, abs(price - lag(price) OVER w) / nullif(quantity, 0) AS y FROM t {W})")
+tape("win_vpin", lambda df: with_flow(df, ["vpin"]), "vpin", f"sum(abs(quantity)) {rows(50)} / nullif(sum(quantity) {rows(50)}, 0)")
 _BOOK = ", b AS (SELECT *, quantity AS bid_size, CAST(1 + user_id % 50 AS DOUBLE) AS ask_size, price - 0.05 AS bid_price, price + 0.05 AS ask_price FROM t)"
 _D = lambda c: f"coalesce({c} - lag({c}) OVER w, 0)"
-tape("win_ofi", X.with_ofi, "ofi", "sum(y) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)", source="s", of=book,
+tape("win_ofi", lambda df: with_flow(df, ["ofi"]), "ofi", "sum(y) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)", source="s", of=book,
      more=f"{_BOOK}, s AS (SELECT *, CASE WHEN {_D('bid_price')} >= 0 THEN {_D('bid_size')} ELSE 0 END - CASE WHEN {_D('ask_price')} <= 0 THEN {_D('ask_size')} ELSE 0 END AS y FROM b {W})")
 for _l in (1, 5, 10):
     tape("win_imbalance" if _l == 1 else f"win_imbalance_{_l}", lambda df, k=_l: df.withColumn("imbalance", X.imbalance(k)), "imbalance", f"coalesce((bid_size * {_l} - (ask_size + {_l})) / nullif(bid_size * {_l} + ask_size + {_l}, 0), 0)", source="b", of=book, more=_BOOK)
-tape("win_microprice", X.with_microprice, "microprice", "(bid_price * ask_size + ask_price * bid_size) / nullif(bid_size + ask_size, 0)", 10, source="b", of=book, more=_BOOK)
+tape("win_microprice", lambda df: with_flow(df, ["microprice"]), "microprice", "(bid_price * ask_size + ask_price * bid_size) / nullif(bid_size + ask_size, 0)", 10, source="b", of=book, more=_BOOK)
 
 query("win_gap_segments", with_candles(f"SELECT symbol, ts + INTERVAL 1 hour AS gap_start, n - INTERVAL 1 hour AS gap_end FROM (SELECT symbol, ts, lead(ts) OVER w AS n FROM f {W}) WHERE n > ts + INTERVAL 1 hour", more="""f AS (
   SELECT symbol, ts FROM c WHERE ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' UNION ALL

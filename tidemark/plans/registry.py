@@ -16,7 +16,7 @@ TICKS = """t AS (SELECT event_type AS symbol, ts, 100 + value AS price, CAST(1 +
 
 
 def candles_sql(interval: str = "1 hour", name: str = "c") -> str:
-    return f"""{name} AS (SELECT symbol, time_bucket(INTERVAL '{interval}', ts, TIMESTAMP '1970-01-01') AS ts, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close,
+    return f"""{name} AS (SELECT symbol, time_bucket(INTERVAL '{interval}', ts, TIMESTAMP '1970-01-01') AS ts, first(price ORDER BY ts, trade_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY ts, trade_id) AS close,
   sum(quantity) AS volume, sum(price * quantity) AS quote_volume, count(*) AS trades, sum(CASE WHEN is_buyer_maker THEN 0.0 ELSE quantity END) AS taker_buy_volume,
   sum(CASE WHEN is_buyer_maker THEN 0.0 ELSE price * quantity END) AS taker_buy_quote,
   time_bucket(INTERVAL '{interval}', ts, TIMESTAMP '1970-01-01') + INTERVAL '{interval}' - INTERVAL '1 millisecond' AS close_time FROM t GROUP BY 1, 2, 12)"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.candles import trade_order
 from tidemark.session import scratch
 from tidemark.sources.tables import trades
 
@@ -23,8 +24,9 @@ def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tumbling_candles(ticks: DataFrame, seconds: int, delay: str = "0 seconds") -> DataFrame:
     """Bars in append mode: a bar comes out once the watermark passes its end; ticks behind it are dropped."""
     taker = lambda x: F.sum(F.when(~F.col("is_buyer_maker"), x).otherwise(0.0))
+    at = trade_order(ticks)
     g = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", f"{seconds} seconds").alias("w")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("quantity").alias("volume"), F.count("*").alias("trades"), taker(F.col("quantity")).alias("taker_buy_volume"),
+        F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("quantity").alias("volume"), F.count("*").alias("trades"), taker(F.col("quantity")).alias("taker_buy_volume"),
     )
     return g.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "trades", "taker_buy_volume")
 
