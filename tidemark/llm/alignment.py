@@ -14,12 +14,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections import Counter, defaultdict
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,10 +32,11 @@ from tidemark.llm.bpe import byte_letters
 from tidemark.llm.common import by_bytes, cut, discard, pick
 
 #: Characters of a chunk; a longer text is a chunk of its own.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 24_000_000
+#: Bits of the number that a chunk or a block has within its partition.
 CHUNK_BITS = 28
-#: Segments that go to the tokenizers at once.
-BATCH = 4096
+#: Segments that go to the tokenizers at once, and those of a block, whose id pairs are counted together.
+BATCH, BLOCK_SEGMENTS = 4096, 131_072
 SPACE, MARK = " ", "▁"
 #: White space by any of the tokenizers' definitions.
 WHITE = r"\s᠎"
@@ -56,12 +59,12 @@ class Pair:
             spec = json.load(f)
         back = {c: b for b, c in byte_letters().items()}
         vocab = spec["model"]["vocab"]
-        self.a_size = [0] * (max(self.a.get_vocab(with_added_tokens=True).values()) + 1)
+        self.a_size = np.zeros(max(self.a.get_vocab(with_added_tokens=True).values()) + 1, np.int64)
         for t, i in self.a.get_vocab(with_added_tokens=True).items():
             self.a_size[i] = len(t)  # a letter for each byte
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, SPACE).encode() for i, p in enumerate(pieces)]
-        self.b_size = [len(x) for x in self.b_bytes]
+        self.b_size = np.asarray([len(x) for x in self.b_bytes], np.int64)
         self.space = [self.b.piece_to_id(MARK)]
         plain = [p.replace(MARK, SPACE) for i, p in enumerate(pieces) if not self.b.is_byte(i)]
         a_tokens = [bytes([back[c] for c in t]).decode("utf-8", "replace") for t in vocab if all(c in back for c in t)]
@@ -73,7 +76,7 @@ class Pair:
         self.pattern = re.compile(rf"(?<=[^{WHITE}])(?=[{self.cuts}])") if self.cuts else None
         #: the same for texts without other white space, and faster
         self.simple = re.compile(r"[ \n]+[^ \n]+|[ \n]+") if self.cuts == " \n" else None
-        self.other = re.compile(rf"[^\S \n]|[\x1c-\x1f᠎]")
+        self.other = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     @staticmethod
     def safe(c: str, tokens: list[str]) -> bool:
@@ -92,43 +95,59 @@ class Pair:
         return self.pattern.split(s) if self.pattern else [s]
 
     def encode(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """ids of both. The second tokenizer puts a space first: segments that begin with one go without it; to others it adds a token of
-        its own, which no piece joins with a line end, and which is taken off."""
+        """ids of both, segment by segment. The second tokenizer puts a space first: segments that begin with one go without it; to others
+        it adds a token of its own, which no piece joins with a line end, and which is taken off."""
         a = [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         b = self.b.encode([s[1:] if s[0] == SPACE else s for s in segments], num_threads=1)
         # a segment of one space leaves nothing to encode; it is the mark by itself
         return a, [self.space if s == SPACE else x if s[0] == SPACE else x[1:] for s, x in zip(segments, b)]
 
-    def align(self, segment: str, a: list[int], b: list[int]) -> tuple[bool, int, int, str, list[tuple[int, int]]]:
-        """(whole, n_groups, n_links, groups, links) of a segment."""
-        if self.joined(b) != segment.encode():
-            return False, 0, 0, "", []
-        sa, sb = self.a_size, self.b_size
-        if len(a) == 1:
-            links = [(a[0], y) for y in b]
-            return True, 1, len(b), f"{a[0]}|{','.join(map(str, b))}", links
-        if len(b) == 1:
-            links = [(x, b[0]) for x in a]
-            return True, 1, len(a), f"{','.join(map(str, a))}|{b[0]}", links
-        groups, links = [], []
-        i = j = from_i = from_j = 0
-        end_a, end_b = sa[a[0]], sb[b[0]]
-        while True:
-            links.append((a[i], b[j]))
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[from_i : i + 1]))}|{','.join(map(str, b[from_j : j + 1]))}")
-                i, j = i + 1, j + 1
-                if i == len(a):
-                    break
-                from_i, from_j = i, j
-                end_a, end_b = end_a + sa[a[i]], end_b + sb[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += sa[a[i]]
-            else:
-                j += 1
-                end_b += sb[b[j]]
-        return True, len(groups), len(links), ";".join(groups), links
+    def encode_joined(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """ids of both for segments of which none but the last ends in white space, as one text: they were cut where nothing merges across.
+        None if the second one's tokens do not give the bytes back."""
+        text = "".join(segments)
+        if text[0] != SPACE or len(text) < 2:
+            a, b = self.encode(segments)
+            a, b = [i for x in a for i in x], [i for x in b for i in x]
+        else:
+            a, b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        return (np.asarray(a, np.int64), np.asarray(b, np.int64)) if self.joined(b) == text.encode() else None
+
+    def align(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+        """(whole, n_a, groups, links, n_links) of every segment; links are a * 2**32 + b, those of the first segment first. Whole: the
+        second tokenizer's tokens give its bytes back; only then it has tokens."""
+        whole = np.ones(len(segments), bool)
+        loose = [k for k, s in enumerate(segments) if s[-1].isspace() or s[-1] == "\u180e"]
+        tight = [k for k in range(len(segments)) if k not in set(loose)] if loose else list(range(len(segments)))
+        ids: list = [None] * len(segments)
+        got = self.encode_joined([segments[k] for k in tight]) if tight else None
+        if got is None:
+            loose, tight = list(range(len(segments))), []
+        for k, a, b in zip(loose, *self.encode([segments[k] for k in loose])):
+            whole[k] = self.joined(b) == segments[k].encode()
+            ids[k] = (a, b) if whole[k] else ([], [])
+        order = [*tight, *[k for k in loose if whole[k]]]
+        none = np.empty(0, np.int64)
+        a = np.concatenate([got[0] if tight else none, *[np.asarray(ids[k][0], np.int64) for k in loose if whole[k]]])
+        b = np.concatenate([got[1] if tight else none, *[np.asarray(ids[k][1], np.int64) for k in loose if whole[k]]])
+        ends = np.cumsum([len(segments[k].encode()) for k in order])
+        end_a, end_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        common = np.intersect1d(end_a, end_b, assume_unique=True)
+        every = np.union1d(end_a, end_b)  # a pair of tokens overlaps in one stretch, which one of these ends
+        links = a[np.searchsorted(end_a, every)] << 32 | b[np.searchsorted(end_b, every)]
+        cut_at = lambda inner, outer: np.concatenate([[0], np.searchsorted(inner, outer, side="right")])
+        lists = lambda values, inner, outer: pa.ListArray.from_arrays(pa.array(cut_at(inner, outer).astype(np.int32)), values)
+        named = [pc.binary_join(lists(pa.array(x).cast(pa.string()), e, common), ",") for x, e in ((a, end_a), (b, end_b))]
+        groups = pc.binary_join(lists(pc.binary_join_element_wise(*named, "|"), common, ends), ";").cast(pa.string())
+        n_a, n_links, at = np.diff(cut_at(end_a, ends)), np.diff(cut_at(every, ends)), cut_at(every, ends)
+        if not loose:
+            return whole, n_a, groups, links, n_links
+        back = np.full(len(segments), len(order))  # the place past the last one has nothing
+        back[order] = np.arange(len(order))
+        n_a, n_links = np.append(n_a, 0)[back], np.append(n_links, 0)[back]
+        groups = pa.concat_arrays([groups, pa.array([""])]).take(pa.array(back))
+        first = np.repeat(at[back] - np.concatenate([[0], np.cumsum(n_links)[:-1]]), n_links)
+        return whole, n_a, groups, links[first + np.arange(len(first))], n_links
 
 
 @lru_cache(maxsize=2)
@@ -136,8 +155,17 @@ def pair(first: str, second: str) -> Pair:
     return Pair(first, second)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, all lowest bytes first, then the next ones, of which the upper ones are mostly zeros, compressed."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def chunked(docs: DataFrame, first: str, second: str, key: str, text: str, chunk_chars: int) -> DataFrame:
-    """Rows of two kinds: documents (chunk, key, places as little-endian unsigned 32-bit numbers) and segments (chunk, place, seg, n)."""
+    """Rows of two kinds: documents (chunk, key, places) and segments (chunk, place, seg, n)."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +196,7 @@ def chunked(docs: DataFrame, first: str, second: str, key: str, text: str, chunk
                     if len(at) * 8 <= len(used):
                         np.add.at(used, at, 1)
                 chunks.append(number)
-                made.append(at.tobytes())
+                made.append(packed(at))
                 chars += len(t or "")
                 if chars >= chunk_chars:
                     late += distinct()
@@ -185,37 +213,45 @@ def chunked(docs: DataFrame, first: str, second: str, key: str, text: str, chunk
 
 
 def aligned_segments(segs: DataFrame, first: str, second: str) -> DataFrame:
-    """Every segment with a number, both tokenizers' counts, its groups and its distinct links with their multiplicity."""
-    names = ["seg", "w", "sid", "whole", "n_a", "n_b", "n_groups", "n_links", "groups", "links"]
-    link = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("m", pa.int32())]))
+    """Rows of two kinds: segments (block, seg, whole, the first tokenizer's count, groups, links as 64-bit numbers; without tokens where
+    `whole` is false) and id pairs (block, a, b, w) with how often a block's segments hold them linked in the whole corpus."""
+    names = ["block", "seg", "whole", "n_a", "groups", "links", "a", "b", "w"]
+    types = [pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(first, second)
-        sid = TaskContext.get().partitionId() << 36
-        for whole in batches:
-            for k in range(0, whole.num_rows, BATCH):
-                b = whole.slice(k, BATCH)
-                text = b.column(0).to_pylist()
-                ids_a, ids_b = p.encode(text)
-                got = [p.align(s, x, y) for s, x, y in zip(text, ids_a, ids_b)]
-                offsets, la, lb, lm = [0], [], [], []
-                for g in got:
-                    links = g[4]
-                    if len(links) > 1 and len(set(links)) < len(links):
-                        for (x, y), m in Counter(links).items():
-                            la.append(x), lb.append(y), lm.append(m)
-                    else:
-                        for x, y in links:
-                            la.append(x), lb.append(y), lm.append(1)
-                    offsets.append(len(la))
-                made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (la, lb, lm)], names=["a", "b", "m"])).cast(link)
-                n = len(got)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(np.arange(sid, sid + n)), pa.array([g[0] for g in got]), *[pa.array(c, pa.int32()) for c in ([len(x) for x in ids_a], [len(x) for x in ids_b], [g[1] for g in got], [g[2] for g in got])], pa.array([g[3] for g in got], pa.string()), made], names=names
-                )
-                sid += n
-
-    return segs.mapInArrow(run, "seg string, w bigint, sid bigint, whole boolean, n_a int, n_b int, n_groups int, n_links int, groups string, links array<struct<a:int,b:int,m:int>>")
+        block, rows = TaskContext.get().partitionId() << CHUNK_BITS, 0
+        codes: list[np.ndarray] = []
+        weights: list[np.ndarray] = []
+
+        def batch(n: int, **cols: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *[cols.get(c, pa.nulls(n, t)) for c, t in zip(names[1:], types[1:])]], names=names)
+
+        def counts() -> pa.RecordBatch:
+            code, at = np.unique(np.concatenate(codes), return_inverse=True)
+            w = np.zeros(len(code), np.int64)
+            np.add.at(w, at, np.concatenate(weights))
+            codes.clear(), weights.clear()
+            return batch(len(code), a=pa.array((code >> 32).astype(np.int32)), b=pa.array((code & 0xFFFFFFFF).astype(np.int32)), w=pa.array(w))
+
+        for r in batches:
+            for k in range(0, r.num_rows, BATCH):
+                part = r.slice(k, BATCH)
+                n = part.num_rows
+                whole, n_a, groups, links, n_links = p.align(part.column(0).to_pylist())
+                ends = np.concatenate([[0], np.cumsum(n_links)]) * 8
+                packed = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(links))])
+                yield batch(n, seg=part.column(0), whole=pa.array(whole), n_a=pa.array(n_a.astype(np.int32)), groups=groups, links=packed)
+                codes.append(links)
+                weights.append(np.repeat(np.asarray(part.column(1)), n_links))
+                rows += n
+                if rows >= BLOCK_SEGMENTS:
+                    yield counts()
+                    block, rows = block + 1, 0
+        if codes:
+            yield counts()
+
+    return segs.mapInArrow(run, "block bigint, seg string, whole boolean, n_a int, groups string, links binary, a int, b int, w bigint")
 
 
 def lost_counts(docs: DataFrame, segs: DataFrame, table: DataFrame) -> DataFrame:
@@ -227,7 +263,7 @@ def lost_counts(docs: DataFrame, segs: DataFrame, table: DataFrame) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c, d, bad in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                at = np.frombuffer(d, np.uint32)
+                at = unpacked(d)
                 if np.isin(at, np.asarray(bad, np.uint32)).any():
                     place, n = np.unique(at, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), c, np.int64)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int64))], names=["chunk", "place", "less"])
@@ -236,13 +272,44 @@ def lost_counts(docs: DataFrame, segs: DataFrame, table: DataFrame) -> DataFrame
     return gone.join(segs.select("chunk", "place", "seg"), ["chunk", "place"]).groupBy("seg").agg(F.sum("less").alias("lost"))
 
 
+def lost_links(table: DataFrame, lost: DataFrame) -> DataFrame:
+    """(a, b, w) with negative w: the links in documents without tokens."""
+    gone = table.where("whole").select("seg", "links").join(lost, "seg").select("links", "lost")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            links = [np.frombuffer(x, np.int64) for x in r.column(0).to_pylist()]
+            code = np.concatenate([*links, np.empty(0, np.int64)])
+            w = -np.repeat(np.asarray(r.column(1)), [len(x) for x in links])
+            yield pa.RecordBatch.from_arrays([pa.array((code >> 32).astype(np.int32)), pa.array((code & 0xFFFFFFFF).astype(np.int32)), pa.array(w)], names=["a", "b", "w"])
+
+    return gone.mapInArrow(run, "a int, b int, w bigint")
+
+
 def pair_counts(links: DataFrame) -> DataFrame:
     """(a, b, c, best): the corpus-wide links of every id pair, and whether no other first id has more with that second id."""
-    counts = cut(links.groupBy("a", "b").agg(F.sum(F.col("w") * F.col("m")).alias("c")), "pairs")
+    counts = cut(links.groupBy("a", "b").agg(F.sum("w").alias("c")), "pairs", free=True)
     top = counts.groupBy("b").agg(F.max("c").alias("top"))
     return counts.join(top, "b").select("a", "b", "c", (F.col("c") == F.col("top")).cast("int").alias("best"))
 
 
+def valued(segs: DataFrame, worth: DataFrame) -> DataFrame:
+    """Segments with the sum of their links' counts and the number of best ones. segs: rows of `aligned_segments`; worth: (block, a, b, c,
+    best) for all pairs of a block."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        code = np.asarray(right.column("a"), np.int64) << 32 | np.asarray(right.column("b"), np.int64)
+        order = np.argsort(code)
+        code, c, best = code[order], np.asarray(right.column("c"))[order], np.asarray(right.column("best"), np.int64)[order]
+        packed = left.column("links").combine_chunks()
+        at = np.searchsorted(code, np.frombuffer(b"".join(packed.to_pylist()), np.int64))
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(packed), np.int64) // 8)])
+        sums = [np.diff(np.concatenate([[0], np.cumsum(x[at])])[ends]) for x in (c, best)]
+        return pa.table([left.column("seg"), left.column("n_a"), left.column("groups"), pa.array(sums[0]), pa.array(sums[1])], names=["seg", "n_a", "groups", "count_sum", "n_best"])
+
+    return segs.select("block", "seg", "n_a", "groups", "links").groupBy("block").cogroup(worth.groupBy("block")).applyInArrow(run, "seg string, n_a int, groups string, count_sum bigint, n_best bigint")
+
+
 def align_documents(docs: DataFrame, first: str, second: str, key: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, keep_groups: bool = False) -> DataFrame:
     """One row per document: key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (and the groups themselves, if asked for).
 
@@ -253,45 +320,45 @@ def align_documents(docs: DataFrame, first: str, second: str, key: str = "doc_id
     """
     base = pick(docs, key, text).withColumn(text, F.col(text).cast("string"))
     kind = dict(base.dtypes)[key]
-    both = cut(chunked(base, first, second, key, text, chunk_chars), "chunks", free=True)
-    rows = both.where("place is null").select("chunk", key, "doc")
-    segs = base.sparkSession.read.schema(both.schema).parquet(both._written).where("place is not null").select("chunk", "place", "seg", "n")
-    table = cut(aligned_segments(by_bytes(segs.groupBy("seg").agg(F.sum("n").alias("w"))), first, second), "segments", free=True)
-    weighed = table.where("whole")
+    chunks = cut(chunked(base, first, second, key, text, chunk_chars), "chunks", free=True, codec="zstd")
+    rows = chunks.where("place is null").select("chunk", key, "doc")
+    segs = base.sparkSession.read.schema(chunks.schema).parquet(chunks._written).where("place is not null").select("chunk", "place", "seg", "n")
+    both = cut(aligned_segments(by_bytes(segs.groupBy("seg").agg(F.sum("n").alias("w"))), first, second), "segments", free=True)
+    again = base.sparkSession.read.schema(both.schema).parquet(both._written)
+    table, counted = both.where("seg is not null"), again.where("seg is null").select("block", "a", "b", "w")
+    weighed = counted.select("a", "b", "w")
     if table.where("not whole").limit(1).count():
         lost = cut(lost_counts(rows, segs, table), "lost")
-        weighed = weighed.join(lost, "seg", "left").withColumn("w", F.col("w") - F.coalesce("lost", F.lit(0)))
-    links = weighed.where("w > 0").select("sid", "w", F.explode("links").alias("l")).select("sid", "w", "l.a", "l.b", "l.m")
-    pairs = pair_counts(links)
-    worth = links.join(pairs, ["a", "b"]).groupBy("sid").agg(F.sum(F.col("m") * F.col("c")).alias("count_sum"), F.sum(F.col("m") * F.col("best")).alias("n_best"))
-    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_best", "count_sum")]
-    valued = cut(table.drop("links", "w").join(worth, "sid", "left").select("seg", "whole", "n_a", "n_b", "n_groups", "n_links", "groups", *numbers), "valued", free=True)
-    discard(table)
-    back = segs.select("chunk", "place", "seg").join(valued, "seg").drop("seg")
+        weighed = weighed.unionByName(lost_links(table, lost))
+    pairs = cut(pair_counts(weighed), "weights", free=True)
+    worth = counted.select("block", "a", "b").join(pairs, ["a", "b"]).select("block", "a", "b", "c", "best")
+    known = cut(valued(table, worth), "known", free=True, codec="zstd")
+    discard(both)
+    back = cut(segs.select("chunk", "place", "seg").join(known, "seg").drop("seg"), "back", free=True, codec="zstd")
+    discard(known)
     names = [key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"] + ["groups"] * keep_groups
 
     def compose(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = right.num_rows
-        order = np.asarray(right.column("place"))
-        whole = np.zeros(n, bool)
-        whole[order] = np.asarray(right.column("whole"))
-        sums = np.zeros((n, 6), np.int64)
-        for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")):
-            sums[order, i] = np.asarray(right.column(c))
-        groups = [""] * n
-        for k, g in zip(order.tolist(), right.column("groups").to_pylist()):
-            groups[k] = g
+        n, text = right.num_rows, right.column("groups").combine_chunks()
+        commas, parts = (np.asarray(pc.count_substring(text, c), np.int64) for c in (",", ";"))
+        whole = np.asarray(pc.binary_length(text)) > 0
+        n_a, n_groups = np.asarray(right.column("n_a"), np.int64), np.where(whole, parts + 1, 0)
+        # a group of i and j tokens has i + j - 2 commas, and i + j - 1 pairs of them overlap
+        numbers = (n_a, commas + 2 * n_groups - n_a, n_groups, commas + n_groups, np.asarray(right.column("n_best")), np.asarray(right.column("count_sum")))
+        row = np.empty(n, np.int64)  # of a place
+        row[np.asarray(right.column("place"))] = np.arange(n)
+        sums = np.column_stack(numbers)
         made, shas, texts = np.zeros((left.num_rows, 6), np.int64), [], []
         for i, d in enumerate(left.column("doc").to_pylist()):
-            at = np.frombuffer(d, np.uint32)
+            at = row[unpacked(d)]
             if not len(at) or not whole[at].all():
                 shas.append("")
                 texts.append("")
                 continue
             made[i] = sums[at].sum(axis=0)
-            joined = ";".join(map(groups.__getitem__, at.tolist()))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), text.take(pa.array(at))), ";")[0].as_py()
             shas.append(hashlib.sha256(joined.encode()).hexdigest())
-            texts.append(joined)
+            texts.append(joined if keep_groups else "")
         return pa.table([left.column(key), *[pa.array(made[:, i]) for i in range(6)], pa.array(shas, pa.string()), *([pa.array(texts, pa.string())] if keep_groups else [])], names=names)
 
     schema = f"`{key}` {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string" + ", groups string" * keep_groups
