@@ -9,6 +9,7 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import exact_quantiles
 from tidemark.schema import SESSIONS, VOL_BUCKETS
 
 #: A deviation below this counts as none.
@@ -218,8 +219,8 @@ def trading_session() -> Column:
 
 
 def quantiles(df: DataFrame, x: str, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """The exact 0.33 and 0.66 quantiles of a whole series in _q: a row for each series."""
-    return df.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(0.33), F.lit(0.66))).alias("_q"))
+    """The exact 0.33 and 0.66 quantiles of a whole series in _q: a row for each series that has values."""
+    return exact_quantiles(df.select(*keys, x), x, (0.33, 0.66), keys)
 
 
 def with_vol_bucket(df: DataFrame, x: str = "realized_vol_60", keys: tuple[str, ...] = ("symbol",), of: DataFrame | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import boosting
 from tidemark.session import stored
 
@@ -138,9 +139,11 @@ def tail_split(df: DataFrame, fraction: float = 0.2, least: int = 50, embargo: i
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - median) / IQR with exact quantiles; an IQR of 0 counts as 1. The quantiles are one row."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns])
-    out = df.join(F.broadcast(q))
+    """(x - median) / IQR with exact quantiles; an IQR of 0 counts as 1. The quantiles are one row for each column."""
+    out = df
+    for c in columns:
+        q = exact_quantiles(df.select(c), c, (0.25, 0.5, 0.75)).withColumnRenamed("_q", f"_q_{c}")
+        out = out.join(F.broadcast(q), how="left")
     return out.withColumns({c: (F.col(c) - F.col(f"_q_{c}")[1]) / F.coalesce(F.nullif(F.col(f"_q_{c}")[2] - F.col(f"_q_{c}")[0], F.lit(0.0)), F.lit(1.0)) for c in columns}).drop(*[f"_q_{c}" for c in columns])
 
 

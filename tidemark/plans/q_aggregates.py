@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.digests import digest_parts, hexadecimal
+from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import backtest as B
 from tidemark.operators import candles as K
 from tidemark.operators import mlops as M
@@ -102,7 +104,7 @@ query("agg_per_regime", with_candles("SELECT regime, round(avg(CASE WHEN pnl > 0
     lambda spark, d: regimes(spark, d).groupBy("regime").agg(F.round(F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)), 8).alias("hit_rate"), (F.round(F.avg("pnl"), 6) + 0.0).alias("avg_trade"), F.count("*").alias("n"))
 )
 query("agg_quantile_33_66", with_candles("SELECT symbol, round(quantile_cont(close, 0.33), 6) AS q33, round(quantile_cont(close, 0.66), 6) AS q66 FROM c GROUP BY 1"))(
-    lambda spark, d: candles(spark, d).groupBy("symbol").agg(F.percentile("close", F.array(F.lit(0.33), F.lit(0.66))).alias("q")).select("symbol", F.round(F.col("q")[0], 6).alias("q33"), F.round(F.col("q")[1], 6).alias("q66"))
+    lambda spark, d: exact_quantiles(candles(spark, d), "close", (0.33, 0.66), ["symbol"]).select("symbol", F.round(F.col("_q")[0], 6).alias("q33"), F.round(F.col("_q")[1], 6).alias("q66"))
 )
 
 #: Labelled predictions: truth is the next bar's direction, the score a deterministic pseudo-probability.
@@ -158,15 +160,22 @@ query("agg_distinct_classes", with_candles("SELECT regime, dense_rank() OVER (OR
 query("agg_cache_counts", with_candles("SELECT symbol, count(*) AS bars, count(*) > 0 AS ready, min(ts) AS first_ts, max(ts) AS last_ts FROM c GROUP BY 1"))(
     lambda spark, d: candles(spark, d).groupBy("symbol").agg(F.count("*").alias("bars"), (F.count("*") > 0).alias("ready"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 )
-query("agg_folder_hash", "SELECT source AS folder, sha1(string_agg(CAST(doc_id AS VARCHAR) || ':0:' || CAST(n_chars AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR) || ':0:' || CAST(n_chars AS VARCHAR))) AS digest FROM documents GROUP BY 1")(
-    lambda spark, d: folder_digests(table(spark, d, "documents"))
-)
+def folder_sql(where: str = "") -> str:
+    limbs = " || ".join(f"lpad(lower(to_hex(CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) % 4294967296 AS BIGINT))), 8, '0')" for i in range(8))
+    return f"SELECT folder, {limbs} AS digest FROM (SELECT source AS folder, sha256(CAST(doc_id AS VARCHAR) || ':0:' || CAST(n_chars AS VARCHAR)) AS h FROM documents {where}) GROUP BY 1"
+
+
+query("agg_folder_hash", folder_sql())(lambda spark, d: folder_digests(table(spark, d, "documents")))
+
+
+def folder_parts(docs: DataFrame) -> DataFrame:
+    """Parts of the digest of each folder's `path:mtime:size` lines, which can be merged."""
+    return digest_parts(docs, {"folder": F.col("source")}, F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("0"), F.col("n_chars").cast("string")))
 
 
 def folder_digests(docs: DataFrame) -> DataFrame:
-    """A digest of each folder's sorted `path:mtime:size` lines: two levels, so that a folder's files need not meet as one list before the last step."""
-    line = F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("0"), F.col("n_chars").cast("string"))
-    return docs.groupBy(F.col("source").alias("folder")).agg(F.sha1(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary")).alias("digest"))
+    """A digest of each folder's lines whatever their order: sums of hashes, so a folder's files never meet as a list."""
+    return hexadecimal(folder_parts(docs), ["folder"])
 
 
 # limits and set operations

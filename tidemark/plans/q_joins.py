@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins as J
-from tidemark.plans.q_aggregates import REG, folder_digests, regimes
+from tidemark.plans.q_aggregates import REG, folder_digests, folder_sql, regimes
 from tidemark.plans.registry import TICKS, candles_sql, query, rounded, with_candles
 from tidemark.sources.tables import candles, predictions, table, trades
 
@@ -35,8 +35,7 @@ query("join_index_align", with_candles("SELECT symbol, ts, round(close, 6) AS cl
 query("join_predictions_map", with_candles("SELECT c.symbol, c.ts, round(p.up, 8) AS mark FROM c LEFT JOIN (SELECT symbol, ts, 1 / (1 + exp(-(close - open) / 10)) AS up FROM c WHERE trades > 1) p ON p.symbol = c.symbol AND p.ts = c.ts"))(
     lambda spark, d: rounded(candles(spark, d).select("symbol", "ts").join(predictions(spark, d).where("trades > 1").select("symbol", "ts", F.col("prob_up").alias("mark")), ["symbol", "ts"], "left"), 8)
 )
-_DIGEST = "SELECT source AS folder, sha1(string_agg(CAST(doc_id AS VARCHAR) || ':0:' || CAST(n_chars AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR) || ':0:' || CAST(n_chars AS VARCHAR))) AS digest FROM documents {} GROUP BY 1"
-query("join_hash_cdc", f"SELECT n.* FROM ({_DIGEST.format('')}) n ANTI JOIN ({_DIGEST.format('WHERE doc_id % 97 <> 5')}) o USING (folder, digest)")(
+query("join_hash_cdc", f"SELECT n.* FROM ({folder_sql()}) n ANTI JOIN ({folder_sql('WHERE doc_id % 97 <> 5')}) o USING (folder, digest)")(
     lambda spark, d: folder_digests(table(spark, d, "documents")).join(folder_digests(table(spark, d, "documents").where("doc_id % 97 <> 5")), ["folder", "digest"], "left_anti")
 )
 query("join_theta_range", with_candles("SELECT a.symbol, a.ts, count(*) AS near FROM c a JOIN c b ON a.symbol = b.symbol AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 3 hours GROUP BY ALL"))(lambda spark, d: range_count(candles(spark, d)))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.vectors import hash_embedding
 from tidemark.operators import candles as K
 from tidemark.operators import features as X
-from tidemark.plans.q_aggregates import OHLCV, folder_digests, ohlcv
+from tidemark.functions.digests import hexadecimal, merged
+from tidemark.plans.q_aggregates import OHLCV, folder_parts, folder_sql, ohlcv
 from tidemark.plans.q_folds import _ATR
 from tidemark.plans.feature_sql import feature_sql
 from tidemark.plans.registry import query, rounded, with_candles
@@ -88,8 +89,10 @@ def pipe_ingest(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).drop("embedding")
 
 
-_DIG = "SELECT source AS folder, sha1(string_agg(CAST(doc_id AS VARCHAR) || ':0:' || CAST(n_chars AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR) || ':0:' || CAST(n_chars AS VARCHAR))) AS digest FROM documents GROUP BY 1"
-query("table_ingest_registry", _DIG)(lambda spark, d: K.keep_last([folder_digests(table(spark, d, "documents").where("doc_id % 2 = 0")), folder_digests(table(spark, d, "documents"))], ("folder",)))
+query("table_ingest_registry", folder_sql())(
+    # what the registry holds of the even half takes in the other half's lines: no line is read twice
+    lambda spark, d: hexadecimal(merged([folder_parts(table(spark, d, "documents").where("doc_id % 2 = 0")), folder_parts(table(spark, d, "documents").where("doc_id % 2 <> 0"))], ["folder"]), ["folder"])
+)
 query("table_progress", "SELECT o_orderdate AS day, o_orderpriority AS tf, max(o_orderkey) AS last_key, count(*) AS n FROM orders GROUP BY ALL")(
     lambda spark, d: (lambda o: K.keep_last([o.where("o_orderkey % 2 = 0").groupBy(F.col("o_orderdate").alias("day"), F.col("o_orderpriority").alias("tf")).agg(F.max("o_orderkey").alias("last_key"), F.count("*").alias("n")), o.groupBy(F.col("o_orderdate").alias("day"), F.col("o_orderpriority").alias("tf")).agg(F.max("o_orderkey").alias("last_key"), F.count("*").alias("n"))], ("day", "tf")))(table(spark, d, "orders"))
 )
