@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.blocks import BLOCK_ROWS, carried, haloed, in_block, placed
+
 MINUTES_A_YEAR = 525600
 
 
@@ -30,61 +30,55 @@ def execution_price(price: Column, direction: Column, spread: Column, slippage:
     return price + direction * (spread / 2 + slippage) + direction * fee
 
 
-def run_series(pdf: pd.DataFrame, c: Costs) -> pd.DataFrame:
-    """One series through the bar loop; rows of kind 'equity' (ts, equity) and 'trade' (entry, exit, side, size, prices, pnl)."""
-    pdf = pdf.sort_values("ts", kind="stable")
-    slip = dict(c.slip)
-    queue, cash, side, size, entry, entry_ts = [], c.start, 0, 0.0, 0.0, None
-    out: list[tuple] = []
-    for r in pdf.itertuples():
-        want = {"long": 1, "short": -1}.get(r.side, 0)
-        queue.append([c.latency_bars, want, r.size])
-        ready = [q for q in queue if q[0] <= 0]
-        queue = [[q[0] - 1, q[1], q[2]] for q in queue if q[0] > 0]
-        if ready:
-            _, want, amount = ready[-1]
-            fill = min(c.max_fill, 1.0, r.volume / r.avg_volume if r.avg_volume and r.avg_volume > 0 and r.volume else 1.0)
-            slippage = r.spread * slip.get(r.bucket, slip["med"]) * min(1.0, abs(r.size) / max(r.volume or 1.0, 1e-6))
-            taker = abs(r.pred_conf - 0.5) > 0.1
-            price = lambda d, t=taker: r.close + d * (r.spread / 2 + slippage) + d * r.close * (c.taker_bp if t else -c.maker_bp) / 10000  # noqa: B023, E731
-            if want == side:
-                size = amount * fill if side else 0.0
-            else:
-                if side:
-                    px = price(-side, True)
-                    pnl = side * (px - entry) * size
-                    cash += pnl
-                    out.append((r.symbol, "trade", entry_ts, r.ts, "long" if side > 0 else "short", size, entry, px, pnl, None))
-                side, size = want, amount * fill if want else 0.0
-                entry, entry_ts = (price(want), r.ts) if want else (0.0, None)
-            if side:
-                cash -= abs(size) * r.close * c.funding_bp / 10000
-        out.append((r.symbol, "equity", r.ts, r.ts, None, None, None, None, None, cash + side * (r.close - entry) * size))
-    return pd.DataFrame(out, columns=["symbol", "kind", "entry_time", "exit_time", "side", "size", "entry_price", "exit_price", "pnl", "equity"])
-
-
-SCHEMA = "symbol string, kind string, entry_time timestamp_ntz, exit_time timestamp_ntz, side string, size double, entry_price double, exit_price double, pnl double, equity double"
-
-
-def backtest(rows: DataFrame, c: Costs = Costs()) -> DataFrame:
-    """Trades and equity of each symbol in one frame. rows: symbol, ts, high, low, close, volume, side, size, pred_conf, bucket."""
-    w = Window.partitionBy("symbol").orderBy("ts")
-    rng = F.col("high") - F.col("low")
-    df = rows.withColumns({"spread": F.percentile(rng, F.lit(0.5)).over(w.rowsBetween(-19, 0)), "avg_volume": F.avg("volume").over(w.rowsBetween(-49, 0))})
-    return df.select("symbol", "ts", "close", "volume", "side", "size", "pred_conf", "bucket", "spread", "avg_volume").groupBy("symbol").applyInPandas(lambda pdf: run_series(pdf, c), SCHEMA)
-
-
-def flip_pnl(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Running pnl of unit positions that flip with the side; flat closes."""
-    pdf = pdf.sort_values("ts", kind="stable")
-    side, entry, pnl, out = "flat", 0.0, 0.0, []
-    for r in pdf.itertuples():
-        if r.side != side:
-            if side != "flat":
-                pnl += (r.close - entry) if side == "long" else (entry - r.close)
-            side, entry = r.side, r.close
-        out.append(pnl)
-    return pd.DataFrame({"symbol": pdf["symbol"], "ts": pdf["ts"], "pnl": np.asarray(out, float)})
+def backtest(rows: DataFrame, c: Costs = Costs(), block: int = BLOCK_ROWS) -> DataFrame:
+    """Trades and equity of each symbol in one frame. rows: symbol, ts, high, low, close, volume, side, size, pred_conf, bucket.
+
+    A bar's side takes effect latency_bars later, at that bar's close; the position is what it then becomes, so everything but the cash is
+    a function of a few rows before. Cash is a running sum, and the open position's entry the last one so far: both are carried over blocks.
+    """
+    keys = ["symbol"]
+    way = F.when(F.col("side") == "long", 1).when(F.col("side") == "short", -1).otherwise(0)
+    base = rows.select("symbol", "ts", "close", "volume", (F.col("high") - F.col("low")).alias("_range"), way.alias("_way"), "size", "pred_conf", "bucket")
+    # an entry looks 50 rows back, and what closes it needs the row before as it was
+    df = haloed(placed(base, keys, ["ts"], block), 52 + c.latency_bars, rows=block)
+    w = in_block(keys)
+    lag = lambda x, n=1: F.lag(x, n).over(w)
+    want, amount = (lag("_way", c.latency_bars), lag("size", c.latency_bars)) if c.latency_bars else (F.col("_way"), F.col("size"))
+    df = df.withColumns({"_spread": F.percentile("_range", F.lit(0.5)).over(w.rowsBetween(-19, 0)), "_usual": F.avg("volume").over(w.rowsBetween(-49, 0)), "_want": F.coalesce(want, F.lit(0)), "_amount": amount})
+    traded = F.when((F.col("_usual") > 0) & (F.col("volume") != 0), F.col("volume") / F.col("_usual")).otherwise(1.0)
+    slip = F.coalesce(*[F.when(F.col("bucket") == k, v) for k, v in c.slip], F.lit(dict(c.slip)["med"]))
+    away = F.col("_spread") / 2 + F.col("_spread") * slip * F.least(F.lit(1.0), F.abs("size") / F.greatest(F.coalesce(F.nullif(F.col("volume"), F.lit(0.0)), F.lit(1.0)), F.lit(1e-6)))
+    fee = lambda taker: F.col("close") * F.when(taker, c.taker_bp).otherwise(-c.maker_bp) / 10000
+    price = lambda d, taker: F.col("close") + d * away + d * fee(taker)
+    df = df.withColumns({"_prev": F.coalesce(lag("_want"), F.lit(0)), "_size": F.when(F.col("_want") != 0, F.col("_amount") * F.least(F.lit(c.max_fill), F.lit(1.0), traded)).otherwise(0.0)})
+    opens = (F.col("_want") != F.col("_prev")) & (F.col("_want") != 0)
+    df = df.withColumn("_entry", F.when(opens, F.struct(price(F.col("_want"), F.abs(F.col("pred_conf") - 0.5) > 0.1).alias("price"), F.col("ts").alias("ts"))))
+    df = df.withColumns({"_entry_before": lag("_entry"), "_size_before": lag("_size")}).where("_own")
+    df = carried(df, keys, lasts={"_open": "_entry", "_held": "_entry_before"})
+    closes = (F.col("_want") != F.col("_prev")) & (F.col("_prev") != 0)
+    exit_ = price(-F.col("_prev"), F.lit(True))
+    df = df.withColumns({"_exit": F.when(closes, exit_), "_pnl": F.when(closes, F.col("_prev") * (exit_ - F.col("_held.price")) * F.col("_size_before"))})
+    df = df.withColumn("_flow", F.coalesce("_pnl", F.lit(0.0)) - F.when(F.col("_want") != 0, F.abs("_size") * F.col("close") * c.funding_bp / 10000).otherwise(0.0))
+    df = carried(df, keys, sums={"_cash": "_flow"})
+    equity = F.lit(c.start) + F.col("_cash") + F.when(F.col("_want") != 0, F.col("_want") * (F.col("close") - F.col("_open.price")) * F.col("_size")).otherwise(0.0)
+    none = lambda t: F.lit(None).cast(t)
+    named = lambda *xs: F.struct(*[x.alias(n) for n, x in zip(("kind", "entry_time", "side", "size", "entry_price", "exit_price", "pnl", "equity"), xs)])
+    trade = named(F.lit("trade"), F.col("_held.ts"), F.when(F.col("_prev") > 0, "long").otherwise("short"), F.col("_size_before"), F.col("_held.price"), F.col("_exit"), F.col("_pnl"), none("double"))
+    bar = named(F.lit("equity"), F.col("ts"), none("string"), *[none("double")] * 4, equity)
+    made = df.select("symbol", "ts", F.explode(F.filter(F.array(F.when(closes, trade), bar), lambda x: x.isNotNull())).alias("o"))
+    return made.select("symbol", "o.kind", "o.entry_time", F.col("ts").alias("exit_time"), "o.side", "o.size", "o.entry_price", "o.exit_price", "o.pnl", "o.equity")
+
+
+def flip_pnl(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """Running pnl of unit positions that flip with the side (symbol, ts, close, side; ts distinct); flat closes."""
+    keys = ["symbol"]
+    df = haloed(placed(rows.select("symbol", "ts", "close", "side"), keys, ["ts"], block), 2, rows=block)
+    lag = lambda x: F.lag(x).over(in_block(keys))
+    df = df.withColumn("_prev", F.coalesce(lag("side"), F.lit("flat"))).withColumn("_entry", F.when(F.col("side") != F.col("_prev"), F.col("close")))
+    df = carried(df.withColumn("_before", lag("_entry")).where("_own"), keys, lasts={"_held": "_before"})
+    gain = F.when(F.col("_prev") == "long", F.col("close") - F.col("_held")).otherwise(F.col("_held") - F.col("close"))
+    df = df.withColumn("_pnl", F.when((F.col("side") != F.col("_prev")) & (F.col("_prev") != "flat"), gain).otherwise(0.0))
+    return carried(df, keys, sums={"pnl": "_pnl"}).select("symbol", "ts", "pnl")
 
 
 def summary(equity: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

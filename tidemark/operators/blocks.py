@@ -7,7 +7,7 @@ carries in from the others, of which there is one row for each block. `windows.f
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -55,27 +55,45 @@ def in_block(keys: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys, "_b").orderBy("_i")
 
 
-def carried(df: DataFrame, keys: Sequence[str], sums: dict[str, str] | None = None, lasts: dict[str, str] | None = None, firsts: dict[str, str] | None = None) -> DataFrame:
+def carried(df: DataFrame, keys: Sequence[str], sums: dict[str, str] | None = None, lasts: dict[str, str] | None = None, firsts: dict[str, str] | None = None, tops: dict[str, str] | None = None) -> DataFrame:
     """df (own rows, placed) with running columns by name of the column that they run over: sums up to and with the row (nulls count for
-    nothing), the last value so far, and the next value from the row on (nulls skipped).
+    nothing), the last value so far, the next value from the row on (nulls skipped), and the largest value so far.
 
     Within a block they are windows; what comes from other blocks is a sum, last or first value for each block, carried over blocks.
     """
-    sums, lasts, firsts = sums or {}, lasts or {}, firsts or {}
+    sums, lasts, firsts, tops = sums or {}, lasts or {}, firsts or {}, tops or {}
     known = lambda c: F.when(F.col(c).isNotNull(), F.col("_i"))
-    totals = df.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()], *[F.max_by(c, known(c)).alias(f"_t_{n}") for n, c in lasts.items()], *[F.min_by(c, known(c)).alias(f"_t_{n}") for n, c in firsts.items()])
+    totals = df.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()], *[F.max_by(c, known(c)).alias(f"_t_{n}") for n, c in lasts.items()], *[F.min_by(c, known(c)).alias(f"_t_{n}") for n, c in firsts.items()], *[F.max(c).alias(f"_t_{n}") for n, c in tops.items()])
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"), *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums], *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts], *[F.last(f"_t_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in firsts]
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_k_b"), *[F.sum(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in sums], *[F.last(f"_t_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in lasts], *[F.last(f"_t_{n}", ignorenulls=True).over(later).alias(f"_c_{n}") for n in firsts], *[F.max(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in tops]
     )
     up = in_block(keys).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*keys, "_b").orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.withColumns({n: F.sum(c).over(up) for n, c in sums.items()} | {n: F.last(c, ignorenulls=True).over(up) for n, c in lasts.items()} | {n: F.last(c, ignorenulls=True).over(down) for n, c in firsts.items()})
+    run = df.withColumns({n: F.sum(c).over(up) for n, c in sums.items()} | {n: F.last(c, ignorenulls=True).over(up) for n, c in lasts.items()} | {n: F.last(c, ignorenulls=True).over(down) for n, c in firsts.items()} | {n: F.max(c).over(up) for n, c in tops.items()})
     met = run.join(carry, same(run, carry, keys, "_k_") & (run["_b"] == carry["_k_b"]), "left")
     both = lambda n: F.when(F.col(n).isNull(), F.col(f"_c_{n}")).otherwise(F.col(n) + F.coalesce(f"_c_{n}", F.lit(0.0)))
-    out = met.withColumns({n: both(n) for n in sums} | {n: F.coalesce(n, f"_c_{n}") for n in (*lasts, *firsts)})
-    return out.drop("_k_b", *[f"_k_{k}" for k in keys], *[f"_c_{n}" for n in (*sums, *lasts, *firsts)])
+    out = met.withColumns({n: both(n) for n in sums} | {n: F.coalesce(n, f"_c_{n}") for n in (*lasts, *firsts)} | {n: F.greatest(n, f"_c_{n}") for n in tops})
+    return out.drop("_k_b", *[f"_k_{k}" for k in keys], *[f"_c_{n}" for n in (*sums, *lasts, *firsts, *tops)])
+
+
+def block_states(df: DataFrame, keys: Sequence[str], block_map: Callable, map_schema: str, scan: Callable, state_schema: str) -> DataFrame:
+    """(keys, _b, state) that every block but a series' first begins with: `block_map` makes one row (with its number, `block`) of each block
+    that another one follows, and `scan` takes a series' rows of that kind to the states after them."""
+    kinds = dict(df.dtypes)
+    by_key = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    keyed = lambda f: lambda key, pdf: f(pdf).assign(**dict(zip(keys, key)))
+    inner = df.withColumn("_z", F.max("_b").over(Window.partitionBy(*keys))).where("_b < _z").drop("_z")
+    maps = inner.groupBy(*keys, "_b").applyInPandas(keyed(block_map), f"{by_key}, {map_schema}")
+    return maps.groupBy(*keys).applyInPandas(keyed(scan), f"{by_key}, {state_schema}").withColumnRenamed("block", "_b")
+
+
+def with_states(df: DataFrame, states: DataFrame, keys: Sequence[str], f: Callable, added: str) -> DataFrame:
+    """df with the columns `added` (as a schema) that f(block's rows, its state) makes; a series' first block has an empty state."""
+    names = [*df.columns, *[c.split()[0] for c in added.split(", ")]]
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in df.dtypes], added])
+    return df.groupBy(*keys, "_b").cogroup(states.groupBy(*keys, "_b")).applyInPandas(lambda pdf, state: f(pdf, state)[names], schema)
 
 
 def plain(df: DataFrame) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expressions import assignment, predicate
+from tidemark.operators.blocks import BLOCK_ROWS, block_states, carried, placed, with_states
+from tidemark.session import stored
 
 #: Confidence bounds of abstention by regime (those of `low` are inverted, so nothing lies in them), steps of drawdown and their factors.
 GREY = {"low": (0.52, 0.48), "med": (0.5, 0.5), "high": (0.48, 0.52)}
@@ -123,62 +126,129 @@ def grey_zone(bucket: Column) -> tuple[Column, Column]:
     return lo, hi
 
 
-def decide(pdf: pd.DataFrame, s: Settings, thresholds: tuple = Rules.thresholds) -> pd.DataFrame:
-    """The state machine over one series: side, size, smoothed confidence and the step that decided.
+#: Codes of what a row tells the state: nothing, go flat, long or short.
+HOLD, FLAT, LONG, SHORT = -1, 0, 1, 2
 
-    Guards, blocks and abstention decide before the state: they leave the position held, and its age, as they were. The age is 0 at entry
-    and grows with each bar that the position is kept, so an opposite signal is held off for min_hold bars. Smoothed confidence is that
-    of the likelier class, whichever it is.
+
+def smoothing_map(pdf: pd.DataFrame, a: float) -> pd.DataFrame:
+    """What a block's active rows do to the smoothed confidence: y -> keep * y + add, and the first of them, from which a series begins."""
+    x = pdf.sort_values("_i")["_x"].dropna().to_numpy(np.float64)
+    add = pd.Series(np.concatenate([[0.0], x])).ewm(alpha=a, adjust=False).mean().iat[-1]
+    return pd.DataFrame({"block": [int(pdf["_b"].iat[0])], "first": [x[0] if len(x) else None], "keep": [(1 - a) ** len(x)], "add": [add]})
+
+
+def smoothing_states(maps: pd.DataFrame) -> pd.DataFrame:
+    """The smoothed confidence that each block but the first begins with; null as long as no row was active."""
+    rows, y = [], np.nan
+    for r in maps.sort_values("block").itertuples():
+        if not np.isnan(r.first):
+            y = r.keep * (r.first if np.isnan(y) else y) + r.add
+        rows.append((r.block + 1, None if np.isnan(y) else y))
+    return pd.DataFrame(rows, columns=["block", "y"])
+
+
+def smoothed(pdf: pd.DataFrame, state: pd.DataFrame, a: float) -> pd.DataFrame:
+    """A block's rows with the smoothed confidence so far."""
+    pdf = pdf.sort_values("_i", kind="stable")
+    x = pdf["_x"].to_numpy(np.float64)
+    known = np.flatnonzero(~np.isnan(x))
+    y = float(state["y"].iat[0]) if len(state) and pd.notna(state["y"].iat[0]) else np.nan
+    out = np.full(len(x), y)
+    if len(known):
+        begin = x[known[0]] if np.isnan(y) else y
+        run = pd.Series(np.concatenate([[begin], x[known]])).ewm(alpha=a, adjust=False).mean().to_numpy()
+        at = np.searchsorted(known, np.arange(len(x)), side="right")
+        out = np.where(at > 0, run[at], y)
+    return pdf.assign(smoothed=np.where(np.isnan(out), None, out))
+
+
+def transitions(signal: np.ndarray, hold: int) -> np.ndarray:
+    """(rows, states): where each row takes each state. State 0 is flat, then long and short by age from 0 to `hold` (and beyond).
+
+    A flat signal clears the position; one of its own side ages it; another one is held off until the age is `hold`, then it is followed.
     """
-    smooth, held, age, peak, out = None, "flat", 0, 0.0, []
-    for r in pdf.sort_values("ts", kind="stable").itertuples():
-        side, size, why = "flat", 0.0, "flat"
-        if not r.guards_ok:
-            why = "guard"
-        elif r.blocked:
-            why = "filter"
-        else:
-            smooth = r.pred_conf if smooth is None else smooth + s.smoothing * (r.pred_conf - smooth)
-            if r.grey_lo <= r.pred_conf <= r.grey_hi or r.ci_width > s.max_ci_width or abs(r.pred_conf - 0.5) < s.min_edge:
-                why = "abstain"
-            else:
-                if r.eu_long > s.min_utility and r.may_long:
-                    side = "long"
-                if r.eu_short > max(r.eu_long, s.min_utility) and r.may_short:
-                    side = "short"
-                for above, below in thresholds:
-                    if above is not None and smooth >= above and r.may_long:
-                        side = "long"
-                    if below is not None and smooth <= below and r.may_short:
-                        side = "short"
-                if side != "flat" and (r.eu_long if side == "long" else r.eu_short) <= s.min_utility:
-                    side = "flat"
-                if side == "flat":
-                    held, age = "flat", 0
-                elif held == side or held != "flat" and age < s.min_hold:
-                    side, age = held, age + 1
-                else:
-                    held, age = side, 0
-                if side != "flat":
-                    peak = max(peak, r.balance)
-                    drawdown = 1 - r.balance / peak if peak > 0 else 0.0
-                    factor = min([f for bound, f in DELEVER if drawdown >= bound], default=1.0)
-                    share = min(abs(smooth - 0.5) / max(smooth * (1 - smooth), 1e-6), s.kelly_clip) * factor
-                    size = r.sized or r.balance * s.risk_per_trade * min(share, s.max_leverage)
-                    why = "entry"
-        out.append((r.symbol, r.ts, side, float(size), smooth, why))
-    return pd.DataFrame(out, columns=["symbol", "ts", "side", "size", "smoothed", "why"])
-
-
-def apply_policy(rows: DataFrame, rules: Rules = Rules(), s: Settings = Settings()) -> DataFrame:
+    ages, none = hold + 1, np.arange(2 * hold + 3)
+    age = np.concatenate([[0], np.arange(ages), np.arange(ages)])
+    side = np.concatenate([[0], np.full(ages, 1), np.full(ages, 2)])
+    older = none + ((side > 0) & (age < hold))
+    follow = {HOLD: none, FLAT: np.zeros_like(none)}
+    for s in (LONG, SHORT):
+        stays = (side == s) | (side > 0) & (age < hold)
+        follow[s] = np.where(stays, older, 1 + (s - 1) * ages)
+    table = np.stack([follow[c] for c in (HOLD, FLAT, LONG, SHORT)]).astype(np.int16)
+    return table[signal + 1]
+
+
+def composed(f: np.ndarray) -> np.ndarray:
+    """Of each row, where it and all rows before it take each state: neighbours are composed at twice the distance each time."""
+    f, k = f.copy(), 1
+    while k < len(f):
+        f[k:] = np.take_along_axis(f[k:], f[:-k].astype(np.int64), axis=1)
+        k *= 2
+    return f
+
+
+def holding_map(pdf: pd.DataFrame, hold: int) -> pd.DataFrame:
+    signal = pdf.sort_values("_i")["_signal"].to_numpy(np.int64)
+    return pd.DataFrame({"block": [int(pdf["_b"].iat[0])], "to": [composed(transitions(signal, hold))[-1].astype(np.int64)]})
+
+
+def holding_states(maps: pd.DataFrame) -> pd.DataFrame:
+    rows, state = [], 0
+    for r in maps.sort_values("block").itertuples():
+        state = int(r.to[state])
+        rows.append((r.block + 1, state))
+    return pd.DataFrame(rows, columns=["block", "state"])
+
+
+def held(pdf: pd.DataFrame, state: pd.DataFrame, hold: int) -> pd.DataFrame:
+    """A block's rows with the side that each signal leaves: 0 flat, 1 long, 2 short; 0 where there is no signal."""
+    pdf = pdf.sort_values("_i", kind="stable")
+    signal = pdf["_signal"].to_numpy(np.int64)
+    at = composed(transitions(signal, hold))[:, int(state["state"].iat[0]) if len(state) else 0]
+    return pdf.assign(_held=np.where(signal == HOLD, 0, np.where(at == 0, 0, 1 + (at - 1) // (hold + 1))).astype(np.int32))
+
+
+def apply_policy(rows: DataFrame, rules: Rules = Rules(), s: Settings = Settings(), block: int = BLOCK_ROWS) -> DataFrame:
     """Decisions for prediction rows: symbol, ts, close, prob_up, prob_down, pred_conf, and where present atr, ci_width, regime_bucket, balance.
 
-    A regime without bounds of its own has GREY_DEFAULT.
+    Guards, blocks and abstention decide before the state: they leave the position held, and its age, as they were. The age is 0 at entry
+    and grows with each bar that the position is kept, so an opposite signal is held off for min_hold bars. Smoothed confidence is that
+    of the likelier class, whichever it is. A regime without bounds of its own has GREY_DEFAULT.
+
+    A series goes through in blocks: smoothing is a map y -> k y + b of each block, and the position and its age are a few states that a
+    block maps to states. Signals between the two, the peak of the balance and the size are columns.
     """
     defaults = {"atr": F.lit(None).cast("double"), "ci_width": F.lit(0.0), "regime_bucket": F.lit("med"), "balance": F.lit(10000.0)}
     df = rows.withColumns({k: v for k, v in defaults.items() if k not in rows.columns})
     df = df.withColumn("base_risk", F.col("balance") * s.risk_per_trade)
     lo, hi = grey_zone(F.col("regime_bucket"))
     df = df.withColumns(compile_rules(rules, df.columns, s.allow_short) | expected_utility(s) | {"grey_lo": lo, "grey_hi": hi})
-    need = ["symbol", "ts", "prob_up", "prob_down", "pred_conf", "ci_width", "guards_ok", "blocked", "may_long", "may_short", "sized", "eu_long", "eu_short", "grey_lo", "grey_hi", "balance"]
-    return df.select(*need).groupBy("symbol").applyInPandas(lambda pdf: decide(pdf, s, rules.thresholds), "symbol string, ts timestamp_ntz, side string, size double, smoothed double, why string")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    active = yes("guards_ok") & ~yes("blocked")
+    df = df.select("symbol", "ts", "pred_conf", "ci_width", "guards_ok", "blocked", "may_long", "may_short", "sized", "eu_long", "eu_short", "grey_lo", "grey_hi", "balance", F.when(active, F.col("pred_conf").cast("double")).alias("_x"))
+    keys, a, hold = ["symbol"], s.smoothing, s.min_hold
+    lines = placed(df, keys, ["ts"], block)
+    before = block_states(lines.select("symbol", "_i", "_b", "_x"), keys, lambda pdf: smoothing_map(pdf, a), "block bigint, first double, keep double, add double", smoothing_states, "block bigint, y double")
+    smooth = with_states(lines, before, keys, lambda pdf, state: smoothed(pdf, state, a), "smoothed double")
+    edge = (F.col("pred_conf") >= F.col("grey_lo")) & (F.col("pred_conf") <= F.col("grey_hi")) | (F.col("ci_width") > s.max_ci_width) | (F.abs(F.col("pred_conf") - 0.5) < s.min_edge)
+    side = F.when((F.col("eu_long") > s.min_utility) & yes("may_long"), LONG).otherwise(FLAT)
+    side = F.when((F.col("eu_short") > F.greatest("eu_long", F.lit(s.min_utility))) & yes("may_short"), SHORT).otherwise(side)
+    for above, below in rules.thresholds:
+        side = side if above is None else F.when((F.col("smoothed") >= above) & yes("may_long"), LONG).otherwise(side)
+        side = side if below is None else F.when((F.col("smoothed") <= below) & yes("may_short"), SHORT).otherwise(side)
+    useful = F.when(F.col("_side") == LONG, F.col("eu_long")).when(F.col("_side") == SHORT, F.col("eu_short")) > s.min_utility
+    abstains = F.coalesce(edge, F.lit(False))
+    signals = smooth.withColumn("_side", side).withColumn("_signal", F.when(~active | abstains, HOLD).when(F.coalesce(useful, F.lit(False)), F.col("_side")).otherwise(FLAT))
+    told = stored(signals.drop("_side"), "signals")
+    begin = block_states(told.select("symbol", "_i", "_b", "_signal"), keys, lambda pdf: holding_map(pdf, hold), "block bigint, to array<bigint>", holding_states, "block bigint, state bigint")
+    sided = with_states(told, begin, keys, lambda pdf, state: held(pdf, state, hold), "_held int")
+    entered = F.col("_held") > 0
+    peaks = carried(sided.withColumn("_balance", F.when(entered, F.col("balance"))), keys, tops={"_peak": "_balance"})
+    drawdown = F.when(F.col("_peak") > 0, 1 - F.col("balance") / F.col("_peak")).otherwise(0.0)
+    c = F.col("smoothed")
+    share = F.least(F.abs(c - 0.5) / F.greatest(c * (1 - c), F.lit(1e-6)), F.lit(s.kelly_clip)) * delever(drawdown)
+    size = F.when(F.col("sized") != 0, F.col("sized")).otherwise(F.col("balance") * s.risk_per_trade * F.least(share, F.lit(s.max_leverage)))
+    why = F.when(~yes("guards_ok"), "guard").when(yes("blocked"), "filter").when(abstains, "abstain").when(entered, "entry").otherwise("flat")
+    name = F.when(F.col("_held") == LONG, "long").when(F.col("_held") == SHORT, "short").otherwise("flat")
+    return peaks.select("symbol", "ts", name.alias("side"), F.when(entered, size).otherwise(0.0).cast("double").alias("size"), "smoothed", why.alias("why"))

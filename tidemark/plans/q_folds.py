@@ -72,7 +72,7 @@ query("fold_policy", with_candles(DECISIONS, more=policy_sql("(high - low) / clo
 _SIDE = "CASE WHEN close > open THEN 1 WHEN close < open THEN -1 ELSE 0 END"
 query("fold_apply_decision", with_candles("SELECT n.symbol, n.ts, round(k.pnl, 4) + 0.0 AS pnl FROM n JOIN k ON k.symbol = n.symbol AND k.i = n.i", more=f"""{NUM}, z AS (SELECT *, {_SIDE} AS side FROM n),
 k(symbol, i, side, entry, pnl) AS (SELECT symbol, i, side, close, 0.0::DOUBLE FROM z WHERE i = 1 UNION ALL SELECT z.symbol, z.i, z.side, CASE WHEN z.side <> k.side THEN z.close ELSE k.entry END, CASE WHEN z.side <> k.side THEN k.pnl + k.side * (z.close - k.entry) ELSE k.pnl END FROM k JOIN z ON z.symbol = k.symbol AND z.i = k.i + 1)""", recursive=True))(
-    lambda spark, d: rounded(signals(spark, d).select("symbol", "ts", "close", "side").groupBy("symbol").applyInPandas(B.flip_pnl, "symbol string, ts timestamp_ntz, pnl double"), 4)
+    lambda spark, d: rounded(B.flip_pnl(signals(spark, d)), 4)
 )
 query("fold_sequences", with_candles("SELECT symbol, ts, round(list_sum(seq), 6) AS total, CAST(len(seq) AS INTEGER) AS n FROM (SELECT symbol, ts, list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING) AS seq FROM c) WHERE len(seq) = 16"))(
     lambda spark, d: rounded(sequences(candles(spark, d), 16).select("symbol", "ts", F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("sequence").alias("n")))
