@@ -85,7 +85,9 @@ PARAMS = [
 @pytest.mark.parametrize("p", PARAMS)
 def test_equals_the_loop_over_rows(spark, p):
     x, y, w, held = made_up(240)
-    got = B.fit(frame(spark, x, y, w, held), FEATURES, "y", p, 3, key="id", weight="w")
+    got = B.fit(frame(spark, x, y, w, held), FEATURES, "y", p, 3, key="id", weight="w", few_parts=0)
+    alike = B.fit(frame(spark, x, y, w, held), FEATURES, "y", p, 3, key="id", weight="w")
+    np.testing.assert_allclose(alike.margins(alike.bins(x)), got.margins(got.bins(x)), atol=1e-9)
     want = brute(x, y, w, got.edges, p, 3, np.arange(len(y)))
     np.testing.assert_allclose(got.margins(got.bins(x)), want[-1], atol=1e-9)
     here = B.fit_local(x, y, p, 3, FEATURES, np.arange(len(y)), w, edges=got.edges)

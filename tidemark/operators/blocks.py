@@ -29,15 +29,17 @@ def same(a: DataFrame, b: DataFrame, names: Sequence[str], renamed: str) -> Colu
 
 
 def placed(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int = BLOCK_ROWS) -> DataFrame:
-    """df with _i, the place of a row in its series from 0, and _b, its block. Rows that are equal in keys and order stand in any order."""
+    """df with _i, the place of a row in its series from 0, _b, its block, and _last, the series' last block. Rows that are equal in keys and
+    order stand in any order."""
     by = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
     lines = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_id", F.monotonically_increasing_id()), "placed")
     runs = lines.groupBy(*keys, F.shiftright("_id", _PART_BITS).alias("_p")).agg(F.min("_id").alias("_f"), F.count("*").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_c", F.coalesce(F.sum("_c").over(before), F.lit(0)))
-    runs = runs.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_p").alias("_rp"), (F.col("_c") - F.col("_f")).alias("_shift"))
+    total = F.sum("_c").over(Window.partitionBy(*keys))  # of one row for each series and partition
+    runs = runs.withColumns({"_n": total, "_c": F.coalesce(F.sum("_c").over(before), F.lit(0))})
+    runs = runs.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_p").alias("_rp"), (F.col("_c") - F.col("_f")).alias("_shift"), F.expr(f"(_n - 1) div {rows}").alias("_last"))
     met = lines.join(runs, same(lines, runs, keys, "_r_") & (F.shiftright(lines["_id"], _PART_BITS) == runs["_rp"]))
-    out = met.select(*df.columns, (F.col("_id") + F.col("_shift")).alias("_i"))
+    out = met.select(*df.columns, (F.col("_id") + F.col("_shift")).alias("_i"), "_last")
     return out.withColumn("_b", F.expr(f"_i div {rows}"))
 
 
@@ -47,7 +49,7 @@ def haloed(df: DataFrame, back: int, ahead: int = 0, rows: int = BLOCK_ROWS) ->
     if max(back, ahead) > rows:
         raise ValueError("a halo must fit a block")
     at = F.pmod("_i", F.lit(rows))
-    moves = F.array(F.lit(0), F.when(at >= rows - back, F.lit(1)), F.when((at < ahead) & (F.col("_b") > 0), F.lit(-1)))
+    moves = F.array(F.lit(0), F.when((at >= rows - back) & (F.col("_b") < F.col("_last")), F.lit(1)), F.when((at < ahead) & (F.col("_b") > 0), F.lit(-1)))
     return df.withColumn("_d", F.explode(F.filter(moves, lambda x: x.isNotNull()))).withColumns({"_b": F.col("_b") + F.col("_d"), "_own": F.col("_d") == 0}).drop("_d")
 
 
@@ -84,8 +86,7 @@ def block_states(df: DataFrame, keys: Sequence[str], block_map: Callable, map_sc
     kinds = dict(df.dtypes)
     by_key = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     keyed = lambda f: lambda key, pdf: f(pdf).assign(**dict(zip(keys, key)))
-    inner = df.withColumn("_z", F.max("_b").over(Window.partitionBy(*keys))).where("_b < _z").drop("_z")
-    maps = inner.groupBy(*keys, "_b").applyInPandas(keyed(block_map), f"{by_key}, {map_schema}")
+    maps = df.where("_b < _last").groupBy(*keys, "_b").applyInPandas(keyed(block_map), f"{by_key}, {map_schema}")
     return maps.groupBy(*keys).applyInPandas(keyed(scan), f"{by_key}, {state_schema}").withColumnRenamed("block", "_b")
 
 
@@ -97,4 +98,4 @@ def with_states(df: DataFrame, states: DataFrame, keys: Sequence[str], f: Callab
 
 
 def plain(df: DataFrame) -> DataFrame:
-    return df.drop("_i", "_b", "_own")
+    return df.drop("_i", "_b", "_last", "_own")

@@ -10,10 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidemark.operators.blocks import BLOCK_ROWS, haloed, placed
+from tidemark.operators.blocks import BLOCK_ROWS, block_states, haloed, placed
 
 #: Spans and periods of the recursive indicators.
 EMA_SPANS = (9, 12, 21, 26, 50, 55, 200)
@@ -261,15 +260,8 @@ def columns_of(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
 def with_folds(df: DataFrame, keys: tuple[str, ...] = ("symbol",), rows: int = BLOCK_ROWS) -> DataFrame:
     """df (one bar for each key and ts; closes, highs and lows known) with every recursive column."""
     names = [f"`{n}` {t}" for n, t in df.dtypes]
-    by_key = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n in keys)
     lines = haloed(placed(df, keys, ["ts"], rows), HALO, rows=rows)
-    # the halo stands in the next block, so a block that has none of its own is nobody's
-    whole = lines.withColumn("_any", F.max("_own").over(Window.partitionBy(*keys, "_b"))).where("_any").drop("_any")
-    final = Window.partitionBy(*keys)
-    inner = whole.withColumn("_z", F.max(F.when(F.col("_own"), F.col("_b"))).over(final)).where("_b < _z").drop("_z")
-    keyed = lambda f: lambda key, pdf: f(pdf).assign(**dict(zip(keys, key)))
-    maps = inner.groupBy(*keys, "_b").applyInPandas(keyed(block_map), f"{by_key}, {MAP_SCHEMA}")
-    states = maps.groupBy(*keys).applyInPandas(keyed(scan), f"{by_key}, {STATE_SCHEMA}").withColumnRenamed("block", "_b")
+    states = block_states(lines, keys, block_map, MAP_SCHEMA, scan, STATE_SCHEMA)
     schema = ", ".join([*names, *[f"{c} double" for c in FOLD_COLUMNS]])
     wanted = [*df.columns, *FOLD_COLUMNS]
-    return whole.groupBy(*keys, "_b").cogroup(states.groupBy(*keys, "_b")).applyInPandas(lambda pdf, state: columns_of(pdf, state)[wanted], schema)
+    return lines.groupBy(*keys, "_b").cogroup(states.groupBy(*keys, "_b")).applyInPandas(lambda pdf, state: columns_of(pdf, state)[wanted], schema)

@@ -229,7 +229,7 @@ def apply_policy(rows: DataFrame, rules: Rules = Rules(), s: Settings = Settings
     df = df.select("symbol", "ts", "pred_conf", "ci_width", "guards_ok", "blocked", "may_long", "may_short", "sized", "eu_long", "eu_short", "grey_lo", "grey_hi", "balance", F.when(active, F.col("pred_conf").cast("double")).alias("_x"))
     keys, a, hold = ["symbol"], s.smoothing, s.min_hold
     lines = placed(df, keys, ["ts"], block)
-    before = block_states(lines.select("symbol", "_i", "_b", "_x"), keys, lambda pdf: smoothing_map(pdf, a), "block bigint, first double, keep double, add double", smoothing_states, "block bigint, y double")
+    before = block_states(lines.select("symbol", "_i", "_b", "_last", "_x"), keys, lambda pdf: smoothing_map(pdf, a), "block bigint, first double, keep double, add double", smoothing_states, "block bigint, y double")
     smooth = with_states(lines, before, keys, lambda pdf, state: smoothed(pdf, state, a), "smoothed double")
     edge = (F.col("pred_conf") >= F.col("grey_lo")) & (F.col("pred_conf") <= F.col("grey_hi")) | (F.col("ci_width") > s.max_ci_width) | (F.abs(F.col("pred_conf") - 0.5) < s.min_edge)
     side = F.when((F.col("eu_long") > s.min_utility) & yes("may_long"), LONG).otherwise(FLAT)
@@ -241,7 +241,7 @@ def apply_policy(rows: DataFrame, rules: Rules = Rules(), s: Settings = Settings
     abstains = F.coalesce(edge, F.lit(False))
     signals = smooth.withColumn("_side", side).withColumn("_signal", F.when(~active | abstains, HOLD).when(F.coalesce(useful, F.lit(False)), F.col("_side")).otherwise(FLAT))
     told = stored(signals.drop("_side"), "signals")
-    begin = block_states(told.select("symbol", "_i", "_b", "_signal"), keys, lambda pdf: holding_map(pdf, hold), "block bigint, to array<bigint>", holding_states, "block bigint, state bigint")
+    begin = block_states(told.select("symbol", "_i", "_b", "_last", "_signal"), keys, lambda pdf: holding_map(pdf, hold), "block bigint, to array<bigint>", holding_states, "block bigint, state bigint")
     sided = with_states(told, begin, keys, lambda pdf, state: held(pdf, state, hold), "_held int")
     entered = F.col("_held") > 0
     peaks = carried(sided.withColumn("_balance", F.when(entered, F.col("balance"))), keys, tops={"_peak": "_balance"})

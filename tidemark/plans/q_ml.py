@@ -84,7 +84,7 @@ def ml_lgbm_incremental(spark: SparkSession, d: str) -> DataFrame:
             part = M.boosted_probabilities(batch, booster).select("week", *_OUT)
             out = part if out is None else out.unionByName(part)
         if w < last:
-            booster = M.train_incremental(spark, batch, FEATURES, "target", booster)
+            booster = M.train_incremental(spark, batch, FEATURES, "target", booster, patience=10)
     return out if out is not None else M.boosted_probabilities(rows.limit(0), None).select("week", *_OUT)
 
 
