@@ -1,9 +1,7 @@
-"""Hash embeddings and exact nearest neighbours."""
+"""Embeddings of texts: by hash, and learned."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -18,30 +16,6 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     return F.transform(bytes_, lambda x: x / F.nullif(norm, F.lit(0.0)))
 
 
-def _sum(a: Column, b: Column, f) -> Column:
-    return F.aggregate(F.zip_with(a, b, f), F.lit(0.0), lambda s, x: s + x)
-
-
-def squared_l2(a: Column, b: Column) -> Column:
-    return _sum(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-
-
-def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
-    dot = _sum(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return dot / ((norm(a) + eps) * (norm(b) + eps))
-
-
-def top_k(index: DataFrame, query: list[float], k: int, by: str = "l2", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k nearest rows to one vector: smallest squared distance, or largest cosine. Ties go to the smaller id."""
-    if not query or not all(map(math.isfinite, query)):
-        return index.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    score = squared_l2(F.col(vector), q) if by == "l2" else cosine(F.col(vector), q)
-    rows = index.select(id_col, score.alias("score"))
-    return rows.orderBy(F.asc("score") if by == "l2" else F.desc("score"), id_col).limit(k)
-
-
 #: The most texts, by the order of a hash, that word vectors are fitted on.
 MAX_FIT = 20_000
 

@@ -11,6 +11,7 @@ from tidemark.functions.intervals import refresh_of, seconds_of
 from tidemark.operators import backtest as B
 from tidemark.operators import mlops as M
 from tidemark.operators import policy as P
+from tidemark.operators.search import Search
 from tidemark.plans.registry import TICKS, query, rounded, with_candles
 from tidemark.schema import INTERVALS
 from tidemark.sources.tables import candles, predictions, table, trades
@@ -94,17 +95,24 @@ query("sc_hash_embedding", "SELECT id, embedding[1] AS e1, embedding[33] AS e33,
 query("sc_embed_model")(lambda spark, d: V.learned_embedding(table(spark, d, "documents"), "doc_id", "text"))
 
 
-def _query_vector(spark: SparkSession, d: str, i: int = 0) -> list[float]:
-    return [float(x) for x in table(spark, d, "embeddings").where(F.col("vec_id") == i).first()["embedding"]]
+def neighbours(spark: SparkSession, d: str, k: int, by: str) -> DataFrame:
+    """The k nearest of all rows for every row whose id is divisible by 20."""
+    index = table(spark, d, "embeddings")
+    return Search(index, by).top_k(index.where("vec_id % 20 = 0"), k).select(F.col("_query").alias("query_id"), F.col("_id").alias("vec_id"), "place", "score")
+
+
+def neighbours_sql(k: int, by: str) -> str:
+    score, order = (_L2, "ASC") if by == "l2" else (_COS, "DESC")
+    return f"""SELECT query_id, vec_id, CAST(place AS INTEGER) AS place, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s {order}, vec_id) AS place
+  FROM (SELECT query_id, vec_id, {score} AS s FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) e, (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 20 = 0) q)) WHERE place <= {k}"""
 
 
-_Q = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 _L2 = "list_sum(list_transform(range(1, 65), lambda i: pow(v[i] - q[i], 2)))"
 _COS = "list_sum(list_transform(range(1, 65), lambda i: v[i] * q[i])) / ((sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-8) * (sqrt(list_sum(list_transform(q, lambda x: x * x))) + 1e-8))"
-query("vec_l2_topk", f"WITH {_Q} SELECT vec_id, round({_L2}, 6) AS score FROM e, q ORDER BY {_L2}, vec_id LIMIT 5")(lambda spark, d: rounded(V.top_k(table(spark, d, "embeddings"), _query_vector(spark, d), 5)))
-query("vec_cosine_topk", f"WITH {_Q} SELECT vec_id, round({_COS}, 6) AS score FROM e, q ORDER BY {_COS} DESC, vec_id LIMIT 5")(lambda spark, d: rounded(V.top_k(table(spark, d, "embeddings"), _query_vector(spark, d), 5, "cosine")))
-query("rag_search", f"WITH {_Q}, k AS (SELECT vec_id, {_COS} AS s FROM e, q ORDER BY s DESC, vec_id LIMIT 3) SELECT k.vec_id, round(s, 6) AS score, d.source AS folder, d.lang AS kind FROM k LEFT JOIN documents d ON d.doc_id = k.vec_id")(
-    lambda spark, d: rounded(V.top_k(table(spark, d, "embeddings"), _query_vector(spark, d), 3, "cosine").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("folder"), F.col("lang").alias("kind")), "vec_id", "left"))
+query("vec_l2_topk", neighbours_sql(5, "l2"))(lambda spark, d: rounded(neighbours(spark, d, 5, "l2")))
+query("vec_cosine_topk", neighbours_sql(5, "cosine"))(lambda spark, d: rounded(neighbours(spark, d, 5, "cosine")))
+query("rag_search", f"SELECT k.query_id, k.vec_id, k.score, d.source AS folder, d.lang AS kind FROM ({neighbours_sql(3, 'cosine')}) k LEFT JOIN documents d ON d.doc_id = k.vec_id")(
+    lambda spark, d: rounded(neighbours(spark, d, 3, "cosine").drop("place").join(table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("folder"), F.col("lang").alias("kind")), "vec_id", "left"))
 )
 query("json_meta", "SELECT doc_id, source AS folder, n_chars FROM documents")(
     lambda spark, d: table(spark, d, "documents").select("doc_id", F.from_json(F.to_json(F.struct(F.col("source").alias("folder"), "n_chars")), "folder string, n_chars bigint").alias("m")).select("doc_id", "m.folder", "m.n_chars")

@@ -14,7 +14,7 @@ from tidemark.operators import mlops as M
 from tidemark.plans.q_aggregates import EQ, equity
 from tidemark.plans.q_folds import FREE, fixed
 from tidemark.plans.q_ml import FEATURES, samples
-from tidemark.plans.q_scalars import _L2, _Q, _query_vector
+from tidemark.plans.q_scalars import neighbours, neighbours_sql
 from tidemark.plans.registry import query, rounded, with_candles
 from tidemark.session import scratch
 from tidemark.sources import sqlite
@@ -97,7 +97,7 @@ def _z(x: str, n: int) -> str:
 query("win_zscore", with_candles(f"SELECT symbol, ts, {_z('close', 50)}, {_z('close', 200)}, {_z('volume', 50)} FROM c"))(
     lambda spark, d: rounded(candles(spark, d).select("symbol", "ts", *[X.zscore(x, n).alias(f"z_{x}_{n}") for x, n in (("close", 50), ("close", 200), ("volume", 50))]))
 )
-query("topk_vector", f"WITH {_Q} SELECT vec_id, round({_L2}, 6) AS score FROM e, q ORDER BY {_L2}, vec_id LIMIT 3")(lambda spark, d: rounded(V.top_k(table(spark, d, "embeddings"), _query_vector(spark, d), 3)))
+query("topk_vector", neighbours_sql(3, "l2"))(lambda spark, d: rounded(neighbours(spark, d, 3, "l2")))
 
 
 @query("ml_artifacts")
