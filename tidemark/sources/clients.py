@@ -82,7 +82,8 @@ def pages_forward(fetch: Client, start_ms: int, end_ms: int, limit: int = PAGE)
 
 
 def pages_backward(fetch: Client, end_ms: int, minimum: int = 0, start_ms: int | None = None, limit: int = PAGE, max_pages: int = MAX_PAGES, now_ms: int | None = None) -> Iterator[Sequence[Sequence]]:
-    """Pages back from end_ms (clamped to now, if given) until start_ms is reached, or so many rows at least, or max_pages."""
+    """Pages back from end_ms (clamped to now, if given) until start_ms is reached, or so many rows at least, or there are no more. Where
+    max_pages do not get there, that is an error: what lies beyond them is not left out in silence."""
     at, got = end_ms if now_ms is None else min(end_ms, now_ms), 0
     for _ in range(max_pages):
         page = retried(fetch, None, at, limit)[0]
@@ -94,6 +95,7 @@ def pages_backward(fetch: Client, end_ms: int, minimum: int = 0, start_ms: int |
         if first <= (start_ms or 0) or start_ms is None and 0 < minimum <= got:
             return
         at = first - 1
+    raise RuntimeError(f"{max_pages} pages end at {at + 1}, before what was asked for: from {start_ms}, at least {minimum} rows")
 
 
 def paged_source(name: str, fetch: Client, fields: tuple[str, list[pa.DataType]] = KLINE_FIELDS) -> type[DataSource]:
