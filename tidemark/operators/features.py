@@ -24,13 +24,14 @@ CROSS = ("open", "high", "low", "close", "volume", "hl_range")
 
 
 def order_flow(trades: DataFrame, book: DataFrame | None, seconds: int) -> DataFrame:
-    """Order-flow columns of the tape and the book, those of the last row of each bucket, at the bucket's start: symbol, ts and ORDER_FLOW.
+    """Order-flow columns of the tape and the book, the last values of each bucket, at the bucket's start: symbol, ts and ORDER_FLOW.
 
-    Without a book the tape's rows carry it, and one sort serves both. Rows of one time follow each other by trade id.
+    Without a book the tape's rows carry it, and one sort serves both. Rows of one time follow each other by trade id; of those at a
+    bucket's last time, the first has the bucket's values.
     """
 
     def last(df: DataFrame, cols: list[str]) -> DataFrame:
-        return df.groupBy("symbol", F.window("ts", f"{seconds} seconds").start.alias("ts")).agg(*[F.max_by(c, "_i").alias(c) for c in cols])
+        return df.groupBy("symbol", F.window("ts", f"{seconds} seconds").start.alias("ts")).agg(*[F.max_by(c, F.struct("ts", -F.col("_i"))).alias(c) for c in cols])
 
     filled = lambda df: df.fillna(0.0, subset=["roll_impact", "vpin"])
     levels = lambda df: df.withColumns({f"imbalance_{k}": X.imbalance(k) for k in (1, 5, 10)})

@@ -45,7 +45,7 @@ b1 AS (SELECT *, CASE WHEN coalesce(bid_price - lag(bid_price) {t}, 0) >= 0 THEN
   abs(price - lag(price) {t}) / nullif(quantity, 0) AS impact FROM b0),
 b2 AS (SELECT symbol, ts, trade_id, sum(CASE WHEN is_buyer_maker THEN -quantity ELSE quantity END) OVER ({_TAPE} ROWS UNBOUNDED PRECEDING) AS cvd, sum(step) OVER ({_TAPE} ROWS UNBOUNDED PRECEDING) AS ofi, (bid_price * ask_size + ask_price * bid_size) / (bid_size + ask_size) AS microprice,
   coalesce(avg(impact) {_last(50, _TAPE)}, 0) AS roll_impact, coalesce(sum(abs(quantity)) {_last(50, _TAPE)} / nullif(sum(quantity) {_last(50, _TAPE)}, 0), 0) AS vpin, {levels} FROM b1),
-f AS (SELECT symbol AS fs, time_bucket(INTERVAL 1 hour, ts, TIMESTAMP '1970-01-01') AS ft, {", ".join(f"last({c} ORDER BY ts, trade_id) AS {c}" for c in ORDER_FLOW)} FROM b2 GROUP BY 1, 2)"""
+f AS (SELECT symbol AS fs, time_bucket(INTERVAL 1 hour, ts, TIMESTAMP '1970-01-01') AS ft, {", ".join(f"last({c} ORDER BY ts, trade_id DESC) AS {c}" for c in ORDER_FLOW)} FROM b2 GROUP BY 1, 2)"""
 
 
 def feature_sql(horizons: tuple[int, ...] = (5, 15), fee_bp: float = 7.0) -> str:
