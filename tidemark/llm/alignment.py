@@ -288,7 +288,7 @@ def lost_links(table: DataFrame, lost: DataFrame) -> DataFrame:
 
 def pair_counts(links: DataFrame) -> DataFrame:
     """(a, b, c, best): the corpus-wide links of every id pair, and whether no other first id has more with that second id."""
-    counts = cut(links.groupBy("a", "b").agg(F.sum("w").alias("c")), "pairs", free=True)
+    counts = cut(links.groupBy("a", "b").agg(F.sum("w").alias("c")), "pairs", clean=True)
     top = counts.groupBy("b").agg(F.max("c").alias("top"))
     return counts.join(top, "b").select("a", "b", "c", (F.col("c") == F.col("top")).cast("int").alias("best"))
 
@@ -320,21 +320,21 @@ def align_documents(docs: DataFrame, first: str, second: str, key: str = "doc_id
     """
     base = pick(docs, key, text).withColumn(text, F.col(text).cast("string"))
     kind = dict(base.dtypes)[key]
-    chunks = cut(chunked(base, first, second, key, text, chunk_chars), "chunks", free=True, codec="zstd")
+    chunks = cut(chunked(base, first, second, key, text, chunk_chars), "chunks", clean=True, codec="zstd")
     rows = chunks.where("place is null").select("chunk", key, "doc")
     segs = base.sparkSession.read.schema(chunks.schema).parquet(chunks._written).where("place is not null").select("chunk", "place", "seg", "n")
-    both = cut(aligned_segments(by_bytes(segs.groupBy("seg").agg(F.sum("n").alias("w"))), first, second), "segments", free=True)
+    both = cut(aligned_segments(by_bytes(segs.groupBy("seg").agg(F.sum("n").alias("w"))), first, second), "segments", clean=True)
     again = base.sparkSession.read.schema(both.schema).parquet(both._written)
     table, counted = both.where("seg is not null"), again.where("seg is null").select("block", "a", "b", "w")
     weighed = counted.select("a", "b", "w")
     if table.where("not whole").limit(1).count():
         lost = cut(lost_counts(rows, segs, table), "lost")
         weighed = weighed.unionByName(lost_links(table, lost))
-    pairs = cut(pair_counts(weighed), "weights", free=True)
+    pairs = cut(pair_counts(weighed), "weights", clean=True)
     worth = counted.select("block", "a", "b").join(pairs, ["a", "b"]).select("block", "a", "b", "c", "best")
-    known = cut(valued(table, worth), "known", free=True, codec="zstd")
+    known = cut(valued(table, worth), "known", clean=True, codec="zstd")
     discard(both)
-    back = cut(segs.select("chunk", "place", "seg").join(known, "seg").drop("seg"), "back", free=True, codec="zstd")
+    back = cut(segs.select("chunk", "place", "seg").join(known, "seg").drop("seg"), "back", clean=True, codec="zstd")
     discard(known)
     names = [key, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"] + ["groups"] * keep_groups
 

@@ -80,20 +80,24 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame, label: str = "cut", free: bool = False, codec: str = "snappy") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", free: bool = False, clean: bool = False, codec: str = "snappy") -> DataFrame:
     """The rows of df, written to the shared folder and read back: later steps neither recompute them nor need the executors that made them.
 
-    Once the rows are written, the shuffle files behind them serve nothing. They go when the driver collects its garbage; with `free` Spark
-    deletes them as the write ends, which large steps need. `discard` deletes the table when its successor is written.
+    Once the rows are written, the shuffle files behind them serve nothing. They go when the driver collects its garbage; `free` has it do
+    so at once, which large steps need, and with `clean` Spark itself deletes them as the write ends. `discard` deletes the table when its
+    successor is written.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
     before = spark.conf.get(CLEANUP_KEY, "false")
-    if free:
+    if clean:
         spark.conf.set(CLEANUP_KEY, "true")
-    df.write.option("compression", codec).parquet(path)
-    if free:
-        spark.conf.set(CLEANUP_KEY, before)
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        if clean:
+            spark.conf.set(CLEANUP_KEY, before)
+    if free or clean:
         spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
