@@ -18,7 +18,7 @@ _LAST = 1 << 62
 
 
 def bars_of(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(L.BAR).parquet(path)
+    rows = spark.read.schema(L.BAR).parquet(path).drop("_batch")
     return rounded(rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
